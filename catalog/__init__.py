@@ -1,4 +1,4 @@
 """Every operator as a query over the test tables, with a SQL twin where one exists."""
 
-from catalog import cleaning, sources  # noqa: F401
+from catalog import aggregates, cleaning, joins, sources, windows  # noqa: F401
 from catalog.base import ORACLE, QUERIES  # noqa: F401

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder import config
 from larder.functions import cleaning as cl
 
 FEEDBACK_SHIFT_DAYS = 8122  # moves the event month so that it ends near the last ship date
@@ -361,6 +362,31 @@ CTES = {
     "sku_daily": "SELECT sku AS item_id, ds, sum(qty) AS y FROM family GROUP BY 1, 2",
     "item_series": _DENSE.format(base="item_daily"),
     "sku_series": _DENSE.format(base="sku_daily"),
+    "day_list": """SELECT CAST(unnest(generate_series((SELECT min(ds) FROM family), (SELECT max(ds) FROM family), INTERVAL 1 DAY)) AS DATE) AS ds""",
+    "grid": """SELECT i.item_id, i.sku, i.channel, c.ds, d.y FROM
+  (SELECT DISTINCT sku || '_' || channel AS item_id, sku, channel FROM family) i CROSS JOIN day_list c
+  LEFT JOIN item_daily d ON d.item_id = i.item_id AND d.ds = c.ds""",
+    "sku_grid": """SELECT i.item_id, c.ds, d.y FROM (SELECT DISTINCT item_id FROM sku_daily) i CROSS JOIN day_list c
+  LEFT JOIN sku_daily d ON d.item_id = i.item_id AND d.ds = c.ds""",
+    # Dense per-SKU frame of the second preparation: own span, clipped, interpolated.
+    "sku_sums": "SELECT sku, ds, sum(qty) AS y, sum(disc) AS disc, sum(revenue) AS revenue FROM family GROUP BY 1, 2",
+    "sku_caps": """SELECT sku, quantile_cont(y, 0.75) + 1.5::DOUBLE * (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) AS cap,
+  min(ds) AS lo, max(ds) AS hi FROM sku_sums GROUP BY 1""",
+    "sku_points": """SELECT c.sku, c.ds, CASE WHEN s.y IS NOT NULL THEN least(greatest(s.y, 0), c.cap) END AS y, s.disc, s.revenue,
+  CASE WHEN st.warehouse_qty = 0 THEN 1 ELSE 0 END AS out_of_stock FROM
+  (SELECT sku, cap, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM sku_caps) c
+  LEFT JOIN sku_sums s ON s.sku = c.sku AND s.ds = c.ds
+  LEFT JOIN stock_family st ON st.sku = c.sku AND st.ds = c.ds AND s.y IS NOT NULL""",
+    "sku_frame": """SELECT sku, ds, coalesce(CASE WHEN y IS NOT NULL THEN y WHEN ny IS NULL THEN py
+   ELSE py + (ny - py) * (date_diff('day', pd, ds) / CAST(date_diff('day', pd, nd) AS DOUBLE)) END, 0) AS y,
+  coalesce(disc, 0) AS disc, coalesce(revenue, 0) AS revenue, out_of_stock AS was_stocked_out,
+  coalesce(store_count, CASE WHEN ds > (SELECT max(ds) FROM store_days) THEN (SELECT max_by(store_count, ds) FROM store_days)
+   ELSE (SELECT min_by(store_count, ds) FROM store_days) END) AS store_count FROM
+  (SELECT *, last_value(y IGNORE NULLS) OVER b AS py, last_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER b AS pd,
+   first_value(y IGNORE NULLS) OVER f AS ny, first_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER f AS nd FROM sku_points
+   WINDOW b AS (PARTITION BY sku ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    f AS (PARTITION BY sku ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  LEFT JOIN store_days USING (ds)""",
     # Moving-average forecast and what follows from it.
     "sma_level": """SELECT item_id, avg(y) AS mean, max(ds) AS last_ds FROM
   (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ds DESC) AS age FROM item_series) WHERE age <= 7 GROUP BY 1""",
@@ -380,7 +406,7 @@ CTES = {
     "stock_metrics": """SELECT b.*, regexp_extract(b.item_id, '^(.*)_([^_]*)$', 1) AS sku,
   regexp_extract(b.item_id, '^(.*)_([^_]*)$', 2) AS channel, coalesce(a.class, 'C') AS class,
   greatest(0, mu * 40) AS lead_time_demand,
-  CASE coalesce(a.class, 'C') WHEN 'A' THEN 2.0537489106318225 WHEN 'B' THEN 1.6448536269514715 ELSE 1.2815515655446008 END::DOUBLE
+  {z}
     * coalesce(sigma, 0) * sqrt(40.0::DOUBLE) AS safety_stock,
   greatest(10, CASE WHEN mu > 0 THEN sqrt(2.0::DOUBLE * mu * 365 * 10 / 20) ELSE 0 END) AS eoq
  FROM by_horizon b LEFT JOIN abc a ON a.sku = regexp_extract(b.item_id, '^(.*)_([^_]*)$', 1)""",
@@ -393,6 +419,15 @@ CTES = {
 }
 CTES["by_horizon"] = CTES["by_horizon"].replace("{forecast}", "naive")
 
+
+def z_sql(cls: str) -> str:
+    """The normal quantile of a class's service level as a CASE expression."""
+    z = {c: repr(config.z_score(p)) for c, p in config.SERVICE_LEVELS.items()}
+    return f"(CASE {cls} WHEN 'A' THEN {z['A']} WHEN 'B' THEN {z['B']} ELSE {z['C']} END)::DOUBLE"
+
+
+CTES["stock_metrics"] = CTES["stock_metrics"].replace("{z}", z_sql("coalesce(a.class, 'C')"))
+
 _WORD = re.compile(r"[a-z_]+")
 
 
