@@ -26,28 +26,50 @@ def day_span(df: DataFrame, ds: str = "ds") -> tuple[Column, Column]:
 
 
 def dense_panel(daily: DataFrame, key: str = "item_id", carry: tuple[str, ...] = (),
-                span: tuple[Column, Column] | None = None, ds: str = "ds") -> DataFrame:
-    """One row per item and day; days without an observation hold nulls.
+                span: tuple[Column, Column] | None = None, fills: dict[str, str] | None = None,
+                ds: str = "ds") -> DataFrame:
+    """One row per item and day; days without an observation hold nulls unless filled.
 
     ``daily`` has one row per (key, ds). Each observed row emits itself and the empty days up
     to the item's next one, so the panel needs neither a cross join with a calendar nor a join
     back: the only exchange is the one by item, and later windows by item reuse it.
     ``span`` is the common first and last day; without it each item keeps its own.
-    ``carry`` columns are constant per item and repeat on empty days.
+    ``carry`` columns are constant per item and repeat on empty days. ``fills`` names a method
+    per value column: ``zero``, ``ffill`` (last value, before the first the first one),
+    ``interpolate`` (straight line, null before the first and held after the last value) or
+    ``interpolate_back`` (the same, filled back at the head). Each observed row knows its
+    neighbour, so filling needs no window over the dense rows.
     """
+    fills = fills or {}
     w = days_of(key, ds)
     first, last = span if span else (F.col(ds), F.col(ds))
-    nxt = F.lead(ds).over(w)
     values = [c for c in daily.columns if c not in (key, ds, *carry)]
+    lines = [c for c, m in fills.items() if m.startswith("interpolate")]
     spread = daily.withColumns({
+        "_next": F.lead(ds).over(w),
         "_from": F.when(F.lag(ds).over(w).isNull(), first).otherwise(F.col(ds)),
-        "_to": F.when(nxt.isNull(), last).otherwise(F.date_sub(nxt, 1)),
-    })
+        **{f"_next_{c}": F.lead(c).over(w) for c in lines},
+    }).withColumn("_to", F.coalesce(F.date_sub("_next", 1), last))
     spread = spread.select(
-        key, *carry, F.col(ds).alias("_seen"), *values,
+        key, *carry, F.col(ds).alias("_seen"), "_next", *values, *[f"_next_{c}" for c in lines],
         F.explode(F.sequence("_from", "_to")).alias(ds))
-    seen = F.col(ds) == F.col("_seen")
-    return spread.select(key, *carry, ds, *[F.when(seen, F.col(v)).alias(v) for v in values])
+    seen, share = F.col(ds) == F.col("_seen"), F.try_divide(
+        F.datediff(ds, "_seen"), F.datediff("_next", "_seen"))
+
+    def value(c):
+        method, v = fills.get(c), F.col(c)
+        if method == "zero":
+            return F.coalesce(F.when(seen, v), F.lit(0.0))
+        if method == "ffill":
+            return v
+        if method is None:
+            return F.when(seen, v)
+        head = v if method == "interpolate_back" else F.lit(None)
+        return (F.when(seen | F.col("_next").isNull() & (F.col(ds) > F.col("_seen")), v)
+                .when(F.col(ds) < F.col("_seen"), head)
+                .otherwise(v + (F.col(f"_next_{c}") - v) * share))
+
+    return spread.select(key, *carry, ds, *[value(c).alias(c) for c in values])
 
 
 def future_days(items: DataFrame, after, days: int = config.PREDICTION_LENGTH) -> DataFrame:
@@ -59,12 +81,20 @@ def future_days(items: DataFrame, after, days: int = config.PREDICTION_LENGTH) -
     ).withColumn("ds", F.date_add("_after", F.col("step"))).drop("_after")
 
 
-def fill_forward_back(c: str, key: str = "item_id") -> Column:
-    """Last known value, else the next known one, inside the item."""
-    w = days_of(key)
+def fill_forward_back(c: str, key: str = "item_id", ds: str = "ds") -> Column:
+    """Last known value, else the next known one, inside the item.
+
+    The look-ahead runs over the descending order: a frame that starts at the current row and
+    ends at the partition's end would rescan the rest of the item for every row.
+    """
+    past = Window.unboundedPreceding
     return F.coalesce(
-        F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        F.last(c, True).over(days_of(key, ds).rowsBetween(past, 0)),
+        F.last(c, True).over(_newest_first(key, ds).rowsBetween(past, 0)))
+
+
+def _newest_first(key: str, ds: str):
+    return Window.partitionBy(key).orderBy(F.desc(ds))
 
 
 def fill_forward(c: str, key: str = "item_id") -> Column:
@@ -77,12 +107,11 @@ def interpolate(df: DataFrame, c: str, key: str = "item_id", back_fill: bool = F
 
     Before the first known day the value stays null, or is filled back with ``back_fill``.
     """
-    w = days_of(key, ds)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    past = days_of(key, ds).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = _newest_first(key, ds).rowsBetween(Window.unboundedPreceding, 0)
     point = F.when(F.col(c).isNotNull(), F.struct(F.col(ds).alias("d"), F.col(c).alias("v")))
     out = df.withColumns({"_prev": F.last(point, True).over(past),
-                          "_next": F.first(point, True).over(ahead)})
+                          "_next": F.last(point, True).over(ahead)})
     gap = F.datediff("_next.d", "_prev.d")
     line = F.col("_prev.v") + (F.col("_next.v") - F.col("_prev.v")) * F.try_divide(
         F.datediff(F.col(ds), F.col("_prev.d")), gap)
@@ -95,9 +124,10 @@ def interpolate(df: DataFrame, c: str, key: str = "item_id", back_fill: bool = F
 
 
 def fill_gaps(df: DataFrame, c: str, method: str = "zero", key: str = "item_id") -> DataFrame:
-    """Fill the empty days of a dense panel: ``zero``, ``interpolate`` or ``ffill``.
+    """Fill the empty days of an existing dense panel: ``zero``, ``interpolate`` or ``ffill``.
 
-    The method sees empty days as unknown, not as zero sales, so it has an effect.
+    The method sees empty days as unknown, not as zero sales, so it has an effect. Where the
+    panel is still to be made, ``dense_panel(fills=...)`` does it without windows.
     """
     if method == "interpolate":
         return interpolate(df, c, key, back_fill=True)

@@ -82,8 +82,7 @@ def store_days(store_count: DataFrame) -> DataFrame:
         F.make_date("year", "month", F.lit(1)).alias("ds"),
         F.col("stores").cast("double").alias("store_count")).dropna()
     # One row per month: a single group is bounded by the calendar.
-    daily = grid.dense_panel(monthly, "series")
-    return grid.interpolate(daily, "store_count", "series", back_fill=True).drop("series")
+    return grid.dense_panel(monthly, "series", fills={"store_count": "interpolate_back"}).drop("series")
 
 
 def join_stores(panel: DataFrame, days: DataFrame) -> DataFrame:
@@ -174,9 +173,8 @@ def sku_frame(sales: DataFrame, stores: DataFrame, stock: DataFrame) -> DataFram
     daily = daily.join(stock, ["sku", "ds"], "left").withColumn(
         "was_stocked_out", F.coalesce((F.col("warehouse_qty") == 0).cast("int"), F.lit(0))
     ).drop("warehouse_qty")
-    panel = grid.dense_panel(clip_outliers(daily), "sku")
-    panel = grid.interpolate(panel, "y", "sku").fillna(
-        0, subset=["y", "disc", "revenue", "was_stocked_out"])
+    panel = grid.dense_panel(clip_outliers(daily), "sku", fills={
+        "y": "interpolate", "disc": "zero", "revenue": "zero"}).fillna(0, subset=["was_stocked_out"])
     return join_stores(panel, stores)
 
 

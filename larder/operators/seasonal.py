@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.operators.grid import days_of, dense_panel, fill_gaps
+from larder.operators.grid import days_of, dense_panel
 from larder.operators.segment import sku_stats
 
 
@@ -65,7 +65,8 @@ def filled_series(sales: DataFrame, method: str = "zero", model: str = "additive
                   key: str = "item_id") -> DataFrame:
     """Dense per-item units between its own first and last day, gaps filled by ``method``."""
     daily = sales.groupBy(key, "ds").agg(F.sum("qty").alias("y"))
-    out = fill_gaps(dense_panel(daily, key), "y", method, key)
+    fill = {"interpolate": "interpolate_back", "ffill": "ffill"}.get(method, "zero")
+    out = dense_panel(daily, key, fills={"y": fill})
     if model == "multiplicative":
         out = out.withColumn("y", F.when(F.col("y") == 0, 1e-6).otherwise(F.col("y")))
     return out

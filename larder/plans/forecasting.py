@@ -32,8 +32,7 @@ def sku_series(sales: DataFrame) -> DataFrame:
 
 
 def _dense(daily: DataFrame, sales: DataFrame) -> DataFrame:
-    panel = grid.dense_panel(daily, span=grid.day_span(sales))
-    return panel.withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return grid.dense_panel(daily, span=grid.day_span(sales), fills={"y": "zero"})
 
 
 def volume_classes(sales: DataFrame) -> DataFrame:

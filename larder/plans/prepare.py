@@ -67,13 +67,11 @@ def prepare_for_analysis(raw_sales: DataFrame, holidays: DataFrame,
         F.sum("qty").alias("target"), F.avg("disc").alias("disc"),
         F.max("is_on_promotion").alias("is_on_promotion"),
         F.max("is_high_discount").alias("is_high_discount")), "analysis")
-    panel = grid.dense_panel(daily, "item_id", ("sku", "channel"), grid.day_span(daily))
-    panel = panel.withColumns({
-        **calendar_features(),
-        "is_on_promotion": grid.fill_forward_back("is_on_promotion"),
-        "is_high_discount": grid.fill_forward_back("is_high_discount")})
-    panel = sl.join_days(panel, sl.holiday_days(holidays), {"is_holiday": 0})
-    return panel.fillna(0, subset=["target", "disc"])
+    panel = grid.dense_panel(
+        daily, "item_id", ("sku", "channel"), grid.day_span(daily),
+        {"target": "zero", "disc": "zero", "is_on_promotion": "ffill", "is_high_discount": "ffill"})
+    panel = panel.withColumns(calendar_features())
+    return sl.join_days(panel, sl.holiday_days(holidays), {"is_holiday": 0})
 
 
 def advanced_features(frame: DataFrame, key: str = "sku") -> DataFrame:
