@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import config
@@ -27,10 +27,10 @@ def recent(series: DataFrame, days: int) -> DataFrame:
             .where(F.col("age") <= days))
 
 
-def tails(series: DataFrame, days: int, own_end: bool = False) -> DataFrame:
+def tails(series: DataFrame, days: int, own_end: bool = False, end: Column | None = None) -> DataFrame:
     """Each item's last ``days`` daily values, newest first, as ``tail`` with its ``last_ds``.
 
-    By default all items end on the newest date of the table and a day without a row counts 0,
+    By default all items end on ``end``, the newest date of the table, and a day without a row counts 0,
     so sparse sales lines do as well as a dense series: one aggregation with map-side partials,
     no panel and no sort. ``own_end`` takes the last rows of each item's own (dense) history.
     """
@@ -38,7 +38,8 @@ def tails(series: DataFrame, days: int, own_end: bool = False) -> DataFrame:
         w = recent(series, days).groupBy("item_id").agg(
             F.max("ds").alias("last_ds"), F.array_sort(F.collect_list(F.struct("age", "y"))).alias("t"))
         return w.select("item_id", "last_ds", F.transform("t", lambda r: r["y"]).alias("tail"))
-    rows = series.withColumn("last_ds", series.agg(F.max("ds")).scalar())
+    end = end if end is not None else series.agg(F.max("ds")).scalar()
+    rows = series.withColumn("last_ds", end)
     rows = rows.withColumn("_age", F.datediff("last_ds", "ds") + 1)
     return rows.groupBy("item_id").agg(
         F.max("last_ds").alias("last_ds"),
@@ -52,9 +53,10 @@ def _tail_mean(tail="tail"):
 
 
 def sma(series: DataFrame, days: int = config.PREDICTION_LENGTH,
-        window: int = config.SMA_WINDOW, own_end: bool = False) -> DataFrame:
+        window: int = config.SMA_WINDOW, own_end: bool = False,
+        end: Column | None = None) -> DataFrame:
     """Mean of the last ``window`` days, flat over the horizon."""
-    level = tails(series, window, own_end).withColumn("mean", _tail_mean()).drop("tail")
+    level = tails(series, window, own_end, end).withColumn("mean", _tail_mean()).drop("tail")
     return (future_days(level, "last_ds", days)
             .select(F.lit("SMA").alias("model"), "item_id", "step", "ds", "mean"))
 

@@ -67,6 +67,19 @@ def sporadic(panel: DataFrame, y: str = "y", key: str = "sku",
                                   (ratio > threshold).cast("int").alias("is_sporadic"))
 
 
+def density(sales: DataFrame) -> DataFrame:
+    """Days of the common span and share of days without sales per SKU, from sparse lines.
+
+    Routing needs no dense panel: the zero days are the span minus the days with sales.
+    """
+    first, last = sales.agg(F.min("ds")).scalar(), sales.agg(F.max("ds")).scalar()
+    daily = sales.where(F.col("sku").isNotNull()).groupBy(F.col("sku").alias("item_id"), "ds").agg(
+        F.sum("qty").alias("y"))
+    sold = daily.groupBy("item_id").agg(F.count(F.when(F.col("y") != 0, 1)).alias("sale_days"))
+    out = sold.withColumn("days", F.datediff(last, first) + 1)
+    return out.select("item_id", "days", (F.lit(1.0) - F.col("sale_days") / F.col("days")).alias("zero_sales_ratio"))
+
+
 def weekly_profile(daily: DataFrame, weeks: int = 52, key: str = "sku",
                    min_records: int = config.MIN_SERIES_DAYS) -> DataFrame:
     """Min-max scaled units of the last ``weeks`` weeks per SKU with enough records.

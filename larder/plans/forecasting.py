@@ -8,6 +8,7 @@ from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
 from larder.operators import forecast as fc
 from larder.operators import grid, inventory, segment
+from larder.operators import sales as sl
 from larder.session import stage
 
 
@@ -69,27 +70,35 @@ def champion_forecast(series: DataFrame) -> DataFrame:
         .select("item_id", "model", "step", "ds", "mean"))
 
 
-def routed_forecast(sales: DataFrame) -> DataFrame:
-    """Contest for dense SKUs, category share for sparse ones, SMA where there is no category."""
-    series = stage(sku_series(sales), "series")
-    routes = fc.route(segment.sku_attributes(series, "y", "item_id")).select(
-        "item_id", "route", cl.sku_category("item_id").alias("category"))
-    routes = stage(routes, "routes")
-    dense = series.join(routes.where(F.col("route") == "contest"), "item_id", "left_semi")
-    sparse = routes.where(F.col("route") == "category")
+def category_forecast(sales: DataFrame) -> DataFrame:
+    """Moving average of each category, shared out to all its SKUs by their past units."""
+    series = sl.category_series(sales).withColumnRenamed("category", "item_id")
+    end = sales.agg(F.max("ds")).scalar()
+    level = fc.sma(series, end=end).select(F.col("item_id").alias("category"), "step", "ds", "mean")
     units = (sales.groupBy("sku").agg(F.sum("qty").alias("units"))
              .withColumn("category", cl.sku_category()).where(F.col("category").isNotNull()))
-    from larder.operators.sales import category_series
-    cats = category_series(sales).withColumnRenamed("category", "item_id")
-    cat_forecast = fc.sma(_dense(cats, sales)).select(
-        F.col("item_id").alias("category"), "step", "ds", "mean")
-    shared = fc.allocate_category(cat_forecast, units).select(
-        F.col("sku").alias("item_id"), "step", "ds", "mean", F.lit("Category").alias("model"))
-    shared = shared.join(sparse, "item_id", "left_semi")
-    known = cats.select(F.col("item_id").alias("category")).distinct()
-    rest = sparse.join(known, "category", "left_anti")
-    alone = fc.sma(series.join(rest, "item_id", "left_semi"))
+    return fc.allocate_category(level, units)
+
+
+def routed_forecast(sales: DataFrame) -> DataFrame:
+    """Contest for dense SKUs, category share for sparse ones, moving average where neither fits.
+
+    Only SKUs of the contest get a dense series; the others are forecast from sparse lines.
+    """
+    sales = sales.where(F.col("sku").isNotNull()).select("sku", "ds", "qty")
+    routes = stage(fc.route(segment.density(sales)).select("item_id", "route"), "routes")
+    picked = routes.where(F.col("route") == "contest").select(F.col("item_id").alias("sku"))
+    sparse = routes.where(F.col("route") == "category").select("item_id")
+    contest_sales = sales.join(picked, "sku", "left_semi")
+    daily = contest_sales.groupBy(F.col("sku").alias("item_id"), "ds").agg(F.sum("qty").alias("y"))
+    dense = stage(_dense(daily, sales), "series")
     cols = ["item_id", "model", "step", "ds", "mean"]
+    shared = stage(category_forecast(sales).select(
+        F.col("sku").alias("item_id"), F.lit("Category").alias("model"), "step", "ds", "mean"
+    ).join(sparse, "item_id", "left_semi"), "shared")
+    rest = sparse.join(shared.where(F.col("step") == 1), "item_id", "left_anti")
+    lines = sales.select(F.col("sku").alias("item_id"), "ds", F.col("qty").alias("y"))
+    alone = fc.sma(lines.join(rest, "item_id", "left_semi"), end=sales.agg(F.max("ds")).scalar())
     return (champion_forecast(dense).select(*cols).unionByName(shared.select(*cols))
             .unionByName(alone.select(*cols)))
 
