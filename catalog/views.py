@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from larder import config
 from larder.functions import cleaning as cl
+from larder.session import stage
+from larder.sources import tables
 
 FEEDBACK_SHIFT_DAYS = 8122  # moves the event month so that it ends near the last ship date
 HOLIDAYS = (
@@ -27,7 +29,8 @@ BRAND_PREFIX = "HOUSE_"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = tables.scan(spark, f"{sf}/{name}.parquet")
+    return tables.spread_small(df) if name == "lineitem" else df
 
 
 def _lines(spark, sf):
@@ -85,11 +88,12 @@ def raw(lines: DataFrame) -> DataFrame:
 
 
 def raw_sales(spark, sf) -> DataFrame:
-    return raw(sales(spark, sf))
+    """Stored text, as a raw table is: the cleaning then reads plain columns."""
+    return stage(raw(sales(spark, sf)), "raw")
 
 
 def raw_family(spark, sf) -> DataFrame:
-    return raw(family(spark, sf))
+    return stage(raw(family(spark, sf)), "raw")
 
 
 def inventory(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from larder import config
 
 # A plain decimal number; Spark's cast alone would also take Java suffixes such as "12d".
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+_DAY_FIRST = r"^\s*([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s*$"
+_ISO = r"^\s*([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:T.*)?\s*$"
 
 
 def as_column(c) -> Column:
@@ -15,8 +17,7 @@ def as_column(c) -> Column:
 
 def number_or_null(c) -> Column:
     """Text to double; anything that is not a plain number is null."""
-    text = as_column(c).cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).cast("double"))
+    return F.regexp_extract(as_column(c).cast("string"), _NUMBER, 1).try_cast("double")
 
 
 def number_or_zero(c) -> Column:
@@ -34,20 +35,30 @@ def strict_number(c) -> Column:
     return number_or_null(F.regexp_replace(as_column(c).cast("string"), r"[^0-9.\-]", ""))
 
 
+def _day_first_text(c) -> Column:
+    """``d/M/yyyy`` text as ``yyyy-M-d``, anything else as empty text."""
+    whole = F.regexp_extract(as_column(c), _DAY_FIRST, 0)
+    return F.regexp_replace(whole, _DAY_FIRST, "$3-$2-$1")
+
+
 def day_first(c) -> Column:
     """``d/M/yyyy`` text to a date, otherwise null."""
-    return F.try_to_timestamp(as_column(c), F.lit("d/M/yyyy")).cast("date")
+    return _day_first_text(c).try_cast("date")
 
 
 def iso_day(c) -> Column:
     """The date part before ``T`` of an ISO text, otherwise null."""
-    return F.try_to_timestamp(
-        F.split_part(as_column(c), F.lit("T"), F.lit(1)), F.lit("yyyy-M-d")).cast("date")
+    return F.regexp_extract(as_column(c), _ISO, 1).try_cast("date")
 
 
 def any_day(c) -> Column:
-    """Day-first text, else ISO text; two stated formats instead of guessing from the data."""
-    return F.coalesce(day_first(c), iso_day(c))
+    """Day-first or ISO text to a date: two stated formats instead of guessing from the data.
+
+    At most one of the two texts is not empty, so one cast serves both. Casting is far cheaper
+    than a date formatter, which throws for every text it cannot read.
+    """
+    iso = F.regexp_extract(as_column(c), _ISO, 1)
+    return F.concat(_day_first_text(c), iso).try_cast("date")
 
 
 def channel_name(c) -> Column:

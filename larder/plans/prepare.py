@@ -16,19 +16,19 @@ def clean_stock(raw: DataFrame) -> DataFrame:
     return raw.select(cl.any_day("date").alias("ds"), "sku", "wh")
 
 
-def observed_days(raw_sales: DataFrame, raw_inventory: DataFrame,
-                  max_skus: int | None = None) -> DataFrame:
-    """Daily item rows with stock and promotion flags, before the panel is made dense.
+def clean_daily(raw_sales: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Daily item rows of the cleaned sales, staged: the raw table is scanned once."""
+    sales = sl.clean_sales(raw_sales)
+    return stage(sl.daily_sales(sl.keep_skus(sales, top) if top is not None else sales), "daily")
+
+
+def observed_days(daily: DataFrame, stock: DataFrame) -> DataFrame:
+    """Daily rows with stock and promotion flags, before the panel is made dense.
 
     Flags and stock only exist on observed days, so they are joined here, on the small side.
     """
-    sales, stock = sl.clean_sales(raw_sales), clean_stock(raw_inventory)
-    if max_skus is not None:
-        top = sl.top_skus(sales, max_skus)
-        sales, stock = sl.keep_skus(sales, top), sl.keep_skus(stock, top)
-    daily = stage(sl.daily_sales(sales), "daily")
-    daily = sl.join_stock(daily, sl.daily_stock(stock))
-    return (daily.join(ft.discount_thresholds(daily), "sku", "left")
+    return (sl.join_stock(daily, sl.daily_stock(stock))
+            .join(ft.discount_thresholds(daily), "sku", "left")
             .withColumns(ft.promo_flags()).drop("threshold"))
 
 
@@ -39,9 +39,11 @@ def prepare_data(raw_sales: DataFrame, raw_inventory: DataFrame, holidays: DataF
     The item window's exchange carries the observed days only; the dense rows are made and
     scanned by the windows inside their partitions. Day dimensions join last, by broadcast.
     """
-    daily = observed_days(raw_sales, raw_inventory, max_skus)
-    daily = stage(daily, "observed")
-    panel = grid.dense_panel(daily, "item_id", ("sku", "channel", "category", "gender"),
+    top = sl.top_skus(sl.clean_sales(raw_sales), max_skus) if max_skus is not None else None
+    stock = clean_stock(raw_inventory)
+    daily = clean_daily(raw_sales, top)
+    observed = observed_days(daily, sl.keep_skus(stock, top) if top is not None else stock)
+    panel = grid.dense_panel(observed, "item_id", ("sku", "channel", "category", "gender"),
                              grid.day_span(daily))
     panel = ft.history_features(panel).withColumns(calendar_features())
     panel = sl.join_days(panel, sl.holiday_days(holidays), {"is_holiday": 0})
