@@ -27,7 +27,7 @@ def daily_sales_agg(spark, sf):
     "(SELECT sku, quantile_cont(disc, 0.75) AS threshold FROM sales WHERE disc > 0 GROUP BY 1) USING (sku) GROUP BY ALL"))
 def daily_sales_agg_analysis(spark, sf):
     s = v.sales(spark, sf)
-    flagged = s.join(ft.discount_thresholds_of_lines(s), "sku", "left").withColumns(ft.promo_flags())
+    flagged = s.join(ft.discount_thresholds(s), "sku", "left").withColumns(ft.promo_flags())
     return flagged.groupBy(cl.item_id().alias("item_id"), "sku", "ds").agg(
         F.sum("qty").alias("target"), F.avg("disc").alias("disc"),
         F.max("is_on_promotion").alias("is_on_promotion"), F.max("is_high_discount").alias("is_high_discount"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, r, rounded
+from catalog.forecasting import BT
 from catalog.joins import _FLAGGED, promo_panel
 from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
@@ -215,7 +216,10 @@ def latest_run_metrics(spark, sf):
     return monitor.latest_metrics(v.model_runs(spark, sf))
 
 
-@query("run_log")
+@query("run_log", v.sql(
+    "SELECT 'inventory_recommendations_check' AS run_id, (SELECT max(ds) FROM sku_series) AS trained_date, 'promote' AS decision, "
+    + r(4, rmse="min(rmse)", wape="min(wape)") + " FROM (SELECT sqrt(avg((y - yhat) ** 2)) AS rmse, sum(abs(y - yhat)) / sum(abs(y)) * 100 AS wape "
+    "FROM bt GROUP BY model)", **BT))
 def run_log(spark, sf):
     """One run appended to the log and read back."""
     series = plan.sku_series(v.family(spark, sf))

@@ -242,7 +242,23 @@ def forecast_category(spark, sf):
     return rounded(totals, 5, "daily_mean", "total")
 
 
-@query("forecast_routed")
+_ROUTED = {
+    **BT, "mixed": _MIXED, "density": _DENSITY, "cat": _CAT.format(t="mixed"), "cat_level": _CAT_LEVEL.format(t="mixed"),
+    "sku_daily": "SELECT sku AS item_id, ds, sum(qty) AS y FROM mixed WHERE sku IN (SELECT item_id FROM density WHERE days >= 30 "
+                 "AND zero_sales_ratio <= 0.6::DOUBLE) GROUP BY 1, 2",
+    "sku_series": "SELECT i.item_id, c.ds, coalesce(d.y, 0) AS y FROM (SELECT DISTINCT item_id FROM sku_daily) i CROSS JOIN day_list c "
+                  "LEFT JOIN sku_daily d ON d.item_id = i.item_id AND d.ds = c.ds",
+    "chosen": "SELECT item_id, CASE WHEN count(*) > 1 AND max(wape) < 50 THEN 'Ensemble' ELSE min_by(model, (wape, model)) END AS champion "
+              "FROM errors GROUP BY 1",
+    "blended": "SELECT item_id, model, mean FROM sku_models UNION ALL SELECT item_id, 'Ensemble', sum(weight * mean) FROM sku_models "
+               "JOIN bt_weights USING (item_id, model) GROUP BY item_id, step",
+}
+
+
+@query("forecast_routed", v.sql(
+    "SELECT item_id, model, count(*) AS days, round(sum(mean), 4) AS total FROM blended JOIN chosen USING (item_id) WHERE model = champion GROUP BY 1, 2 "
+    "UNION ALL SELECT item_id, 'Category', 183, round(183 * share * coalesce(level, 0), 4) FROM cat JOIN cat_level USING (category) "
+    "WHERE item_id IN (SELECT item_id FROM density WHERE days < 30 OR zero_sales_ratio > 0.6::DOUBLE)", **_ROUTED))
 def forecast_routed(spark, sf):
     """Every SKU forecast on its route: contest champion, category share or moving average."""
     out = plan.routed_forecast(mixed(spark, sf))

@@ -28,9 +28,21 @@ HOLIDAYS = (
 BRAND_PREFIX = "HOUSE_"
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table that is smaller than one scan split over the session's cores.
+
+    The test files hold a single row group, which one task would read and process alone. The
+    size is checked first: a larger table keeps its own splits and is not shuffled.
+    """
+    spark = df.sparkSession
+    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = tables.scan(spark, f"{sf}/{name}.parquet")
-    return tables.spread_small(df) if name == "lineitem" else df
+    return spread_small(df) if name == "lineitem" else df
 
 
 def _lines(spark, sf):
@@ -97,10 +109,10 @@ def raw_family(spark, sf) -> DataFrame:
 
 
 def inventory(lines: DataFrame) -> DataFrame:
-    """Raw stock rows: one per SKU, day and warehouse, with zeros."""
-    return lines.select("sku", "ds", "supp_key").distinct().select(
+    """Raw stock rows, stored as text: one per SKU, day and warehouse, with zeros."""
+    return stage(lines.select("sku", "ds", "supp_key").distinct().select(
         F.date_format("ds", "dd/MM/yyyy").alias("date"), "sku",
-        ((F.col("supp_key") * 13 + F.dayofmonth("ds") * 7) % 5).cast("double").alias("wh"))
+        ((F.col("supp_key") * 13 + F.dayofmonth("ds") * 7) % 5).cast("double").alias("wh")), "stock")
 
 
 def stock(lines: DataFrame) -> DataFrame:

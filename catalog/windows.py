@@ -432,6 +432,14 @@ def prepare_upload(spark, sf):
     return rounded(out, 6, "disc", *_UP)
 
 
-@query("upload_forecast")
+_UP_DAILY = ("SELECT sku || '_Online' AS item_id, ds, sum(target) AS y FROM (SELECT sku, " + v._DAY + " AS ds, TRY_CAST(qty AS DOUBLE) AS target, "
+             "TRY_CAST(disc AS DOUBLE) AS disc FROM raw_family) WHERE sku IS NOT NULL AND ds IS NOT NULL AND target IS NOT NULL AND disc IS NOT NULL GROUP BY 1, 2")
+
+
+@query("upload_forecast", v.sql(
+    "SELECT model, item_id, step, CAST(last_ds + step AS DATE) AS ds, round(mean, 6) AS mean, CAST(round_even(greatest(mean, 0), 0) AS INTEGER) AS units, points, "
+    "CASE WHEN points <= 183 THEN 'history of ' || points || ' points is not longer than the horizon of 183' END AS backtest_skipped FROM "
+    "(SELECT 'SMA' AS model, item_id, avg(y) FILTER (age <= 7) AS mean, max(ds) AS last_ds, count(*) AS points FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up) GROUP BY 2), (SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step)", up=_UP_DAILY))
 def upload_forecast(spark, sf):
-    return plan.upload_forecast(upload(spark, sf))
+    return rounded(plan.upload_forecast(upload(spark, sf)), 6, "mean")

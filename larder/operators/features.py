@@ -20,18 +20,12 @@ def promo_flags(disc="disc", threshold="threshold") -> dict[str, Column]:
     }
 
 
-def discount_thresholds(daily: DataFrame) -> DataFrame:
+def discount_thresholds(rows: DataFrame) -> DataFrame:
     """75th percentile of the positive discounts per SKU.
 
-    ``daily`` has one row per item and day, so a SKU's group is bounded by the calendar.
+    ``rows`` may be sales lines or days of many channels, so a SKU's group has no bound.
     """
-    return (daily.where(F.col("disc") > 0).groupBy("sku")
-            .agg(F.percentile("disc", F.lit(0.75)).alias("threshold")))
-
-
-def discount_thresholds_of_lines(lines: DataFrame) -> DataFrame:
-    """The same over sales lines, where one SKU may hold any share of the table."""
-    return quantiles(lines.where(F.col("disc") > 0), "disc", {"threshold": 0.75}, ("sku",))
+    return quantiles(rows.where(F.col("disc") > 0), "disc", {"threshold": 0.75}, ("sku",))
 
 
 def stockout_flag(c="warehouse_qty") -> Column:

@@ -178,13 +178,13 @@ def gbt_future_rows(series: DataFrame, future: DataFrame) -> DataFrame:
     return _gbt_rows(targets, origins)
 
 
-def fit_gbt(rows: DataFrame, iterations: int = 20, depth: int = 5) -> GBTRegressionModel:
+def fit_gbt(rows: DataFrame, iterations: int = 12, depth: int = 4) -> GBTRegressionModel:
     """One model for all items with fixed parameters; ``rows`` is staged, each tree reads it."""
     data = VectorAssembler(inputCols=GBT_FEATURES, outputCol="features").transform(
         stage(rows.select(F.col("y").alias("label"), *GBT_FEATURES), "gbt")
     ).select("label", "features")
     return GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0,
-                        seed=config.RANDOM_SEED, maxBins=64).fit(data)
+                        seed=config.RANDOM_SEED, maxBins=32).fit(data)
 
 
 def score_gbt(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:

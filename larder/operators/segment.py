@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder import config
 from larder.operators.grid import days_of
 from larder.operators.ordered import ranked, running_totals
+from larder.session import stage
 
 
 def abc_by_volume(totals: DataFrame, shares=None) -> DataFrame:
@@ -103,10 +104,10 @@ def weekly_profile(daily: DataFrame, weeks: int = 52, key: str = "sku",
 def demand_clusters(profile: DataFrame, k: int = 2, key: str = "sku",
                     seed: int = config.RANDOM_SEED) -> DataFrame:
     """k-means over the weekly profiles; -1 for all when there are no more than ``k`` SKUs."""
+    profile = stage(profile, "profile")  # every iteration reads it
     if len(profile.select(key).take(k + 1)) <= k:
         return profile.select(key, F.lit(-1).alias("cluster"))
     cols = [c for c in profile.columns if c != key]
-    data = VectorAssembler(inputCols=cols, outputCol="features").transform(profile).persist()
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(profile)
     model = KMeans(k=k, seed=seed, maxIter=20, predictionCol="cluster").fit(data)
-    out = model.transform(data).select(key, "cluster")
-    return out
+    return model.transform(data).select(key, "cluster")

@@ -63,7 +63,7 @@ def prepare_for_analysis(raw_sales: DataFrame, holidays: DataFrame,
     sales = sl.clean_sales(raw_sales).where(F.col("sku").isNotNull())
     if max_skus is not None:
         sales = sl.keep_skus(sales, sl.top_skus(sales, max_skus))
-    flagged = (sales.join(ft.discount_thresholds_of_lines(sales), "sku", "left")
+    flagged = (sales.join(ft.discount_thresholds(sales), "sku", "left")
                .withColumns(ft.promo_flags()).withColumn("item_id", cl.item_id()))
     daily = stage(flagged.groupBy("item_id", "sku", "channel", "ds").agg(
         F.sum("qty").alias("target"), F.avg("disc").alias("disc"),

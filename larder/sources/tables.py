@@ -14,18 +14,6 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return reader.parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table that is smaller than one scan split over the session's cores.
-
-    A small file is often a single row group, which one task reads and then processes alone.
-    The size is checked first: a larger table keeps its own splits and is not shuffled.
-    """
-    spark = df.sparkSession
-    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
-
-
 def scan_skus(df: DataFrame, item_ids: list[str], sku: str = "sku") -> DataFrame:
     """Rows of a short list of SKUs or item ids; the SKU is the text before the first ``_``."""
     return df.where(F.col(sku).isin(sorted({i.split("_")[0] for i in item_ids})))
