@@ -132,27 +132,29 @@ TARGET_FEATURES = ["step", "same_weekday", "is_holiday", "is_on_promotion", "mon
 GBT_FEATURES = ORIGIN_FEATURES + TARGET_FEATURES
 
 
-def _origin_state(series: DataFrame) -> DataFrame:
-    """What is known at the end of each day: levels, spread and the last seven values."""
-    w = days_of("item_id")
+def _origin_state(aged: DataFrame, keys: list[str]) -> DataFrame:
+    """What is known at an origin: levels, spread and the last seven values by ``age`` in days.
 
-    def up_to(n):
-        return w.rowsBetween(-(n - 1), 0)
+    Plain conditional aggregates per origin; no wide window over every day.
+    """
+    def within(days, c="y"):
+        return F.when(F.col("age") <= days, F.col(c) if isinstance(c, str) else c)
 
-    return series.select(
-        "item_id", F.col("ds").alias("origin"),
-        F.avg("y").over(up_to(7)).alias("level_7"), F.avg("y").over(up_to(28)).alias("level_28"),
-        F.avg("y").over(up_to(182)).alias("level_182"),
-        F.coalesce(F.stddev_samp("y").over(up_to(28)), F.lit(0.0)).alias("std_28"),
-        F.col("y").alias("last_y"),
-        F.avg((F.col("y") == 0).cast("double")).over(up_to(28)).alias("zero_28"),
-        F.collect_list("y").over(up_to(7)).alias("week"))
+    zero = (F.col("y") == 0).cast("double")
+    return aged.groupBy(*keys).agg(
+        F.avg(within(7)).alias("level_7"), F.avg(within(28)).alias("level_28"),
+        F.avg(within(182)).alias("level_182"),
+        F.coalesce(F.stddev_samp(within(28)), F.lit(0.0)).alias("std_28"),
+        F.max(F.when(F.col("age") == 1, F.col("y"))).alias("last_y"),
+        F.avg(within(28, zero)).alias("zero_28"),
+        F.array(*[F.coalesce(F.max(F.when(F.col("age") == k, F.col("y"))), F.lit(0.0))
+                  for k in range(7, 0, -1)]).alias("week"))
 
 
-def _gbt_rows(targets: DataFrame, origins: DataFrame) -> DataFrame:
+def _gbt_rows(targets: DataFrame, origins: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows with the state at their origin and the calendar of the target day."""
-    joined = targets.join(origins, ["item_id", "origin"])
-    same = F.coalesce(F.get("week", F.pmod(F.col("step") - 1, F.lit(7))), F.lit(0.0))
+    joined = targets.join(origins, keys)
+    same = F.get("week", F.pmod(F.col("step") - 1, F.lit(7)))
     return joined.withColumn("same_weekday", same).drop("week").withColumns({
         **calendar_features("ds"), **month_boundary("ds"), **cyclical_encoding("ds")})
 
@@ -160,22 +162,24 @@ def _gbt_rows(targets: DataFrame, origins: DataFrame) -> DataFrame:
 def gbt_training_rows(series: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
     """Every history day as a target of the block origin before it.
 
-    Days are cut into blocks of ``horizon`` days; the day before a block is its origin, so each
-    day is used once and all steps 1..horizon are covered, without chained one-step forecasts.
+    Days are cut into blocks of ``horizon`` days after the first seven; the day before a block
+    is its origin and the block before it holds all the state needs. Each day is used once and
+    all steps 1..horizon are covered, without chained one-step forecasts.
     """
-    number = F.datediff("ds", F.min("ds").over(Window.partitionBy("item_id")))
-    targets = (series.withColumn("_n", number).where(F.col("_n") >= 7)
-               .withColumn("step", (F.pmod(F.col("_n") - 7, F.lit(horizon)) + 1).cast("int"))
-               .withColumn("origin", F.date_sub("ds", F.col("step"))).drop("_n"))
-    return _gbt_rows(targets, _origin_state(series))
+    number = F.datediff("ds", F.min("ds").over(Window.partitionBy("item_id"))) - 7
+    rows = series.withColumn("_n", number).withColumns({
+        "block": F.floor(F.col("_n") / horizon).cast("int"),
+        "step": (F.pmod("_n", F.lit(horizon)) + 1).cast("int")})
+    origins = _origin_state(rows.withColumns({
+        "block": F.col("block") + 1, "age": F.lit(horizon + 1) - F.col("step")}), ["item_id", "block"])
+    return _gbt_rows(rows.where(F.col("_n") >= 0).drop("_n"), origins, ["item_id", "block"])
 
 
 def gbt_future_rows(series: DataFrame, future: DataFrame) -> DataFrame:
     """Scoring rows: the last history day is the origin of the whole horizon."""
-    last = _origin_state(series).groupBy("item_id").agg(F.max_by(F.struct("*"), "origin").alias("o"))
-    origins = last.select("o.*")
-    targets = future.withColumn("origin", F.date_sub("ds", F.col("step")))
-    return _gbt_rows(targets, origins)
+    last = series.agg(F.max("ds")).scalar()
+    aged = series.withColumn("age", F.datediff(last, "ds") + 1).where(F.col("age") <= 182)
+    return _gbt_rows(future, _origin_state(aged, ["item_id"]), ["item_id"])
 
 
 def fit_gbt(rows: DataFrame, iterations: int = 12, depth: int = 4) -> GBTRegressionModel:
