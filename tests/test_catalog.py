@@ -19,6 +19,14 @@ def con():
     return c
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """The smallest tables need no eight-way shuffles."""
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_matches_sql(spark, con, key):
     df = QUERIES[key](spark, FOLDER)
