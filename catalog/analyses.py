@@ -6,10 +6,8 @@ from catalog import views as v
 from catalog.base import query, r, rounded
 from catalog.forecasting import BT
 from catalog.joins import _FLAGGED, promo_panel
-from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
-from larder.operators import forecast as fc
-from larder.operators import monitor, promo, seasonal
+from larder.operators import grid, monitor, promo, seasonal
 from larder.plans import forecasting as plan
 from larder.session import new_path
 from larder.sources import sinks
@@ -120,7 +118,6 @@ _OWN_GAPS = ("SELECT i.item_id, c.ds, d.y FROM (SELECT item_id, min(ds) AS lo, m
       "f AS (PARTITION BY item_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", gaps=_OWN_GAPS))
 def gap_fill_method(spark, sf):
     """The three fills side by side, from one dense pass."""
-    from larder.operators import grid
     daily = v.family(spark, sf).groupBy(F.col("sku").alias("item_id"), "ds").agg(F.sum("qty").alias("zero"))
     daily = daily.withColumns({"interpolate": F.col("zero"), "ffill": F.col("zero")})
     out = grid.dense_panel(daily, fills={"zero": "zero", "interpolate": "interpolate_back", "ffill": "ffill"})

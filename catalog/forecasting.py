@@ -12,7 +12,6 @@ from larder.operators import forecast as fc
 from larder.operators import grid, segment
 from larder.operators import sales as sl
 from larder.plans import forecasting as plan
-from larder.plans import prepare
 from larder.session import stage
 
 # SQL twins of the rolling-origin backtest on the SKU series.

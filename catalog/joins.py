@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, r, rounded
-from larder import config
 from larder.functions import cleaning as cl
 from larder.operators import features as ft
-from larder.operators import grid, inventory, promo, segment
+from larder.operators import grid, inventory, promo
 from larder.operators import sales as sl
 from larder.plans import forecasting as plan
 from larder.plans import prepare

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.base import query, r, rounded
 from larder import schemas
-from larder.operators import features as ft
 from larder.operators import monitor, profile
 from larder.plans import forecasting as plan
 from larder.session import new_path

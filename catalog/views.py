@@ -8,7 +8,7 @@ are exact in any order on both engines.
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder import config
@@ -137,7 +137,6 @@ def holidays(spark, sf) -> DataFrame:
 
 def store_count(spark, sf) -> DataFrame:
     """Customers with a first order up to each month, as a monthly store count."""
-    from pyspark.sql import Window
     first = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
     monthly = first.groupBy(F.year("d").alias("year"), F.month("d").alias("month")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -183,7 +182,6 @@ def orders_nested(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                          "o_orderdate", "o_orderpriority")
     j = sales(spark, sf).join(o, F.col("order_key") == F.col("o_orderkey"))
-    unit = F.lit("array<struct<amount:double>>")
 
     def allocations(*amounts):
         return F.array(*[F.struct(a.alias("amount")) for a in amounts])

@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.aggregates import sku_frame
 from catalog.base import query, r, rounded
-from catalog.joins import item_daily, item_grid, sku_grid
-from larder import config
+from catalog.joins import sku_grid
 from larder.functions import calendar as cal
 from larder.functions import cleaning as cl
 from larder.operators import features as ft
 from larder.operators import forecast as fc
-from larder.operators import grid, monitor, ordered, promo, seasonal
+from larder.operators import grid, monitor, ordered, promo
 from larder.operators import sales as sl
 from larder.plans import forecasting as plan
 from larder.plans import prepare

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larder import config
 from larder.functions.calendar import calendar_features, cyclical_encoding, month_boundary
-from larder.operators.grid import days_of, future_days, previous
+from larder.operators.grid import future_days, previous
 from larder.operators.ordered import quantiles
 from larder.session import stage
 

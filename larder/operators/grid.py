@@ -38,7 +38,8 @@ def dense_panel(daily: DataFrame, key: str = "item_id", carry: tuple[str, ...] =
     per value column: ``zero``, ``ffill`` (last value, before the first the first one),
     ``interpolate`` (straight line, null before the first and held after the last value) or
     ``interpolate_back`` (the same, filled back at the head). Each observed row knows its
-    neighbour, so filling needs no window over the dense rows.
+    neighbour, so filling needs no window over the dense rows. Two rows for one (key, ds), or a
+    row outside ``span``, make the day sequence run backwards, which Spark reports as an error.
     """
     fills = fills or {}
     w = days_of(key, ds)
@@ -52,7 +53,7 @@ def dense_panel(daily: DataFrame, key: str = "item_id", carry: tuple[str, ...] =
     }).withColumn("_to", F.coalesce(F.date_sub("_next", 1), last))
     spread = spread.select(
         key, *carry, F.col(ds).alias("_seen"), "_next", *values, *[f"_next_{c}" for c in lines],
-        F.explode(F.sequence("_from", "_to")).alias(ds))
+        F.explode(F.sequence("_from", "_to", F.expr("INTERVAL '1' DAY"))).alias(ds))
     seen, share = F.col(ds) == F.col("_seen"), F.try_divide(
         F.datediff(ds, "_seen"), F.datediff("_next", "_seen"))
 

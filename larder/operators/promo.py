@@ -96,8 +96,7 @@ def event_sales(sales: DataFrame, events: list[tuple[str, dt.date, int, int]],
     """Units per SKU inside each event's window, one column per event, 0 where none.
 
     ``events`` is the user's short list of (name, date, days before, days after). Conditional
-    sums in one aggregation replace a range join per event; lines outside all windows are
-    filtered at the scan unless every SKU has to be listed.
+    sums in one aggregation replace a range join per event; every SKU is listed.
     """
     def inside(e):
         return F.col("ds").between(F.lit(e[1] - dt.timedelta(days=e[2])),

@@ -77,10 +77,9 @@ def join_days(panel: DataFrame, days: DataFrame, fill: dict[str, object]) -> Dat
 
 def store_days(store_count: DataFrame) -> DataFrame:
     """Monthly store counts to a daily, linearly interpolated series."""
-    monthly = store_count.select(
-        F.lit("all").alias("series"),
-        F.make_date("year", "month", F.lit(1)).alias("ds"),
-        F.col("stores").cast("double").alias("store_count")).dropna()
+    monthly = store_count.dropna().groupBy(
+        F.lit("all").alias("series"), F.make_date("year", "month", F.lit(1)).alias("ds")).agg(
+        F.max(F.col("stores").cast("double")).alias("store_count"))
     # One row per month: a single group is bounded by the calendar.
     return grid.dense_panel(monthly, "series", fills={"store_count": "interpolate_back"}).drop("series")
 

@@ -168,6 +168,12 @@ def test_dense_panel_and_fills(spark):
     assert grid.dense_panel(df).where("item_id = 'a'").count() == 4
 
 
+def test_duplicate_days_are_refused(spark):
+    df = panel_rows(spark)
+    with pytest.raises(Exception, match="(?i)sequence"):
+        grid.dense_panel(df.unionByName(df)).collect()
+
+
 def test_window_fills_agree_with_dense_fills(spark):
     df = panel_rows(spark)
     nulls = grid.dense_panel(df, span=grid.day_span(df))
