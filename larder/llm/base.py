@@ -3,10 +3,11 @@
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.session import apply_defaults
+from larder.session import apply_defaults, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +58,12 @@ def batched(records: Iterable[tuple], schema: pa.Schema, size: int = 8192,
 def to_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, field.type) for column, field in zip(zip(*records), schema)], schema=schema)
+
+
+def marked(docs: DataFrame, label: str = "located") -> DataFrame:
+    """``docs`` with the place of each row, ``__at`` (file, row); rows that are in no file are staged first."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at")
+    try:
+        return docs.select("*", at)
+    except AnalysisException:
+        return stage(docs, label).select("*", at)
