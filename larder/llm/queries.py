@@ -1,4 +1,4 @@
 """All queries of the subpackage, with their SQL where SQL can express them."""
 
-from larder.llm import decontaminate, dedup, packing, simhash, substring, token_files  # noqa: F401
+from larder.llm import decontaminate, dedup, packing, simhash, substring, token_files, warc  # noqa: F401
 from larder.llm.base import ORACLE, QUERIES  # noqa: F401
