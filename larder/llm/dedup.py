@@ -102,6 +102,7 @@ def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = N
     shared = state.where("size > 1").select("digest", F.col("best.at").alias("keeper"))
     hits = texts.withColumns({"norm": norm, "n_points": F.length(F.coalesce("text", F.lit(""))).cast("long")})
     hits = hits.withColumn("digest", digest(F.col("norm"))).drop("text").join(shared, "digest")
+    hits = stage(hits, "dedup-hits")
     kept_text = hits.where("at = keeper").select("digest", F.col("norm").alias("kept_norm"))
     checked = stage(hits.join(kept_text, "digest").select(
         "digest", "doc_id", "at", "n_points",
