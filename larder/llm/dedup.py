@@ -20,8 +20,12 @@ from pyspark.errors import AnalysisException
 from larder.llm.base import query, table
 from larder.session import new_path, stage
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Each state partition would otherwise reserve several MB of disk for logs that stay nearly empty.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def squeezed(text: str = "text") -> Column:
@@ -61,8 +65,9 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
     state = reader.parquet(source).groupBy("digest").agg(
         F.count(F.lit(1)).alias("size"),
         F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rank"), "at")).alias("best"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         (state.writeStream.outputMode("update").format("noop").trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start().awaitTermination())
@@ -72,10 +77,11 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
             "key.digest", F.col(f"value.{size}").alias("size"), F.col(f"value.{best}").alias("best")),
             "dedup-held")
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
