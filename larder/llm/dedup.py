@@ -15,9 +15,8 @@ stays (by locator); an empty table gives an empty result; other columns are not
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
-from larder.llm.base import query, table
+from larder.llm.base import marked, query, table
 from larder.session import new_path, stage
 
 # Each state partition would otherwise reserve several MB of disk for logs that stay nearly empty.
@@ -40,16 +39,6 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and the locator (file, row); rows that are in no file are staged first."""
-    docs = docs.select("doc_id", "text")
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return docs.select("doc_id", "text", at.alias("at"))
-    except AnalysisException:
-        return stage(docs, "dedup-texts").select("doc_id", "text", at.alias("at"))
-
-
 def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """One row per digest: its size and its best row, held as streaming state.
 
@@ -86,7 +75,12 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
 
 def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """Per row: doc_id, at (locator), keep_id, group_size, kept, digest."""
-    texts = located(docs)
+    placed = marked(docs.select("doc_id", "text"), "dedup-texts")
+    return groups_of(placed.withColumnRenamed("__at", "at"), digest, files_per_batch)
+
+
+def groups_of(texts: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+    """The same for rows that have their locator ``at``."""
     norm = squeezed()
     arrivals = texts.select(
         digest(norm).alias("digest"), "doc_id",
@@ -96,7 +90,7 @@ def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = N
             T.StructField("doc_id", T.LongType()), T.StructField("at", arrivals.schema["at"].dataType),
             T.StructField("keep_id", T.LongType()), T.StructField("group_size", T.LongType()),
             T.StructField("kept", T.BooleanType()), T.StructField("digest", T.StringType())])
-        return docs.sparkSession.createDataFrame([], empty)
+        return texts.sparkSession.createDataFrame([], empty)
     state = keyed_state(arrivals, files_per_batch)
 
     lone = state.where("size = 1").select(
@@ -125,14 +119,10 @@ def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = N
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        marked = docs.select("*", at.alias("__at"))
-    except AnalysisException:
-        docs = stage(docs, "dedup-texts")
-        marked = docs.select("*", at.alias("__at"))
-    dropped = exact_groups(docs).where("not kept").select(F.col("at").alias("__at"))
-    return marked.join(dropped, "__at", "left_anti").drop("__at")
+    placed = marked(docs, "dedup-texts")
+    texts = placed.select("doc_id", "text", F.col("__at").alias("at"))
+    dropped = groups_of(texts).where("not kept").select(F.col("at").alias("__at"))
+    return placed.join(dropped, "__at", "left_anti").drop("__at")
 
 
 @query("op2_exact_dedup", oracle=r"""
