@@ -9,8 +9,8 @@ input, so the order of removal does not matter.
   that at least two of them have; these are a fraction of all words.
 * Extend: an anchor is extended left and right as far as the windows that chose it reach. Per anchor,
   occurrences are compared by the hashes of these windows and each learns which of them an earlier
-  document has. Occurrences of an anchor meet in one task while there are at most ``HOT`` of them; the
-  others are aggregated per window before the shuffle and joined back, where a hot window is split.
+  document has. Occurrences of an anchor meet in one task; those of an anchor with more than ``HOT`` are
+  salted by document, and what a salt cannot decide is decided in a second, small step.
 * Maximal: a document unites its repeated windows into maximal spans of at least ``LENGTH`` words.
 
 No pair of documents is formed and no group is capped. Equal windows are told by 64-bit hashes of their
@@ -23,11 +23,12 @@ do not remove each other's words; an empty table gives an empty result; other co
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from larder.llm.base import query, table, utf8
+from larder.session import stage
 
 LENGTH, ANCHOR = 13, 4
 HOT = 10_000
@@ -78,30 +79,34 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def extensions(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(anchor, doc_id, hot, keys): the distinct windows of a document that chose a shared anchor."""
+    """(anchor, salt, doc_id, keys): the distinct windows of a document that chose a shared anchor.
+
+    The salt is -1 for anchors that need none.
+    """
     def run(batches):
         held, n_keys = [], 0
 
         def flush():
-            anchor, doc_id, hot, n, keys = (np.concatenate(c) for c in zip(*held))
+            anchor, salt, doc_id, n, keys = (np.concatenate(c) for c in zip(*held))
             offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(doc_id), pa.array(hot), pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                names=["anchor", "doc_id", "hot", "keys"])
+                [pa.array(anchor), pa.array(salt), pa.array(doc_id), pa.ListArray.from_arrays(offsets, pa.array(keys))],
+                names=["anchor", "salt", "doc_id", "keys"])
 
         for batch in batches:
             for doc_id, text, cold, hot in zip(*(c.to_pylist() for c in batch.columns)):
                 if not cold and not hot:
                     continue
+                salts = {h["anchor"]: h["salts"] for h in hot or ()}
                 chosen, keys = windows(text.split())
-                shared = np.array([*(cold or ()), *(hot or ())], np.int64)
-                mask = np.isin(chosen, shared)
+                mask = np.isin(chosen, np.array([*(cold or ()), *salts], np.int64))
                 pairs = np.unique(np.stack([chosen[mask], keys[mask]], axis=1), axis=0)
                 if not len(pairs):
                     continue
                 anchor, n = np.unique(pairs[:, 0], return_counts=True)
-                held.append((anchor, np.full(len(anchor), doc_id), np.isin(anchor, np.array(hot or (), np.int64)),
-                             n, pairs[:, 1]))
+                number = xxh64_intdigest(str(doc_id))
+                salt = np.array([number % salts[a] if a in salts else -1 for a in anchor.tolist()], np.int64)
+                held.append((anchor, salt, np.full(len(anchor), doc_id), n, pairs[:, 1]))
                 n_keys += len(pairs)
                 if n_keys >= KEYS_AT_ONCE:
                     yield flush()
@@ -110,58 +115,68 @@ def extensions(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             yield flush()
 
     of_doc = seeds.groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
-        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+        F.collect_set(F.when(F.col("salts") == 1, F.col("anchor"))).alias("cold"),
+        F.collect_set(F.when(F.col("salts") > 1, F.struct("anchor", "salts"))).alias("hot"))
     return docs.join(of_doc, "doc_id", "left").select("doc_id", "bytes", "cold", "hot").mapInArrow(
-        run, "anchor long, doc_id long, hot boolean, keys array<long>")
+        run, "anchor long, salt long, doc_id long, keys array<long>")
+
+
+def earlier(found: DataFrame) -> DataFrame:
+    """(doc_id, whole, keys): anchors all of whose windows an earlier document has, or else such windows.
+
+    Occurrences of an anchor and salt meet in one task, where every window but its first document's is
+    decided. The first of a salted anchor's window may still be late; these are left open, one per salt,
+    and decided among themselves.
+    """
+    names = ["doc_id", "whole", "keys", "open"]
 
+    def lists(n, keys):
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(keys))
 
-def earlier_of_groups(found: DataFrame) -> DataFrame:
-    """(doc_id, whole, keys): anchors all of whose windows an earlier document has, or else the windows."""
-    def judge(anchor, doc_id, n, keys):
+    def judge(anchor, salt, doc_id, n, keys):
         row = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((keys, anchor[row]))
-        a, k = anchor[row][order], keys[order]
-        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])])
+        order = np.lexsort((keys, salt[row], anchor[row]))
+        group = np.stack([anchor[row], salt[row], keys])[:, order]
+        start = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0)])
         first = np.minimum.reduceat(doc_id[row][order], start)
-        hit = np.empty(len(keys), bool)
-        hit[order] = np.repeat(first, np.diff(np.r_[start, len(keys)])) < doc_id[row][order]
-        n_hit = np.bincount(row, hit, len(n)).astype(np.int64)
-        some = n_hit > 0
-        whole, partial = n_hit == n, some & (n_hit < n)
-        n_kept = np.where(partial, n_hit, 0)[some]
-        offsets = pa.array(np.r_[0, np.cumsum(n_kept)].astype(np.int32))
-        return pa.RecordBatch.from_arrays(
+        late = np.empty(len(keys), bool)
+        late[order] = np.repeat(first, np.diff(np.r_[start, len(keys)])) < doc_id[row][order]
+        n_late = np.bincount(row, late, len(n)).astype(np.int64)
+        some, whole = n_late > 0, n_late == n
+        yield pa.RecordBatch.from_arrays(
             [pa.array(doc_id[some]), pa.array(anchor[some], mask=~whole[some]),
-             pa.ListArray.from_arrays(offsets, pa.array(keys[hit & partial[row]]))], names=["doc_id", "whole", "keys"])
+             lists(np.where(whole, 0, n_late)[some], keys[late & ~whole[row]]), pa.nulls(int(some.sum()), pa.int64())],
+            names=names)
+        left = (salt >= 0) & ~whole
+        if left.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_id[left]), pa.nulls(int(left.sum()), pa.int64()),
+                 lists((n - n_late)[left], keys[~late & left[row]]), pa.array(anchor[left])], names=names)
 
     def run(batches):
         held = None
         for batch in batches:
-            lists = batch.column(2)
-            rows = [batch.column(0).to_numpy(), batch.column(1).to_numpy(),
-                    lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()]
+            keys = batch.column(3)
+            rows = [*(batch.column(i).to_numpy() for i in range(3)),
+                    keys.value_lengths().to_numpy().astype(np.int64), keys.flatten().to_numpy()]
             if held:
                 rows = [np.concatenate(pair) for pair in zip(held, rows)]
-            change = np.flatnonzero(np.diff(rows[0]))
+            change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))
             cut = int(change[-1]) + 1 if len(change) else 0
-            at = int(rows[2][:cut].sum())
+            at = int(rows[3][:cut].sum())
             if cut:
-                yield judge(*(r[:cut] for r in rows[:3]), rows[3][:at])
-            held = [*(r[cut:] for r in rows[:3]), rows[3][at:]]
+                yield from judge(*(r[:cut] for r in rows[:4]), rows[4][:at])
+            held = [*(r[cut:] for r in rows[:4]), rows[4][at:]]
         if held and len(held[0]):
-            yield judge(*held)
-
-    grouped = found.where("not hot").select("anchor", "doc_id", "keys").repartition("anchor").sortWithinPartitions("anchor")
-    return grouped.mapInArrow(run, "doc_id long, whole long, keys array<long>")
-
+            yield from judge(*held)
 
-def earlier_of_hot(found: DataFrame) -> DataFrame:
-    """The same for anchors with very many occurrences: a minimum per window, joined back."""
-    each = found.where("hot").select("anchor", "doc_id", F.explode("keys").alias("key"))
-    first = each.groupBy("anchor", "key").agg(F.min("doc_id").alias("first"))
-    hit = each.join(first, ["anchor", "key"]).where("first < doc_id")
-    return hit.select("doc_id", F.lit(None).cast("long").alias("whole"), F.array("key").alias("keys"))
+    grouped = found.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    judged = grouped.mapInArrow(run, "doc_id long, whole long, keys array<long>, open long")
+    open_ = judged.where("open IS NOT NULL").select("doc_id", "open", F.explode("keys").alias("key"))
+    first = F.min("doc_id").over(Window.partitionBy("open", "key"))
+    late = open_.withColumn("first", first).where("first < doc_id").select(
+        "doc_id", F.lit(None).cast("long").alias("whole"), F.array("key").alias("keys"))
+    return judged.where("open IS NULL").drop("open").unionByName(late)
 
 
 def marked_words(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -201,11 +216,12 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, edges (first and end of each removed span, in words), kept (UTF-8)."""
     docs = docs.select("doc_id", "text")
     found = anchors(docs)
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > hot).alias("hot"))
+    salts = F.ceil(F.col("count") / hot).cast("int").alias("salts")
+    # Staged, so that the join with a hot anchor can be split.
+    shared = stage(found.groupBy("anchor").count().where("count > 1").select("anchor", salts), "shared-anchors")
     seeds = found.join(shared, "anchor")
     texts = docs.select("doc_id", utf8("text").alias("bytes"))
-    extended = extensions(texts, seeds)
-    return marked_words(texts, earlier_of_groups(extended).unionByName(earlier_of_hot(extended)))
+    return marked_words(texts, earlier(extensions(texts, seeds)))
 
 
 @query("op1_substring_dedup")

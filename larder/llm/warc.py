@@ -153,8 +153,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     payload = F.coalesce("html", F.lit("")).cast("binary")
     read = pages.select("page_id", "url", payload.alias("payload"))
     keyed = read.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    first = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"))
-    # A short payload has no digest here, joins nothing and is a response.
+    first = (keyed.where("digest IS NOT NULL").groupBy("digest")
+             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    first = stage(first, "warc-first")  # so that a join with very many copies can be split
+    # A short or unique payload joins nothing and is a response.
     placed = keyed.join(first, "digest", "left")
 
     def run(batches):
