@@ -176,25 +176,24 @@ def promo_lift(spark, sf):
 # ---- runs and reports ---------------------------------------------------------------------
 
 _CHAMPION = """SELECT r.*, c.run_id AS champion, c.mase AS cm, c.rmse AS cr FROM model_runs r
- LEFT JOIN model_runs c ON c.trained_date = (SELECT max(x.trained_date) FROM model_runs x WHERE x.trained_date < r.trained_date AND x.decision = 'promote')"""
+ LEFT JOIN model_runs c ON c.run_id = (SELECT max_by(x.run_id, (x.trained_date, x.run_id)) FROM model_runs x
+  WHERE (x.trained_date, x.run_id) < (r.trained_date, r.run_id) AND x.decision = 'promote')"""
 _COMPARED = """SELECT run_id, coalesce(champion, 'None') AS champion_id, metric_name, o AS champion_metric, n AS new_metric,
-  CASE WHEN champion IS NULL OR metric_name IS NULL THEN true ELSE n < o AND abs((n - o) / nullif(o, 0)) >= 0.02::DOUBLE END AS is_better,
-  CASE WHEN champion IS NULL THEN 'No champion model to compare against. New model promoted by default.'
-   WHEN metric_name IS NULL THEN 'Metric type mismatch or missing. Promoting by default.'
-   WHEN n < o THEN 'New model improved ' || metric_name || ' by ' || printf('%.2f', abs((n - o) / o) * 100) || '%.|' ||
-    CASE WHEN abs((n - o) / o) >= 0.02::DOUBLE THEN 'Improvement meets or exceeds the 2% threshold.' ELSE 'Improvement is below the 2% threshold.' END
-   ELSE 'New model ' || metric_name || ' is worse than or equal to the champion model.' END AS reasons FROM
+  CASE WHEN reason IN ('first_run', 'no_common_metric', 'better') THEN true ELSE false END AS is_better, reason,
+  CASE WHEN champion IS NOT NULL AND metric_name IS NOT NULL AND n < o THEN abs((n - o) / o) END AS gain FROM
+ (SELECT *, CASE WHEN champion IS NULL THEN 'first_run' WHEN metric_name IS NULL THEN 'no_common_metric'
+   WHEN n < o AND abs((n - o) / nullif(o, 0)) >= 0.02::DOUBLE THEN 'better' WHEN n < o THEN 'gain_below_threshold' ELSE 'not_better' END AS reason FROM
  (SELECT *, CASE WHEN mase IS NOT NULL AND cm IS NOT NULL THEN 'MASE' WHEN rmse IS NOT NULL AND cr IS NOT NULL THEN 'RMSE' END AS metric_name,
-   CASE WHEN mase IS NOT NULL AND cm IS NOT NULL THEN mase ELSE rmse END AS n, CASE WHEN mase IS NOT NULL AND cm IS NOT NULL THEN cm ELSE cr END AS o FROM champ)"""
+   CASE WHEN mase IS NOT NULL AND cm IS NOT NULL THEN mase ELSE rmse END AS n, CASE WHEN mase IS NOT NULL AND cm IS NOT NULL THEN cm ELSE cr END AS o FROM champ))"""
 
 
 @query("compare_models", v.sql(
     "SELECT run_id, champion_id, metric_name, CASE WHEN metric_name IS NOT NULL THEN champion_metric END AS champion_metric, "
-    "CASE WHEN metric_name IS NOT NULL THEN new_metric END AS new_metric, is_better, reasons FROM compared", champ=_CHAMPION, compared=_COMPARED))
+    "CASE WHEN metric_name IS NOT NULL THEN new_metric END AS new_metric, is_better, reason, round(gain, 6) AS gain FROM compared", champ=_CHAMPION, compared=_COMPARED))
 def compare_models(spark, sf):
     out = monitor.compare_runs(v.model_runs(spark, sf))
-    return out.select("run_id", "champion_id", "metric_name", "champion_metric", "new_metric", "is_better",
-                      F.concat_ws("|", "reasons").alias("reasons"))
+    return rounded(out.select("run_id", "champion_id", "metric_name", "champion_metric", "new_metric", "is_better",
+                              "reason", "gain"), 6, "gain")
 
 
 @query("promotion_decision", v.sql(
@@ -208,7 +207,7 @@ def promotion_decision(spark, sf):
 
 
 @query("latest_run_metrics", v.sql(
-    "SELECT run_id, mase, rmse, mape, trained_date AS last_trained FROM model_runs ORDER BY trained_date DESC LIMIT 1"))
+    "SELECT run_id, mase, rmse, mape, trained_date AS last_trained FROM model_runs ORDER BY trained_date DESC, run_id DESC LIMIT 1"))
 def latest_run_metrics(spark, sf):
     return monitor.latest_metrics(v.model_runs(spark, sf))
 
@@ -224,7 +223,7 @@ def run_log(spark, sf):
         F.min("rmse").alias("rmse"), F.min("wape").alias("wape"))
     record = monitor.run_record(
         "inventory_recommendations_check", series.agg(F.max("ds")).scalar(), errors, "promote",
-        ["Policy: Always promote the latest model."], "None", {"table": "sku_series"}, "scheduled", [])
+        ["always"], "None", {"table": "sku_series"}, "scheduled", [])
     path = new_path(spark, "runs")
     sinks.append(record, path)
     return spark.read.parquet(path).select(

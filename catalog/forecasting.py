@@ -27,8 +27,10 @@ BT = {
               "coalesce(avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) * 100, 0) AS mape, "
               "CASE WHEN sum(abs(y)) > 0 THEN sum(abs(y - yhat)) / sum(abs(y)) * 100 ELSE 0 END AS wape, "
               "avg(2 * abs(y - yhat) / (abs(yhat) + abs(y) + 1e-10)) * 100 AS smape FROM bt GROUP BY 1, 2",
-    "scale": "SELECT item_id, avg(d) AS scale FROM (SELECT item_id, abs(y - lag(y, 7) OVER (PARTITION BY item_id ORDER BY ds)) AS d "
-             "FROM sku_series) GROUP BY 1",
+    "season_steps": "SELECT item_id, ds, abs(y - lag(y, 7) OVER (PARTITION BY item_id ORDER BY ds)) AS d FROM sku_series",
+    "scale": "SELECT b.item_id, b.win, avg(s.d) AS scale FROM bt_rows b JOIN season_steps s USING (item_id, ds) WHERE b.step <= 0 GROUP BY 1, 2",
+    "mase_rows": "SELECT model, item_id, avg(mae) AS mae, avg(scale) AS scale, avg(mae / nullif(scale, 0)) AS mase FROM (SELECT model, item_id, win, "
+                 "avg(abs(y - yhat)) AS mae FROM bt GROUP BY 1, 2, 3) LEFT JOIN scale USING (item_id, win) GROUP BY 1, 2",
     "bt_weights": "SELECT item_id, model, wape, (1 / (wape + 1e-10)) / sum(1 / (wape + 1e-10)) OVER (PARTITION BY item_id) AS weight FROM errors",
     "sku_level": "SELECT item_id, avg(y) AS mean, max(ds) AS last_ds FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ds DESC) AS age "
                  "FROM sku_series) WHERE age <= 7 GROUP BY 1",
@@ -160,8 +162,7 @@ def forecast_metrics(spark, sf):
     return rounded(errors(spark, sf), 5, *_M, "accuracy")
 
 
-@query("forecast_mase", v.sql("SELECT model, item_id, " + r(5, mae="mae", scale="scale", mase="mae / nullif(scale, 0)")
-                              + " FROM errors JOIN scale USING (item_id)", **BT))
+@query("forecast_mase", v.sql("SELECT model, item_id, " + r(5, mae="mae", scale="scale", mase="mase") + " FROM mase_rows", **BT))
 def forecast_mase(spark, sf):
     s = sku_series(spark, sf)
     return rounded(ev.mase(ev.backtest(s), s), 5, "mae", "scale", "mase")
@@ -169,21 +170,44 @@ def forecast_mase(spark, sf):
 
 @query("leaderboard", v.sql(
     "SELECT *, dense_rank() OVER (ORDER BY mase NULLS LAST, model) AS rank FROM (SELECT model, "
-    + r(5, mase="avg(mae / nullif(scale, 0))", rmse="avg(rmse)", wape="avg(wape)") + ", count(*) AS items FROM errors "
-    "JOIN scale USING (item_id) GROUP BY 1)", **BT))
+    + r(5, mase="avg(mase)", rmse="avg(rmse)", wape="avg(wape)") + ", count(*) AS items FROM errors "
+    "JOIN (SELECT model, item_id, mase FROM mase_rows) USING (model, item_id) GROUP BY 1)", **BT))
 def leaderboard(spark, sf):
-    s = sku_series(spark, sf)
-    e = errors(spark, sf).join(ev.naive_scale(s), "item_id").withColumn("mase", F.try_divide("mae", "scale"))
-    return rounded(ev.leaderboard(e), 5, "mase", "rmse", "wape").withColumn("rank", F.col("rank").cast("bigint"))
+    return _board(*plan.backtested(sku_series(spark, sf)))
+
+
+def _board(series, scored):
+    board = ev.leaderboard(plan.model_errors(series, scored))
+    return rounded(board, 5, "mase", "rmse", "wape").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("union_leaderboards", v.sql(
-    "SELECT 'first' AS preset, model, " + r(5, wape="avg(wape)") + " FROM errors GROUP BY 2 UNION ALL "
-    "SELECT 'last', model, " + r(5, wape="avg(wape)") + " FROM errors GROUP BY 2", **BT))
+    "SELECT 'all windows' AS preset, model, " + r(5, wape="avg(wape)") + " FROM errors GROUP BY 2 UNION ALL "
+    "SELECT 'newest window', model, " + r(5, wape="avg(wape)") + " FROM (SELECT model, item_id, CASE WHEN sum(abs(y)) > 0 THEN "
+    "sum(abs(y - yhat)) / sum(abs(y)) * 100 ELSE 0 END AS wape FROM bt WHERE win = 0 GROUP BY 1, 2) GROUP BY 2", **BT))
 def union_leaderboards(spark, sf):
-    board = errors(spark, sf).groupBy("model").agg(F.avg("wape").alias("wape"))
-    both = board.withColumn("preset", F.lit("first")).unionByName(board.withColumn("preset", F.lit("last")))
-    return rounded(both, 5, "wape").select("preset", "model", "wape")
+    """The boards of two presets, all validation windows and the newest one, stacked."""
+    _, scored = plan.backtested(sku_series(spark, sf))
+    boards = [ev.metrics(rows).groupBy("model").agg(F.avg("wape").alias("wape")).withColumn("preset", F.lit(name))
+              for name, rows in (("all windows", scored), ("newest window", scored.where("window = 0")))]
+    return rounded(boards[0].unionByName(boards[1]), 5, "wape").select("preset", "model", "wape")
+
+
+FITTED_WINDOWS = 2  # every window fits both models anew
+
+
+@query("leaderboard_fitted")
+def leaderboard_fitted(spark, sf):
+    """The board of all four models; the fitted ones learn anew before each window's cutoff."""
+    return _board(*plan.backtested(flagged_series(spark, sf), fitted=True, windows=FITTED_WINDOWS))
+
+
+@query("champion_fitted")
+def champion_fitted(spark, sf):
+    """Each item's champion among all four models, or their blend, over the horizon."""
+    series = flagged_series(spark, sf)
+    out = plan.champion_forecast(series, item_future(spark, sf, series), FITTED_WINDOWS)
+    return out.groupBy("item_id", "model").agg(F.count(F.lit(1)).alias("days"), F.sum("mean").alias("total"))
 
 
 @query("champion_select", v.sql(
@@ -280,19 +304,19 @@ def robust_scale(spark, sf):
     return rounded(ft.robust_scale(sku_series(spark, sf), ["y"]), 6, "y")
 
 
-_WEEKS = 52
+_WEEKS = segment.WEEKS
 
 
 def part_profile(spark, sf):
     daily = v.sales(spark, sf).groupBy("sku", "ds").agg(F.sum("qty").alias("y"), F.count(F.lit(1)).alias("records"))
-    return segment.weekly_profile(daily, _WEEKS)
+    return segment.weekly_profile(daily)
 
 
 @query("demand_profile", v.sql(
     "SELECT sku, " + r(6, **{f"w{i}": f"coalesce((w{i} - lo) / nullif(hi - lo, 0), 0)" for i in range(_WEEKS)}) + " FROM (SELECT *, least("
     + ", ".join(f"w{i}" for i in range(_WEEKS)) + ") AS lo, greatest(" + ", ".join(f"w{i}" for i in range(_WEEKS)) + ") AS hi FROM (SELECT sku, "
-    + ", ".join(f"coalesce(sum(qty) FILTER (date_diff('day', ds, last) // 7 = {_WEEKS - 1 - i}), 0) AS w{i}" for i in range(_WEEKS))
-    + " FROM sales, (SELECT max(ds) AS last FROM sales) GROUP BY sku HAVING count(*) >= 30))"))
+    + ", ".join(f"coalesce(sum(qty) FILTER (least((dayofyear(ds) - 1) // 7, {_WEEKS - 1}) = {i}), 0) AS w{i}" for i in range(_WEEKS))
+    + " FROM sales GROUP BY sku HAVING count(*) >= 30))"))
 def demand_profile(spark, sf):
     return rounded(part_profile(spark, sf), 6, *[f"w{i}" for i in range(_WEEKS)])
 

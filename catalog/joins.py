@@ -32,12 +32,12 @@ def sku_grid(spark, sf):
 @query("join_inventory", v.sql(
     "SELECT sku, channel, ds, target, coalesce(warehouse_qty, 1) AS warehouse_qty FROM "
     "(SELECT sku, channel, ds, sum(qty) AS target FROM sales GROUP BY ALL) LEFT JOIN "
-    "(SELECT * FROM stock WHERE day(ds) <> 1) USING (sku, ds)"))
+    "stock USING (sku, ds)"))
 def join_inventory(spark, sf):
-    """Daily sales with daily stock; the first of each month has no stock rows."""
+    """Daily sales with daily stock; a day without stock rows counts as in stock."""
     s = v.sales(spark, sf)
     daily = s.groupBy("sku", "channel", "ds").agg(F.sum("qty").alias("target"))
-    return sl.join_stock(daily, v.stock(s).where(F.dayofmonth("ds") != 1)).select(
+    return sl.join_stock(daily, v.stock(s)).select(
         "sku", "channel", "ds", "target", "warehouse_qty")
 
 
@@ -116,11 +116,11 @@ def semi_top_skus(spark, sf):
     "SELECT i.sku, coalesce(c.class, 'C') AS class, " + v.z_sql("coalesce(c.class, 'C')") + " AS z FROM (SELECT DISTINCT sku FROM sales) i LEFT JOIN ("
     "SELECT sku, CASE WHEN position <= floor(n * 0.2::DOUBLE) THEN 'A' WHEN position <= floor(n * 0.2::DOUBLE) + floor(n * 0.3::DOUBLE) "
     "THEN 'B' ELSE 'C' END AS class FROM (SELECT sku, row_number() OVER (ORDER BY sum(qty) DESC, sku) AS position, count(*) OVER () AS n "
-    "FROM sales WHERE ds < DATE '1997-01-01' GROUP BY sku)) c ON c.sku = i.sku"))
+    "FROM sales GROUP BY sku)) c ON c.sku = i.sku"))
 def join_class_map(spark, sf):
-    """Classes from the first two years; SKUs unknown then default to C."""
+    """Classes by units; a SKU without a class defaults to C."""
     s = v.sales(spark, sf)
-    classes = plan.volume_classes(s.where(F.col("ds") < "1997-01-01"))
+    classes = plan.volume_classes(s)
     out = s.select("sku").distinct().join(classes.select("sku", "class"), "sku", "left")
     return out.select("sku", F.coalesce("class", F.lit("C")).alias("class")).withColumn(
         "z", inventory.service_level_z())
@@ -202,12 +202,12 @@ def future_frame(spark, sf):
     "coalesce(l.qty, (SELECT avg(qty) FROM lines)) AS qty FROM sma f LEFT JOIN "
     "(SELECT item_id, max_by(disc, ds) AS disc, max_by(qty, ds) AS qty FROM lines GROUP BY 1) l USING (item_id)",
     lines="SELECT sku || '_' || channel AS item_id, ds, max(disc) AS disc, sum(qty) AS qty FROM family "
-          "WHERE channel <> 'Offline' GROUP BY 1, 2"))
+          "GROUP BY 1, 2"))
 def carry_last_covariates(spark, sf):
-    """Covariates known for two channels only; the third takes the overall mean."""
+    """The last known covariates of each item; an item without any takes the overall mean."""
     lines = v.family(spark, sf)
     items = lines.select(cl.item_id().alias("item_id")).distinct()
     future = grid.future_days(items, grid.day_span(lines)[1]).select("item_id", "step")
-    panel = lines.where(F.col("channel") != "Offline").groupBy(cl.item_id().alias("item_id"), "ds").agg(
+    panel = lines.groupBy(cl.item_id().alias("item_id"), "ds").agg(
         F.max("disc").alias("disc"), F.sum("qty").alias("qty"))
     return sl.carry_last(panel, ["disc", "qty"], future)

@@ -118,8 +118,8 @@ def sink_append(spark, sf):
 @query("sink_upsert", v.sql(
     "SELECT coalesce(n.sku, o.sku) AS sku_id, coalesce(n.units, o.units) AS units, "
     "CASE WHEN n.sku IS NULL THEN 'old' ELSE 'new' END AS origin "
-    "FROM (SELECT sku, sum(qty) AS units FROM sales WHERE status = 'F' AND ds < DATE '2000-01-01' GROUP BY 1) o "
-    "FULL JOIN (SELECT sku, sum(qty) AS units FROM sales WHERE status = 'O' AND ds >= DATE '2000-01-01' GROUP BY 1) n USING (sku)"))
+    "FROM (SELECT sku, sum(qty) AS units FROM sales WHERE status = 'F' GROUP BY 1) o "
+    "FULL JOIN (SELECT sku, sum(qty) AS units FROM sales WHERE status = 'O' GROUP BY 1) n USING (sku)"))
 def sink_upsert(spark, sf):
     s = v.sales(spark, sf)
 
@@ -127,8 +127,8 @@ def sink_upsert(spark, sf):
         return s.where(cond).groupBy(F.col("sku").alias("sku_id")).agg(
             F.sum("qty").alias("units")).withColumn("origin", F.lit(origin))
 
-    old = totals((F.col("status") == "F") & (F.col("ds") < "2000-01-01"), "old")
-    new = totals((F.col("status") == "O") & (F.col("ds") >= "2000-01-01"), "new")
+    old = totals(F.col("status") == "F", "old")
+    new = totals(F.col("status") == "O", "new")
     path = new_path(spark, "upsert")
     sinks.overwrite(sinks.upserted(old, new, ["sku_id"]), path)
     return spark.read.parquet(path)

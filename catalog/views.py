@@ -28,21 +28,8 @@ HOLIDAYS = (
 BRAND_PREFIX = "HOUSE_"
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table that is smaller than one scan split over the session's cores.
-
-    The test files hold a single row group, which one task would read and process alone. The
-    size is checked first: a larger table keeps its own splits and is not shuffled.
-    """
-    spark = df.sparkSession
-    limit = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = tables.scan(spark, f"{sf}/{name}.parquet")
-    return spread_small(df) if name == "lineitem" else df
+    return tables.scan(spark, f"{sf}/{name}.parquet")
 
 
 def _lines(spark, sf):

@@ -293,10 +293,10 @@ def discount_share(spark, sf):
 
 @query("stockout_flag", v.sql(
     "SELECT sku, ds, (coalesce(warehouse_qty, 1) <= 0)::INTEGER AS was_stocked_out FROM (SELECT DISTINCT sku, ds FROM sales) LEFT JOIN "
-    "(SELECT * FROM stock WHERE day(ds) <> 1) USING (sku, ds)"))
+    "stock USING (sku, ds)"))
 def stockout_flag(spark, sf):
     s = v.sales(spark, sf)
-    j = s.select("sku", "ds").distinct().join(v.stock(s).where(F.dayofmonth("ds") != 1), ["sku", "ds"], "left")
+    j = s.select("sku", "ds").distinct().join(v.stock(s), ["sku", "ds"], "left")
     return j.select("sku", "ds", ft.stockout_flag().alias("was_stocked_out"))
 
 

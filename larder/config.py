@@ -27,6 +27,8 @@ MIN_SEASONAL_STRENGTH = 0.2
 IMPROVEMENT_THRESHOLD = 0.02
 VERSIONS_TO_KEEP = 5
 RANDOM_SEED = 42
+GBT_TREES = 15   # boosting rounds and depth of the global tree model; more trees fit finer
+GBT_DEPTH = 4
 HOLIDAY_TYPES = ("National holiday", "Optional holiday")
 CHANNEL_ORDER = ("App", "Web", "Offline")
 WEDDING_MONTHS = (10, 11, 12, 1, 2)

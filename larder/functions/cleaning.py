@@ -66,16 +66,20 @@ def channel_name(c) -> Column:
 
 
 def item_id(sku="sku", channel="channel") -> Column:
-    return F.concat_ws("_", as_column(sku), as_column(channel))
+    """SKU and channel joined by an underscore; null without a SKU, an unnamed channel is Unknown."""
+    return F.concat(as_column(sku), F.lit("_"), F.coalesce(as_column(channel), F.lit("Unknown")))
 
 
 def sku_of(item="item_id") -> Column:
-    """Text before the last underscore of an item id."""
-    return F.regexp_extract(as_column(item), r"^(.*)_([^_]*)$", 1)
+    """Text before the last underscore of an item id; the whole id if it has none."""
+    return F.regexp_replace(as_column(item), r"_[^_]*$", "")
 
 
 def channel_of(item="item_id") -> Column:
-    return F.regexp_extract(as_column(item), r"^(.*)_([^_]*)$", 2)
+    """Text after the last underscore of an item id; Unknown if it has none."""
+    item = as_column(item)
+    return F.when(item.contains("_"), F.regexp_extract(item, r"_([^_]*)$", 1)).otherwise(
+        F.when(item.isNotNull(), "Unknown"))
 
 
 def sku_category(sku="sku") -> Column:

@@ -1,10 +1,14 @@
 """Forecast errors, rolling-origin backtests, leaderboard and champion choice."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import config
+from larder.operators import forecast as fc
 from larder.operators.grid import days_of
+from larder.session import stage
 
 
 def metrics(scored: DataFrame, keys=("model", "item_id")) -> DataFrame:
@@ -27,19 +31,28 @@ def metrics(scored: DataFrame, keys=("model", "item_id")) -> DataFrame:
         (F.lit(100.0) - wape).alias("accuracy"))
 
 
-def naive_scale(series: DataFrame, season: int = config.SEASON_LENGTH) -> DataFrame:
-    """In-sample seasonal-naive MAE per item, the scale of MASE."""
+def naive_scale(series: DataFrame, season: int = config.SEASON_LENGTH,
+                windows: int = config.VALIDATION_WINDOWS,
+                horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+    """Seasonal-naive MAE per item and validation window, on the days up to the window's cutoff."""
+    last = series.agg(F.max("ds")).scalar()
     step = F.abs(F.col("y") - F.lag("y", season).over(days_of()))
-    return (series.select("item_id", step.alias("_s")).groupBy("item_id")
-            .agg(F.avg("_s").alias("scale")))
+    ks = F.array(*[F.lit(k) for k in range(windows)])
+    back = F.datediff("_last", "ds")
+    return (series.select("item_id", "ds", step.alias("_s")).withColumn("_last", last)
+            .withColumn("window", F.explode(F.filter(ks, lambda k: back >= (k + 1) * horizon)))
+            .groupBy("item_id", "window").agg(F.avg("_s").alias("scale")))
 
 
-def mase(scored: DataFrame, series: DataFrame) -> DataFrame:
-    """MAE over the scale; null where the scale is 0 or unknown."""
-    mae = scored.groupBy("model", "item_id").agg(
+def mase(scored: DataFrame, series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
+         horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+    """Mean over the windows of MAE over scale; a window with scale 0 or no history is left out."""
+    mae = scored.groupBy("model", "item_id", "window").agg(
         F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"))
-    return (mae.join(naive_scale(series), "item_id", "left")
-            .withColumn("mase", F.try_divide("mae", "scale")))
+    both = mae.join(naive_scale(series, windows=windows, horizon=horizon), ["item_id", "window"], "left")
+    return both.groupBy("model", "item_id").agg(
+        F.avg("mae").alias("mae"), F.avg("scale").alias("scale"),
+        F.avg(F.try_divide("mae", "scale")).alias("mase"))
 
 
 def backtest_windows(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
@@ -87,6 +100,41 @@ def backtest(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
                      "model", "yhat").where(F.col("yhat").isNotNull()))
 
 
+def backtest_harmonic(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
+                      horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+    """Backtest rows of the harmonic regression: one fit per item and window, all in one job."""
+    rows = backtest_windows(series, windows, horizon)
+    test = rows.where(F.col("part") == "test").withColumn("step", F.datediff("ds", "cutoff"))
+    keys = ("item_id", "window")
+    out = fc.harmonic(rows.where(F.col("part") == "train"), test, keys=keys)
+    return _with_actuals(out, test)
+
+
+def backtest_gbt(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
+                 horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+    """Backtest rows of the trees: one model of all items per window."""
+    rows = stage(backtest_windows(series, windows, horizon), "windows")
+    scored = []
+    for window in range(windows):
+        of_window = rows.where(F.col("window") == window)
+        train = of_window.where(F.col("part") == "train")
+        test = of_window.where(F.col("part") == "test").withColumn("step", F.datediff("ds", "cutoff"))
+        if train.isEmpty() or test.isEmpty():
+            continue
+        out = fc.gbt(train.select(series.columns), test.select("item_id", "ds", "step", "is_holiday", "is_on_promotion"))
+        scored.append(_with_actuals(out.withColumn("window", F.lit(window)), test))
+    if not scored:
+        empty = rows.withColumns({"step": F.lit(0), "model": F.lit("GBT"), "yhat": F.lit(0.0)})
+        return empty.select("item_id", "window", "step", "ds", "y", "model", "yhat").limit(0)
+    return reduce(DataFrame.unionByName, scored)
+
+
+def _with_actuals(forecast: DataFrame, test: DataFrame) -> DataFrame:
+    actual = test.select("item_id", "window", "ds", "y")
+    return forecast.withColumnRenamed("mean", "yhat").join(actual, ["item_id", "window", "ds"]).select(
+        "item_id", "window", "step", "ds", "y", "model", "yhat")
+
+
 def leaderboard(errors: DataFrame) -> DataFrame:
     """Mean errors per model, ranked by MASE."""
     board = errors.groupBy("model").agg(

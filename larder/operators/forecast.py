@@ -91,21 +91,22 @@ def harmonic_design(days: np.ndarray, holiday: np.ndarray, yearly: int = 10,
     return np.column_stack(cols)
 
 
-def harmonic(series: DataFrame, future: DataFrame, ridge: float = 1.0) -> DataFrame:
-    """Per-item ridge fit of the harmonic design, scored on the future rows.
+def harmonic(series: DataFrame, future: DataFrame, ridge: float = 1.0,
+             keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Per-item ridge fit of the harmonic design, scored on the future rows, never below 0.
 
-    ``series`` (item_id, ds, y, is_holiday) and ``future`` (item_id, ds, step, is_holiday) are
+    ``series`` (``keys``, ds, y, is_holiday) and ``future`` (``keys``, ds, step, is_holiday) are
     stacked, so history and horizon of an item meet in one Arrow group bounded by the calendar.
     """
-    both = (series.select("item_id", "ds", "y", "is_holiday", F.lit(0).alias("step"))
-            .unionByName(future.select("item_id", "ds", F.lit(None).cast("double").alias("y"),
+    both = (series.select(*keys, "ds", "y", "is_holiday", F.lit(0).alias("step"))
+            .unionByName(future.select(*keys, "ds", F.lit(None).cast("double").alias("y"),
                                        "is_holiday", "step"))
             .withColumn("day", F.datediff("ds", F.lit("1970-01-01").cast("date"))))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         past, ahead = pdf[pdf["step"] == 0], pdf[pdf["step"] > 0]
         if past.empty or ahead.empty:
-            return pd.DataFrame({"item_id": [], "step": [], "ds": [], "mean": []})
+            return pd.DataFrame({c: [] for c in (*keys, "step", "ds", "mean")})
         start = float(past["day"].min())
         x = harmonic_design(past["day"].to_numpy(float) - start,
                             past["is_holiday"].to_numpy(float))
@@ -114,12 +115,12 @@ def harmonic(series: DataFrame, future: DataFrame, ridge: float = 1.0) -> DataFr
         coef = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ past["y"].to_numpy(float))
         xf = harmonic_design(ahead["day"].to_numpy(float) - start,
                              ahead["is_holiday"].to_numpy(float))
-        return pd.DataFrame({"item_id": ahead["item_id"].to_numpy(), "step": ahead["step"].to_numpy(),
-                             "ds": ahead["ds"].to_numpy(), "mean": xf @ coef})
+        return ahead[[*keys, "step", "ds"]].assign(mean=np.maximum(xf @ coef, 0.0))
 
-    out = both.groupBy("item_id").applyInPandas(
-        fit, "item_id string, step int, ds date, mean double")
-    return out.select(F.lit("Harmonic").alias("model"), "item_id", "step", "ds", "mean")
+    kinds = dict(both.dtypes)
+    out = both.groupBy(*keys).applyInPandas(
+        fit, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", step int, ds date, mean double")
+    return out.select(F.lit("Harmonic").alias("model"), *keys, "step", "ds", "mean")
 
 
 # ---- gradient-boosted trees ---------------------------------------------------------------
@@ -182,8 +183,9 @@ def gbt_future_rows(series: DataFrame, future: DataFrame) -> DataFrame:
     return _gbt_rows(future, _origin_state(aged, ["item_id"]), ["item_id"])
 
 
-def fit_gbt(rows: DataFrame, iterations: int = 12, depth: int = 4) -> GBTRegressionModel:
-    """One model for all items with fixed parameters; ``rows`` is staged, each tree reads it."""
+def fit_gbt(rows: DataFrame, iterations: int = config.GBT_TREES,
+            depth: int = config.GBT_DEPTH) -> GBTRegressionModel:
+    """One model for all items; ``rows`` is staged, each tree reads it."""
     data = VectorAssembler(inputCols=GBT_FEATURES, outputCol="features").transform(
         stage(rows.select(F.col("y").alias("label"), *GBT_FEATURES), "gbt")
     ).select("label", "features")

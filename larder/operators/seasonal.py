@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from larder.operators.grid import days_of, dense_panel
 from larder.operators.segment import sku_stats
 
+NEAR_ZERO = 1e-6  # stands for 0 in the multiplicative model
+
 
 def decompose(series: DataFrame, period: int, model: str = "additive",
               key: str = "item_id", y: str = "y") -> DataFrame:
     """Trend, seasonal and residual of a dense daily series.
 
     The centred moving average comes from differences of running sums, O(1) per row for any
-    period (an even period takes half weights at its ends). Its missing ends continue the
+    period (an even period takes half weights at its ends). The sums are exact decimals with twelve
+    places, so large values leave no trace in the average of small ones. Its missing ends continue the
     least-squares line through ``period`` nearby trend points; as is usual for this method, the
     line at the back leaves out the last defined point. Items with fewer than two full periods
     of days are left out.
@@ -23,14 +26,15 @@ def decompose(series: DataFrame, period: int, model: str = "additive",
             .withColumns({
                 "i": F.row_number().over(w) - 1,
                 "days": F.count(F.lit(1)).over(whole),
-                "_s": F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+                "_s": F.sum(F.col("y").cast("decimal(28,12)")).over(
+                    w.rowsBetween(Window.unboundedPreceding, 0))})
             .where(F.col("days") >= 2 * period))
-    before = lambda n: F.coalesce(F.lag("_s", n).over(w), F.lit(0.0))
+    before = lambda n: F.coalesce(F.lag("_s", n).over(w), F.lit(0))
     if period % 2:
-        total = F.lead("_s", half).over(w) - before(half + 1)
+        total = (F.lead("_s", half).over(w) - before(half + 1)).cast("double")
     else:
         inner = F.lead("_s", half - 1).over(w) if half > 1 else F.col("_s")
-        inner = inner - before(half)
+        inner = (inner - before(half)).cast("double")
         total = inner + F.lit(0.5) * (F.lag("y", half).over(w) + F.lead("y", half).over(w))
     defined = (F.col("i") >= half) & (F.col("i") < F.col("days") - half)
     rows = rows.withColumn("_ma", F.when(defined, total / F.lit(float(period))))
@@ -68,18 +72,23 @@ def filled_series(sales: DataFrame, method: str = "zero", model: str = "additive
     fill = {"interpolate": "interpolate_back", "ffill": "ffill"}.get(method, "zero")
     out = dense_panel(daily, key, fills={"y": fill})
     if model == "multiplicative":
-        out = out.withColumn("y", F.when(F.col("y") == 0, 1e-6).otherwise(F.col("y")))
+        out = out.withColumn("y", F.when(F.col("y") == 0, NEAR_ZERO).otherwise(F.col("y")))
     return out
 
 
 def strength(series: DataFrame, period: int, model: str = "additive",
              key: str = "item_id") -> DataFrame:
-    """var(seasonal) / (var(seasonal) + var(residual)); 0 for short, zero or constant series."""
+    """var(seasonal) / (var(seasonal) + var(residual)); 0 for short, zero or constant series.
+
+    A series is zero if it was before zeros were replaced; variances at the level of rounding are 0.
+    """
     parts = decompose(series, period, model, key).groupBy(key).agg(
         F.var_pop("seasonal").alias("_vs"), F.var_pop("resid").alias("_vr"),
-        F.sum("y").alias("_sum"))
-    value = F.when(F.col("_sum") == 0, 0.0).otherwise(
-        F.try_divide("_vs", F.col("_vs") + F.col("_vr")))
+        F.sum(F.when(F.col("y") != NEAR_ZERO, F.col("y"))).alias("_sum"),
+        F.avg(F.col("y") * F.col("y")).alias("_level"))
+    nothing = (F.coalesce("_sum", F.lit(0.0)) == 0) | (
+        F.col("_vs") + F.col("_vr") <= F.when(F.lit(model == "multiplicative"), 1.0).otherwise(F.col("_level")) * 1e-20)
+    value = F.when(nothing, 0.0).otherwise(F.try_divide("_vs", F.col("_vs") + F.col("_vr")))
     known = parts.select(key, value.alias("seasonal_strength"))
     return (series.select(key).distinct().join(known, key, "left")
             .withColumn("seasonal_strength", F.coalesce("seasonal_strength", F.lit(0.0))))

@@ -10,6 +10,8 @@ from larder.operators.grid import days_of
 from larder.operators.ordered import ranked, running_totals
 from larder.session import stage
 
+WEEKS = 52
+
 
 def abc_by_volume(totals: DataFrame, shares=None) -> DataFrame:
     """Classes by rank of total units: the first share A, the next B, the rest C.
@@ -81,19 +83,20 @@ def density(sales: DataFrame) -> DataFrame:
     return out.select("item_id", "days", (F.lit(1.0) - F.col("sale_days") / F.col("days")).alias("zero_sales_ratio"))
 
 
-def weekly_profile(daily: DataFrame, weeks: int = 52, key: str = "sku",
+def weekly_profile(daily: DataFrame, key: str = "sku",
                    min_records: int = config.MIN_SERIES_DAYS) -> DataFrame:
-    """Min-max scaled units of the last ``weeks`` weeks per SKU with enough records.
+    """Min-max scaled units per week of the year, over the whole history, per SKU with enough records.
 
-    ``daily`` has one row per SKU and day with units ``y`` and ``records``.
+    ``daily`` has one row per SKU and day with units ``y`` and ``records``. Weeks start on January 1;
+    the last one takes the rest of the year.
     """
-    last = daily.agg(F.max("ds")).scalar()
-    back = F.floor(F.datediff(last, "ds") / 7).cast("int")
+    weeks = WEEKS
+    week = F.least(F.floor((F.dayofyear("ds") - 1) / 7), F.lit(weeks - 1)).cast("int")
     enough = daily.groupBy(key).agg(F.sum("records").alias("_n")).where(
         F.col("_n") >= min_records)
     kept = daily.join(enough.select(key), key, "left_semi")
     wide = kept.groupBy(key).agg(*[
-        F.coalesce(F.sum(F.when(back == weeks - 1 - i, F.col("y"))), F.lit(0.0)).alias(f"w{i}")
+        F.coalesce(F.sum(F.when(week == i, F.col("y"))), F.lit(0.0)).alias(f"w{i}")
         for i in range(weeks)])
     cols = [f"w{i}" for i in range(weeks)]
     lo, hi = F.least(*cols), F.greatest(*cols)

@@ -50,18 +50,37 @@ def recommend(sales: DataFrame, forecast: DataFrame | None = None,
         inventory.inventory_metrics(table, volume_classes(sales), policy))
 
 
-def contest(series: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Backtest rows, errors per model and item, and the champion of each item."""
-    scored = stage(ev.backtest(series), "backtest")
-    errors = ev.metrics(scored)
-    return scored, errors, ev.champions(errors)
-
-
-def champion_forecast(series: DataFrame) -> DataFrame:
-    """Each item's champion, or the error-weighted blend, over the horizon."""
-    _, errors, champions = contest(series)
-    errors = stage(errors, "errors")
-    models = stage(fc.sma(series).unionByName(fc.seasonal_naive(series)), "models")
+def backtested(series: DataFrame, fitted: bool = False,
+               windows: int = config.VALIDATION_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """The staged series and the staged backtest rows of its models.
+
+    ``fitted`` adds the harmonic regression and the trees; the series then needs the flags of the days.
+    """
+    series = stage(series, "series")
+    rows = ev.backtest(series, windows)
+    if fitted:
+        rows = rows.unionByName(ev.backtest_harmonic(series, windows)).unionByName(ev.backtest_gbt(series, windows))
+    return series, stage(rows, "backtest")
+
+
+def model_errors(series: DataFrame, scored: DataFrame) -> DataFrame:
+    """All errors per model and item, MASE included."""
+    return ev.metrics(scored).join(ev.mase(scored, series).select("model", "item_id", "mase"), ["model", "item_id"])
+
+
+def champion_forecast(series: DataFrame, future: DataFrame | None = None,
+                      windows: int = config.VALIDATION_WINDOWS) -> DataFrame:
+    """Each item's champion, or the error-weighted blend, over the horizon.
+
+    With ``future`` (the horizon with the flags of its days) all four models compete, else the two
+    that need no fit.
+    """
+    series, scored = backtested(series, future is not None, windows)
+    errors = stage(ev.metrics(scored), "errors")
+    models = fc.sma(series).unionByName(fc.seasonal_naive(series))
+    if future is not None:
+        models = models.unionByName(fc.harmonic(series, future)).unionByName(fc.gbt(series, future))
+    models = stage(models, "models")
     pick = ev.champions(errors).select("item_id", "champion")
     weights = fc.ensemble_weights(errors)
     blend = fc.ensemble_weighted(models, weights).withColumn("model", F.lit("Ensemble"))

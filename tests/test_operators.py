@@ -50,6 +50,11 @@ def test_item_keys_and_lookups(spark):
     df = spark.createDataFrame([("A_B1", "Web"), ("x9", None)], "sku string, channel string")
     rows = df.select(cl.item_id().alias("i")).select("i", cl.sku_of("i").alias("s"), cl.channel_of("i").alias("c")).collect()
     assert tuple(rows[0]) == ("A_B1_Web", "A_B1", "Web")
+    assert tuple(rows[1]) == ("x9_Unknown", "x9", "Unknown")
+    odd = spark.createDataFrame([("N1",), (None,)], "i string").select(cl.sku_of("i"), cl.channel_of("i")).collect()
+    assert [tuple(r) for r in odd] == [("N1", "Unknown"), (None, None)]
+    none = spark.createDataFrame([(None, "Web")], "sku string, channel string").select(cl.item_id().alias("i"))
+    assert none.first()["i"] is None
     assert values(df.select(cl.sku_category().alias("k")), "k") == ["A", None]
     assert values(df.select(cl.warehouse_of().alias("w")), "w") == ["central_online_wh", "unknown_wh"]
 
@@ -306,6 +311,31 @@ def test_short_and_zero_series_have_no_strength(spark):
     rows += [("zero", D(2000, 1, 1) + dt.timedelta(days=i), 0.0) for i in range(60)]
     df = spark.createDataFrame(rows, "item_id string, ds date, y double")
     assert values(seasonal.strength(df, 7), "seasonal_strength") == [0.0, 0.0]
+    lines = df.where("item_id = 'zero'").withColumnRenamed("y", "qty")
+    filled = seasonal.filled_series(lines, model="multiplicative")
+    assert values(seasonal.strength(filled, 7, "multiplicative"), "seasonal_strength") == [0.0]
+
+
+def test_small_values_after_a_burst_keep_their_trend(spark):
+    rows = [("a", D(2000, 1, 1) + dt.timedelta(days=i), 1e8 if i < 20 else 1e-6) for i in range(80)]
+    df = spark.createDataFrame(rows, "item_id string, ds date, y double")
+    out = seasonal.decompose(df, 7, "multiplicative").toPandas()
+    assert np.allclose(out.sort_values("ds")["trend"].to_numpy()[30:70], 1e-6, rtol=1e-9)
+
+
+def test_feedback_without_sku_is_dropped(spark):
+    rows = [("s", "Web", "Good forecast"), (None, "Web", "Good forecast")]
+    events = spark.createDataFrame(rows, "selected_sku string, channel string, feedback string").selectExpr(
+        "*", "timestamp'2000-01-01' AS timestamp")
+    assert values(ft.scored_feedback(events), "item_id") == ["s_Web"]
+
+
+def test_mase_scale_sees_no_test_day(spark):
+    days = [D(2000, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    series = spark.createDataFrame([("a", d, float(i % 7 + 100 * (i >= 30))) for i, d in enumerate(days)],
+                                   "item_id string, ds date, y double")
+    scale = ev.naive_scale(series, windows=1, horizon=10).first()
+    assert scale["window"] == 0 and scale["scale"] == 0
 
 
 def test_growth_of_sku_without_sales(spark):
@@ -327,7 +357,20 @@ def test_compare_runs(spark):
     got = {r["run_id"]: r for r in monitor.compare_runs(runs, "threshold").collect()}
     assert [got[f"r{i}"]["new_decision"] for i in range(1, 6)] == ["promote", "promote", "reject", "promote", "promote"]
     assert got["r4"]["metric_name"] == "RMSE" and got["r4"]["champion_id"] == "r2"
-    assert got["r2"]["reasons"][0] == "New model improved MASE by 10.00%."
+    assert [got[f"r{i}"]["reason"] for i in range(1, 6)] == [
+        "first_run", "better", "gain_below_threshold", "better", "no_common_metric"]
+    assert got["r2"]["gain"] == pytest.approx(0.1) and got["r5"]["gain"] is None
+
+
+def test_runs_of_one_date_follow_by_id(spark):
+    runs = spark.createDataFrame([("b", D(2000, 1, 1), 0.5, "promote"), ("a", D(2000, 1, 1), 1.0, "promote"),
+                                  ("c", D(2000, 1, 1), 2.0, "reject")],
+                                 "run_id string, trained_date date, mase double, decision string").selectExpr(
+        "*", "mase AS rmse", "mase AS mape")
+    got = {r["run_id"]: r["champion_id"] for r in monitor.compare_runs(runs).collect()}
+    assert got == {"a": "None", "b": "a", "c": "b"}
+    assert monitor.latest_metrics(runs).first()["run_id"] == "c"
+    assert monitor.champion_run(runs).first()["run_id"] == "b"
 
 
 # ---- forecasts ----------------------------------------------------------------------------
@@ -352,6 +395,16 @@ def test_models_beat_the_average_on_a_yearly_wave(spark):
     assert mae["Harmonic"] < 0.5 * mae["SMA"] and mae["GBT"] < mae["SMA"]
 
 
+def test_fitted_models_win_the_contest_on_a_yearly_wave(spark):
+    sales = seasonal_sales(spark, 1100)
+    series = plan.item_series(sales).withColumns({"is_holiday": F.lit(0), "is_on_promotion": F.lit(0)})
+    series, scored = plan.backtested(series, fitted=True, windows=1)
+    board = ev.leaderboard(plan.model_errors(series, scored)).collect()
+    assert {r["model"] for r in board} == {"SMA", "SeasonalNaive", "Harmonic", "GBT"}
+    assert min(board, key=lambda r: r["rank"])["model"] in ("Harmonic", "GBT")
+    assert {r["best_model"] for r in ev.champions(ev.metrics(scored)).collect()} <= {"Harmonic", "GBT"}
+
+
 def test_tails_of_sparse_and_dense_agree(spark):
     sales = seasonal_sales(spark, 40).where("day(ds) <> 3")
     a = fc.seasonal_naive(plan.item_lines(sales)).orderBy("item_id", "step").collect()
