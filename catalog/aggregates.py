@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, r, rounded
+from catalog.forecasting import _INTERVALS, BT, intervals
 from larder import config
 from larder.functions import cleaning as cl
 from larder.operators import features as ft
@@ -132,12 +133,11 @@ _WIDTH = {f"interval_width_{m}_months": f"avg(greatest(q90 - q10, 0)) FILTER (st
 
 
 @query("forecast_rollup", v.sql(
-    "SELECT item_id, " + r(6, **_ROLL, **_WIDTH) + " FROM (SELECT *, mean - step / 10.0::DOUBLE AS q10, mean + step / 20.0::DOUBLE AS q90 "
-    "FROM naive) GROUP BY 1"))
+    "SELECT item_id, " + r(5, **_ROLL, **_WIDTH) + " FROM intervals WHERE model = 'SeasonalNaive' GROUP BY 1", intervals=_INTERVALS, **BT))
 def forecast_rollup(spark, sf):
-    f = fc.seasonal_naive(plan.item_lines(v.family(spark, sf)))
-    out = fc.rollup(f.withColumns({"q10": F.col("mean") - F.col("step") / 10.0, "q90": F.col("mean") + F.col("step") / 20.0}))
-    return rounded(out, 6, *[c for c in out.columns if c != "item_id"])
+    """Sums of the naive forecast and the widths of its residual intervals."""
+    out = fc.rollup(intervals(spark, sf).where("model = 'SeasonalNaive'"))
+    return rounded(out, 5, *[c for c in out.columns if c != "item_id"])
 
 
 @query("horizon_totals", v.sql(

@@ -129,22 +129,27 @@ def feature_top5(spark, sf):
 _LEVELS = {f"q{round(p * 100)}": p for p in config.QUANTILE_LEVELS}
 
 
-@query("forecast_intervals", v.sql(
-    "SELECT m.model, m.item_id, m.step, m.ds, " + r(5, mean="mean", **{
-        n: f"mean + coalesce(quantile_cont_{n}, 0)" for n in _LEVELS})
-    + " FROM sku_models m LEFT JOIN (SELECT model, (step - 1) // 30 AS bucket, "
-    + ", ".join(f"quantile_cont(y - yhat, {p}) AS quantile_cont_{n}" for n, p in _LEVELS.items())
-    + " FROM bt GROUP BY 1, 2) q ON q.model = m.model AND q.bucket = (m.step - 1) // 30", **BT))
-def forecast_intervals(spark, sf):
+_INTERVALS = ("SELECT m.model, m.item_id, m.step, m.ds, m.mean, " + ", ".join(f"mean + coalesce(quantile_cont_{n}, 0) AS {n}" for n in _LEVELS)
+              + " FROM sku_models m LEFT JOIN (SELECT model, (step - 1) // 30 AS bucket, "
+              + ", ".join(f"quantile_cont(y - yhat, {p}) AS quantile_cont_{n}" for n, p in _LEVELS.items())
+              + " FROM bt GROUP BY 1, 2) q ON q.model = m.model AND q.bucket = (m.step - 1) // 30")
+
+
+def intervals(spark, sf):
     residuals = fc.residual_quantiles(ev.backtest(sku_series(spark, sf)))
-    return rounded(fc.with_intervals(sku_models(spark, sf), residuals), 5, "mean", *_LEVELS)
+    return fc.with_intervals(sku_models(spark, sf), residuals)
+
+
+@query("forecast_intervals", v.sql("SELECT model, item_id, step, ds, " + r(5, mean="mean", **{n: n for n in _LEVELS}) + " FROM intervals",
+                                   intervals=_INTERVALS, **BT))
+def forecast_intervals(spark, sf):
+    return rounded(intervals(spark, sf), 5, "mean", *_LEVELS)
 
 
-@query("forecast_ensemble_mean", v.sql("SELECT item_id, step, ds, " + r(6, mean="avg(mean)")
-                                       + " FROM (SELECT * FROM sma UNION ALL SELECT * FROM naive) GROUP BY 1, 2, 3"))
+@query("forecast_ensemble_mean", v.sql("SELECT item_id, step, ds, " + r(5, mean="avg(mean)", **{n: f"avg({n})" for n in _LEVELS})
+                                       + " FROM intervals GROUP BY 1, 2, 3", intervals=_INTERVALS, **BT))
 def forecast_ensemble_mean(spark, sf):
-    lines = plan.item_lines(v.family(spark, sf))
-    return rounded(fc.ensemble_mean(fc.sma(lines).unionByName(fc.seasonal_naive(lines))), 6, "mean")
+    return rounded(fc.ensemble_mean(intervals(spark, sf), ("mean", *_LEVELS)), 5, "mean", *_LEVELS)
 
 
 @query("forecast_ensemble_weighted", v.sql(

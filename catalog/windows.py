@@ -162,9 +162,9 @@ def top_n_skus(spark, sf):
     f"WHERE horizon = '{m}-Month' GROUP BY 2 ORDER BY sum(total_forecasted_demand) DESC, item_id LIMIT 10)" for m in (1, 3, 6))))
 def top_skus_by_forecast(spark, sf):
     reco = plan.recommend(v.family(spark, sf))
-    tops = [monitor.top_skus_by_forecast(reco, 10, m).select(F.lit(m).alias("months"), "item_id", "forecast_units")
-            for m in (1, 3, 6)]
-    return rounded(tops[0].unionByName(tops[1]).unionByName(tops[2]), 4, "forecast_units")
+    top = monitor.top_skus_by_forecast(reco, 10)
+    months = F.regexp_extract("horizon", "^([0-9]+)", 1).cast("int").alias("months")
+    return rounded(top.select(months, "item_id", "forecast_units"), 4, "forecast_units")
 
 
 @query("sku_list", v.sql("SELECT DISTINCT sku FROM sales ORDER BY sku"))
@@ -435,10 +435,17 @@ _UP_DAILY = ("SELECT sku || '_Online' AS item_id, ds, sum(target) AS y FROM (SEL
              "TRY_CAST(disc AS DOUBLE) AS disc FROM raw_family) WHERE sku IS NOT NULL AND ds IS NOT NULL AND target IS NOT NULL AND disc IS NOT NULL GROUP BY 1, 2")
 
 
+_UP_ERRORS = ("SELECT item_id, avg(abs(y - yhat)) AS mae, CASE WHEN sum(abs(y)) > 0 THEN sum(abs(y - yhat)) / sum(abs(y)) * 100 ELSE 0 END AS wape FROM "
+              "(SELECT *, avg(y) FILTER (age > 183 AND age <= 190) OVER (PARTITION BY item_id) AS yhat FROM (SELECT *, row_number() OVER "
+              "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up)) WHERE age <= 183 AND yhat IS NOT NULL GROUP BY 1")
+
+
 @query("upload_forecast", v.sql(
     "SELECT model, item_id, step, CAST(last_ds + step AS DATE) AS ds, round(mean, 6) AS mean, CAST(round_even(greatest(mean, 0), 0) AS INTEGER) AS units, points, "
-    "CASE WHEN points <= 183 THEN 'history of ' || points || ' points is not longer than the horizon of 183' END AS backtest_skipped FROM "
+    "CASE WHEN points <= 183 THEN 'history of ' || points || ' points is not longer than the horizon of 183' END AS backtest_skipped, "
+    "round(mae, 6) AS mae, round(wape, 6) AS wape FROM "
     "(SELECT 'SMA' AS model, item_id, avg(y) FILTER (age <= 7) AS mean, max(ds) AS last_ds, count(*) AS points FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up) GROUP BY 2), (SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step)", up=_UP_DAILY))
+    "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up) GROUP BY 2) LEFT JOIN up_errors USING (item_id), "
+    "(SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step)", up=_UP_DAILY, up_errors=_UP_ERRORS))
 def upload_forecast(spark, sf):
-    return rounded(plan.upload_forecast(upload(spark, sf)), 6, "mean")
+    return rounded(plan.upload_forecast(upload(spark, sf)), 6, "mean", "mae", "wape")

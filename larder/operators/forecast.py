@@ -294,7 +294,10 @@ def allocate_category(category_forecast: DataFrame, sales: DataFrame, key: str =
     aggregate, so a category with very many SKUs is never gathered in one task.
     """
     total = sales.groupBy("category").agg(F.sum("units").alias("_all"))
-    share = sales.join(total, "category").select(
-        key, "category", F.coalesce(F.try_divide("units", "_all"), F.lit(0.0)).alias("share"))
-    return (share.join(category_forecast, "category")
-            .select(key, "category", "step", "ds", (F.col("share") * F.col("mean")).alias("mean")))
+    whole = category_forecast.groupBy("category").agg(
+        F.collect_list(F.struct("step", "ds", "mean")).alias("_days"))  # one row of the horizon's length
+    parts = total.join(whole, "category")
+    share = F.coalesce(F.try_divide("units", "_all"), F.lit(0.0))
+    # The shares are joined as one row per SKU; the days are made after the join, where the SKU is.
+    return (sales.join(parts, "category").select(key, "category", share.alias("share"), F.explode("_days").alias("_d"))
+            .select(key, "category", "_d.step", "_d.ds", (F.col("share") * F.col("_d.mean")).alias("mean")))

@@ -49,14 +49,16 @@ def ranked(df: DataFrame, order: list[Column], group: tuple[str, ...] = ()) -> D
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float],
-              group: tuple[str, ...] = ()) -> DataFrame:
+              group: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, whatever the group's size.
 
     Equal values are counted before the sort, so a heavily repeated value is one row. Use
-    ``percentile`` instead where a group is bounded, such as days of one item.
+    ``percentile`` instead where a group is bounded, such as days of one item. ``weight`` names a
+    column of counts, where equal values are already counted.
     """
+    number = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")))
+               .groupBy(*group, value).agg(number.alias("_n")))
     run = running_totals(counted, [F.col(value)], {"n": F.col("_n")}, group)
     first, past = F.col("cum_n") - F.col("_n"), F.col("cum_n")
 

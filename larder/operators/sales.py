@@ -7,6 +7,7 @@ from larder import config
 from larder.functions import cleaning as cl
 from larder.operators import grid
 from larder.operators.ordered import newest, quantiles
+from larder.session import stage
 
 
 def clean_sales(raw: DataFrame) -> DataFrame:
@@ -86,10 +87,11 @@ def store_days(store_count: DataFrame) -> DataFrame:
 
 def join_stores(panel: DataFrame, days: DataFrame) -> DataFrame:
     """Join the store count; days past its end carry the last one, days before it the first."""
+    days = days.groupBy("ds").agg(F.max("store_count").alias("store_count"))  # one row per date
     last = days.agg(F.max_by("store_count", "ds")).scalar()
     first = days.agg(F.min_by("store_count", "ds")).scalar()
     end = days.agg(F.max("ds")).scalar()
-    out = panel.join(F.broadcast(days.select("ds", "store_count")), "ds", "left")
+    out = panel.join(F.broadcast(days), "ds", "left")
     return out.withColumn("store_count", F.coalesce(
         "store_count", F.when(F.col("ds") > end, last).otherwise(first)))
 
@@ -131,11 +133,14 @@ def last_months(sales: DataFrame, months=(1, 3, 6), by: tuple[str, ...] = ("sku"
 def unit_prices(sales: DataFrame) -> DataFrame:
     """Unit price per line; lines without units take the SKU median, else the overall median.
 
-    Medians use the range-partitioned quantiles: a hot SKU may hold a third of all lines.
+    Medians use the range-partitioned quantiles: a hot SKU may hold a third of all lines. Both
+    start from one count of each price per SKU.
     """
     priced = sales.withColumn("unit_price", F.try_divide("revenue", "qty"))
-    by_sku = quantiles(priced, "unit_price", {"sku_median": 0.5}, ("sku",))
-    overall = quantiles(priced, "unit_price", {"m": 0.5}).select("m").scalar()
+    counted = stage(priced.where("unit_price IS NOT NULL").groupBy("sku", "unit_price")
+                    .agg(F.count(F.lit(1)).alias("n")), "prices")
+    by_sku = quantiles(counted, "unit_price", {"sku_median": 0.5}, ("sku",), weight="n")
+    overall = quantiles(counted, "unit_price", {"m": 0.5}, weight="n").select("m").scalar()
     return (priced.join(by_sku, "sku", "left")
             .withColumn("unit_price", F.coalesce("unit_price", "sku_median", overall))
             .drop("sku_median"))
@@ -196,9 +201,13 @@ def static_attributes(items: DataFrame, brand_prefix: str) -> DataFrame:
 
 
 def distinct_items(sales: DataFrame) -> DataFrame:
-    """One row of static attributes per item, whatever their order in the source."""
+    """One row of static attributes per item, whatever their order in the source.
+
+    Lines are reduced to distinct attributes by hashing; only those few rows are sorted for the minima.
+    """
+    names = ["item_id", "sku", "channel", "category", "gender"]
     return (sales.where(F.col("sku").isNotNull()).withColumn("item_id", cl.item_id())
-            .groupBy("item_id", "sku", "channel")
+            .select(*names).distinct().groupBy("item_id", "sku", "channel")
             .agg(F.min("category").alias("category"), F.min("gender").alias("gender")))
 
 

@@ -1,6 +1,6 @@
 """Composed forecasting: recommendations, model contest, sparse routing and upload scoring."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder import config
@@ -43,11 +43,15 @@ def volume_classes(sales: DataFrame) -> DataFrame:
 
 def recommend(sales: DataFrame, forecast: DataFrame | None = None,
               policy: config.StockPolicy | None = None) -> DataFrame:
-    """Recommendations per item and horizon from a forecast, by default the seasonal naive."""
-    forecast = forecast if forecast is not None else fc.seasonal_naive(item_lines(sales))
+    """Recommendations per item and horizon from a forecast, by default the seasonal naive.
+
+    The lines are read once: forecast and classes both start from the staged daily units.
+    """
+    daily = stage(sales.groupBy("sku", "channel", "ds").agg(F.sum("qty").alias("qty")), "daily-units")
+    forecast = forecast if forecast is not None else fc.seasonal_naive(item_lines(daily))
     table = inventory.forecast_by_horizon(forecast)
     return inventory.recommendations(
-        inventory.inventory_metrics(table, volume_classes(sales), policy))
+        inventory.inventory_metrics(table, volume_classes(daily), policy))
 
 
 def backtested(series: DataFrame, fitted: bool = False,
@@ -123,9 +127,10 @@ def routed_forecast(sales: DataFrame) -> DataFrame:
 
 
 def upload_forecast(panel: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
-    """Score an enriched upload: whole-unit forecast and, for short series, why no backtest.
+    """Score an enriched upload: whole-unit forecast, and errors of a backtest or why there is none.
 
-    The moving average needs one aggregate per item, so long and short series share a plan.
+    A series longer than the horizon is also forecast from the days before its last ``horizon`` days and
+    scored on them. The moving average needs one aggregate per item, so long and short series share a plan.
     """
     series = panel.select("item_id", "ds", F.col("target").alias("y"))
     points = series.groupBy("item_id").agg(F.count(F.lit(1)).alias("points"))
@@ -133,4 +138,15 @@ def upload_forecast(panel: DataFrame, horizon: int = config.PREDICTION_LENGTH) -
         F.lit("history of "), F.col("points").cast("string"),
         F.lit(f" points is not longer than the horizon of {horizon}")))
     out = fc.sma(series, horizon, own_end=True).withColumn("units", cl.units("mean"))
-    return out.join(points, "item_id").withColumn("backtest_skipped", reason)
+    return (out.join(points, "item_id").withColumn("backtest_skipped", reason)
+            .join(upload_errors(series, horizon), "item_id", "left"))
+
+
+def upload_errors(series: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+    """MAE and WAPE of the moving average on the last ``horizon`` points of each longer series."""
+    newest_first = Window.partitionBy("item_id").orderBy(F.desc("ds"))
+    aged = series.withColumn("age", F.row_number().over(newest_first))
+    known = F.when((F.col("age") > horizon) & (F.col("age") <= horizon + config.SMA_WINDOW), F.col("y"))
+    rows = aged.withColumn("yhat", F.avg(known).over(Window.partitionBy("item_id")))
+    scored = rows.where((F.col("age") <= horizon) & F.col("yhat").isNotNull())
+    return ev.metrics(scored, ("item_id",)).select("item_id", "mae", "wape")
