@@ -66,6 +66,27 @@ def baseline(panel: DataFrame, days: int = 30) -> DataFrame:
         "forecast_no_promo", F.coalesce(F.avg(plain).over(previous(days)), F.lit(0.0)))
 
 
+def flag_effects(panel: DataFrame, days: int = 30) -> DataFrame:
+    """``panel`` with its recent level and, per item, a linear model of the gap to it by promotion flag.
+
+    One aggregation fits all items; an item that is never or always promoted has no effect.
+    """
+    level = F.coalesce(F.avg(F.coalesce("target", F.lit(0.0))).over(previous(days)), F.lit(0.0))
+    rows = panel.withColumn("level", level)
+    gap, flag = F.coalesce("target", F.lit(0.0)) - F.col("level"), F.col("is_on_promotion").cast("double")
+    fits = rows.groupBy("item_id").agg(F.regr_slope(gap, flag).alias("_slope"), F.regr_intercept(gap, flag).alias("_base"),
+                                       F.avg(gap).alias("_mean"))
+    fits = fits.select("item_id", F.coalesce("_slope", F.lit(0.0)).alias("promo_effect"),
+                       F.when(F.col("_slope").isNull(), F.col("_mean")).otherwise(F.col("_base")).alias("plain_gap"))
+    return rows.join(fits, "item_id")
+
+
+def scored_by_flag(fitted: DataFrame) -> DataFrame:
+    """The model's forecast under the flags that the rows hold now, never below 0."""
+    value = F.col("level") + F.col("plain_gap") + F.col("promo_effect") * F.col("is_on_promotion")
+    return fitted.withColumn("forecast", F.greatest(value, F.lit(0.0)))
+
+
 def lift(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     """Units above the no-promotion forecast on promoted days, per item."""
     both = (actual.where(F.col("is_on_promotion") == 1)

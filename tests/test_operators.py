@@ -348,6 +348,18 @@ def test_growth_of_sku_without_sales(spark):
     assert got["none"]["growth_pct"] == 0 and got["none"]["avg_discount"] is None
 
 
+def test_clearing_the_flags_changes_the_score(spark):
+    rows = [("a", D(2000, 1, 1) + dt.timedelta(days=i), 10.0 + 5 * (i % 10 == 0), int(i % 10 == 0)) for i in range(100)]
+    rows += [("never", D(2000, 1, 1) + dt.timedelta(days=i), 3.0, 0) for i in range(50)]
+    panel = spark.createDataFrame(rows, "item_id string, ds date, target double, is_on_promotion int")
+    fitted = promo.flag_effects(panel)
+    seen = {(r["item_id"], r["ds"]): r["forecast"] for r in promo.scored_by_flag(fitted).collect()}
+    plain = {(r["item_id"], r["ds"]): r["forecast"] for r in promo.scored_by_flag(promo.without_promotion(fitted)).collect()}
+    day = D(2000, 1, 1) + dt.timedelta(days=90)
+    assert seen["a", day] - plain["a", day] == pytest.approx(5, abs=1.5)
+    assert all(seen[k] == plain[k] for k in seen if k[0] == "never")
+
+
 def test_compare_runs(spark):
     runs = spark.createDataFrame([
         ("r1", D(2000, 1, 1), 1.0, 5.0, "promote"), ("r2", D(2000, 2, 1), 0.9, 5.0, "promote"),
