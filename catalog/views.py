@@ -86,13 +86,24 @@ def raw(lines: DataFrame) -> DataFrame:
         .otherwise(F.col("channel")).alias("Channel"))
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark, sf, name: str, lines) -> DataFrame:
+    """A raw text table, written once per session and input: a raw table exists before any query."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _STORED:
+        _STORED[key] = stage(raw(lines(spark, sf)), name)
+    return _STORED[key]
+
+
 def raw_sales(spark, sf) -> DataFrame:
     """Stored text, as a raw table is: the cleaning then reads plain columns."""
-    return stage(raw(sales(spark, sf)), "raw")
+    return stored(spark, sf, "raw-sales", sales)
 
 
 def raw_family(spark, sf) -> DataFrame:
-    return stage(raw(family(spark, sf)), "raw")
+    return stored(spark, sf, "raw-family", family)
 
 
 def inventory(lines: DataFrame) -> DataFrame:

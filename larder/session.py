@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for staged tables."""
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -51,14 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dir()
+    return _local_dir().name
 
 
 @lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="larder-")
+def _local_dir() -> tempfile.TemporaryDirectory:
+    """Deleted when the local session's process ends."""
+    return tempfile.TemporaryDirectory(prefix="larder-", ignore_cleanup_errors=True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
