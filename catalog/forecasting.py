@@ -329,3 +329,28 @@ def demand_profile(spark, sf):
 @query("demand_clusters")
 def demand_clusters(spark, sf):
     return segment.demand_clusters(part_profile(spark, sf), 4)
+
+
+_MASTER = {
+    **BT,
+    "m_attr": "SELECT item_id, avg(y) AS avg_sales, stddev_samp(y) AS std_sales, max(y) AS max_sales, avg((y = 0)::INTEGER) AS zero_sales_ratio, "
+              "count(*) AS days FROM sku_series GROUP BY 1",
+    "m_pick": "SELECT item_id, CASE WHEN count(*) > 1 AND max(wape) < 50 THEN 'Ensemble' ELSE min_by(model, (wape, model)) END AS champion, "
+              "max(wape) FILTER (model = 'SMA') AS wape_sma, max(wape) FILTER (model = 'SeasonalNaive') AS wape_seasonalnaive FROM errors GROUP BY 1",
+    "m_models": "SELECT item_id, model, step, mean FROM sku_models UNION ALL SELECT item_id, 'Ensemble', step, sum(weight * mean) FROM sku_models "
+                "JOIN bt_weights USING (item_id, model) GROUP BY item_id, step",
+    "m_roll": "SELECT item_id, avg(mean) AS f, sum(mean) FILTER (step <= 30) AS forecast_30d, sum(mean) FILTER (step <= 90) AS forecast_90d, "
+              "sum(mean) AS forecast_183d FROM m_models JOIN m_pick USING (item_id) WHERE model = champion GROUP BY 1",
+}
+_MASTER_FIGURES = ("avg_sales", "std_sales", "max_sales", "zero_sales_ratio", "wape_sma", "wape_seasonalnaive", "forecast_30d",
+                   "forecast_90d", "forecast_183d")
+
+
+@query("sku_master", v.sql(
+    "SELECT item_id AS sku_id, abc.class, champion, days, " + r(4, **{c: c for c in _MASTER_FIGURES},
+        safety_stock=f"{config.z_score(0.95)!r}::DOUBLE * std_sales * sqrt(21.0::DOUBLE)", lead_time_demand="f * 21")
+    + " FROM m_attr JOIN m_pick USING (item_id) JOIN m_roll USING (item_id) JOIN abc ON abc.sku = item_id", **_MASTER))
+def sku_master(spark, sf):
+    out = plan.sku_master(v.family(spark, sf))
+    return rounded(out, 4, *_MASTER_FIGURES, "safety_stock", "lead_time_demand").select(
+        "sku_id", "class", "champion", "days", *_MASTER_FIGURES, "safety_stock", "lead_time_demand")

@@ -10,6 +10,7 @@ from larder.operators import forecast as fc
 from larder.operators import grid, inventory, segment
 from larder.operators import sales as sl
 from larder.session import stage
+from larder.sources import sinks
 
 
 def item_series(sales: DataFrame) -> DataFrame:
@@ -84,7 +85,11 @@ def champion_forecast(series: DataFrame, future: DataFrame | None = None,
     models = fc.sma(series).unionByName(fc.seasonal_naive(series))
     if future is not None:
         models = models.unionByName(fc.harmonic(series, future)).unionByName(fc.gbt(series, future))
-    models = stage(models, "models")
+    return champion_rows(stage(models, "models"), errors)
+
+
+def champion_rows(models: DataFrame, errors: DataFrame) -> DataFrame:
+    """The forecast of each item's champion among ``models``, or their error-weighted blend."""
     pick = ev.champions(errors).select("item_id", "champion")
     weights = fc.ensemble_weights(errors)
     blend = fc.ensemble_weighted(models, weights).withColumn("model", F.lit("Ensemble"))
@@ -93,6 +98,29 @@ def champion_forecast(series: DataFrame, future: DataFrame | None = None,
         .select("item_id", "model", "step", "ds", "mean"))
 
 
+def sku_master(sales: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """One row per SKU: attributes, class, errors per model, champion, roll-ups and priced stock figures.
+
+    Rows of ``previous`` stay where the SKU was not sold in ``sales``.
+    """
+    daily = stage(sales.where(F.col("sku").isNotNull()).groupBy("sku", "ds").agg(F.sum("qty").alias("qty")), "daily-units")
+    series, scored = backtested(sku_series(daily))
+    errors = stage(ev.metrics(scored), "errors")
+    models = stage(fc.sma(series).unionByName(fc.seasonal_naive(series)), "models")
+    wape = errors.groupBy("item_id").agg(*[
+        F.max(F.when(F.col("model") == m, F.col("wape"))).alias(f"wape_{m.lower()}") for m in ("SMA", "SeasonalNaive")])
+    rolls = champion_rows(models, errors).groupBy("item_id").agg(
+        F.max("model").alias("champion"), F.avg("mean").alias("avg_forecast"),
+        *[F.sum(F.when(F.col("step") <= d, F.col("mean"))).alias(f"forecast_{d}d") for _, d in config.HORIZONS])
+    attributes = segment.sku_attributes(series.withColumnRenamed("item_id", "sku"))
+    price = sales.groupBy("sku").agg(F.avg(F.try_divide("revenue", "qty")).alias("price"))
+    rows = (attributes.join(volume_classes(daily).select("sku", "class"), "sku", "left").join(price, "sku", "left")
+            .join(rolls.join(wape, "item_id").withColumnRenamed("item_id", "sku"), "sku", "left")
+            .withColumn("demand_std", F.col("std_sales")))
+    new = inventory.priced_metrics(rows).drop("demand_std", "holding_cost", "ordering_cost").withColumnRenamed("sku", "sku_id")
+    return new if previous is None else sinks.upserted(previous, new, ["sku_id"]).select(*new.columns)
+
+
 def category_forecast(sales: DataFrame) -> DataFrame:
     """Moving average of each category, shared out to all its SKUs by their past units."""
     series = sl.category_series(sales).withColumnRenamed("category", "item_id")
