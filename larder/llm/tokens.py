@@ -8,53 +8,90 @@ worker and then looked up. The cut is exact for the two supported pre-tokenizers
   of white space sends the whole text through the tokenizer.
 """
 
+import re
 import string
 from array import array
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000  # pieces of each of two generations
 LETTERS = frozenset(string.ascii_letters)
 # ASCII marks that end a letter run for both tokenizers; the apostrophe opens contractions.
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
+# Letters that no normaliser changes but for their case; a run of them is a single token of the first split.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: itself where it prints."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_CHARS = _byte_chars()
+SPACE = BYTE_CHARS[0x20]
+
+
 class Irregular(Exception):
     """A piece with white space of its own."""
 
 
 class WordIds(dict):
-    """Piece -> little-endian unsigned 32-bit ids as bytes; at most ``CACHE_WORDS`` pieces."""
+    """Piece -> little-endian unsigned 32-bit ids as bytes.
+
+    When ``CACHE_WORDS`` pieces are held they become the older generation, and the one before is dropped.
+    """
 
     def __init__(self, path: str, spaces: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading = spaces == "leading"
+        self.older: dict[str, bytes] = {}
+        self.newline = self.raw("\n")
 
     def raw(self, text: str) -> bytes:
         ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
         return ids.tobytes()
 
+    def letters(self, text: str) -> bytes:
+        """The ids of a run of Latin letters, after a space if there is one: a single merge of its bytes."""
+        shown = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
+        out = self.older.get(piece)
+        if out is None:
+            out = self.encoded(piece)
+        self[piece] = out
+        return out
+
+    def encoded(self, piece: str) -> bytes:
         stem = piece.rstrip(MARKS)
         if len(stem) < len(piece) and stem and stem[-1] in LETTERS:
             # Marks after a letter start a token of their own.
-            out = self[stem] + self.tail(piece[len(stem):])
-        elif self.leading:
+            return self[stem] + self.tail(piece[len(stem):])
+        if self.leading:
             body = piece[1:] if piece[0] == "\n" else piece
+            if LATIN.fullmatch(body):
+                return self.letters(" " + body) if body is piece else self.newline + self.letters(body)
             if not body or any(c.isspace() for c in body):
                 raise Irregular
-            out = self.raw(piece if piece[0] == "\n" else " " + piece)
-        elif piece.isascii() and piece != piece.lower():
-            out = self[piece.lower()]
-        else:
-            out = self.raw(piece)
-        self[piece] = out
-        return out
+            return self.raw(piece if piece[0] == "\n" else " " + piece)
+        if LATIN.fullmatch(piece):
+            lower = piece.lower()
+            if lower == piece:
+                return self.letters(piece)
+            if len(lower) == len(piece):
+                return self[lower]
+        return self.raw(piece)
 
     def tail(self, marks: str) -> bytes:
         return tail_ids(self, marks)

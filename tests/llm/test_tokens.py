@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from larder.llm.tokens import word_ids
 
 FILES = {"dropped": "word_bpe_49k.json", "leading": "byte_bpe_50k.json"}
-TEXT = st.text(st.sampled_from("abSTré ß'.,!\n\t 19<|>́  ≠　ǅΣ\x1c\r*"), max_size=40)
+TEXT = st.text(st.sampled_from("abSTréÉİŁø ß'.,!\n\t 19<|>́  ≠　ǅΣ\x1c\r*"), max_size=40)
 
 
 @pytest.mark.parametrize("spaces", sorted(FILES))
@@ -19,8 +19,18 @@ TEXT = st.text(st.sampled_from("abSTré ß'.,!\n\t 19<|>́  ≠　ǅΣ\x1c\r*
 @example(text="")
 @example(text="It's here.\nThe don't,  two\n\nlines ")
 @example(text="end <|endoftext|> of")
+@example(text="Übergröße ÉÇ ǅx İstanbul\nŁódź, déjà-vu!")
 def test_same_ids_as_the_whole_text(spaces, text):
     words = word_ids(public_tokenizers.path(FILES[spaces]), spaces)
     whole = words.tokenizer.encode(text, add_special_tokens=False).ids
     assert array("I", words.text(text)).tolist() == whole if not text else \
         memoryview(words.text(text)).cast("I").tolist() == whole
+
+
+def test_generations_keep_the_ids(monkeypatch):
+    from larder.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    words = tokens.WordIds(public_tokenizers.path(FILES["leading"]), "leading")
+    text = "a few words, and a few more words\nand more " * 3
+    assert memoryview(words.text(text)).cast("I").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words) <= 4
