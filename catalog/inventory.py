@@ -7,7 +7,9 @@ from catalog.base import query, r, rounded
 from larder import config
 from larder.operators import forecast as fc
 from larder.operators import inventory
+from larder.plans import batch
 from larder.plans import forecasting as plan
+from larder.session import new_path
 
 _METRICS = ("mu", "sigma", "lead_time_demand", "safety_stock", "reorder_point", "eoq")
 
@@ -86,3 +88,11 @@ SCENARIOS = [("base", 50.0, 5.0, 14), ("cheap_orders", 10.0, 5.0, 14), ("slow_su
 def eoq_what_if(spark, sf):
     demand = v.sales(spark, sf).groupBy("sku").agg(F.sum("qty").alias("annual_demand"))
     return rounded(inventory.eoq_what_if(demand, SCENARIOS), 6, "eoq", "reorder_point")
+
+
+@query("batch_run", v.sql("SELECT * FROM recommendations"))
+def batch_run(spark, sf):
+    """Two runs of the batch: the second finds nothing new, keeps the first one's rows and is logged."""
+    folder = new_path(spark, "batch")
+    batch.batch_run(v.family(spark, sf), folder, "run_1")
+    return batch.batch_run(v.family(spark, sf), folder, "run_2")

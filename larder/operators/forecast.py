@@ -69,9 +69,9 @@ def sma_in_sample(series: DataFrame, window: int = config.SMA_WINDOW) -> DataFra
 
 
 def seasonal_naive(series: DataFrame, days: int = config.PREDICTION_LENGTH,
-                   season: int = config.SEASON_LENGTH) -> DataFrame:
+                   season: int = config.SEASON_LENGTH, end: Column | None = None) -> DataFrame:
     """The last season, repeated."""
-    future = future_days(tails(series, season), "last_ds", days)
+    future = future_days(tails(series, season, end=end), "last_ds", days)
     value = F.get("tail", F.lit(season - 1) - F.pmod(F.col("step") - 1, F.lit(season)))
     return future.select(F.lit("SeasonalNaive").alias("model"), "item_id", "step", "ds",
                          value.alias("mean"))

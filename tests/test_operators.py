@@ -17,6 +17,7 @@ from larder.operators import features as ft
 from larder.operators import forecast as fc
 from larder.operators import grid, inventory, monitor, ordered, promo, seasonal, segment
 from larder.operators import sales as sl
+from larder.plans import batch
 from larder.plans import forecasting as plan
 from larder.session import new_path, stage
 from larder.sources import orders as od
@@ -417,6 +418,21 @@ def test_fitted_models_win_the_contest_on_a_yearly_wave(spark):
     assert {r["best_model"] for r in ev.champions(ev.metrics(scored)).collect()} <= {"Harmonic", "GBT"}
 
 
+def test_batch_retrains_only_changed_items(spark):
+    sales = seasonal_sales(spark, 420)
+    end = D(2000, 1, 1) + dt.timedelta(days=419)
+    folder = new_path(spark, "batch-test")
+    first = batch.batch_run(sales.where(F.col("ds") < end), folder, "a").collect()
+    late = sales.where((F.col("ds") < end) | (F.col("sku") == "EAR1"))
+    second = batch.batch_run(late.withColumn("qty", F.col("qty") * 2), folder, "b").collect()
+    old = {(r["item_id"], r["horizon"]): r["total_forecasted_demand"] for r in first}
+    new = {(r["item_id"], r["horizon"]): r["total_forecasted_demand"] for r in second}
+    assert old.keys() == new.keys()
+    assert all((new[k] > 1.5 * old[k]) == (k[0] == "EAR1") for k in old)
+    assert values(spark.read.parquet(f"{folder}/log").orderBy("run_id"), "run_id") == ["a", "b"]
+    assert batch.published(spark, folder, 1).select("run_id").distinct().collect() == [("b",)]
+
+
 def test_tails_of_sparse_and_dense_agree(spark):
     sales = seasonal_sales(spark, 40).where("day(ds) <> 3")
     a = fc.seasonal_naive(plan.item_lines(sales)).orderBy("item_id", "step").collect()
