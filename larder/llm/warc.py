@@ -197,7 +197,8 @@ def resolved(found: DataFrame) -> DataFrame:
     lite = stage(found.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "uri"),
                  "warc-records")
     responses = lite.where("record_type = 'response'")
-    stored = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    named = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    stored = stage(named, "warc-responses")  # so that a join with very many revisits can be split
     revisits = lite.where("record_type = 'revisit'").drop("payload_bytes").join(
         stored, ["refers_to", "payload_digest"], "left")
     return responses.unionByName(revisits)
