@@ -17,16 +17,17 @@ def star_components(links: DataFrame) -> DataFrame:
     Large star: each node hands its larger neighbours to the smallest neighbour; small star: each
     node hands its smaller neighbours and itself to the smallest. Both keep the components and the
     number of rows bounded by the links; the depth halves at each round. A hub is a row per
-    neighbour in a plain join, which adaptive execution splits.
+    neighbour in a plain join of two staged tables, which adaptive execution splits.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = stage(links, "links")
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large, "large-stars")
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                               F.struct("a", F.col("m").alias("b")))).alias("l")).select("l.*")

@@ -109,6 +109,7 @@ def groups_of(texts: DataFrame, digest=sha256, files_per_batch: int | None = Non
         F.when(F.col("norm") != F.col("kept_norm"), F.col("norm")).alias("odd")), "dedup-checked")
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rank"), "at"))
     classes = checked.groupBy("digest", "odd").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    classes = stage(classes, "dedup-classes")  # so that the join with a large group can be split
     joined = checked.alias("c").join(
         classes.alias("k"), (F.col("c.digest") == F.col("k.digest")) & F.col("c.odd").eqNullSafe(F.col("k.odd")))
     grouped = joined.select(

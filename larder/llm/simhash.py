@@ -186,7 +186,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
     roots = star_components(links(nodes, distance))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = stage(rooted, "rooted")
+    named = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
     return rows.join(rooted.join(named, "root").select("fp", "component_id", "root"), "fp")
 
 
@@ -195,7 +196,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     placed = marked(docs, "simhash-texts")
     found = stage(components(placed.select("doc_id", "text", "__at")), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__at")
-    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    best = stage(found.groupBy("root").agg(F.min(rank).alias("best")), "best")
     dropped = found.join(best, "root").where("__at <> best.__at").select("__at")
     return placed.join(dropped, "__at", "left_anti").drop("__at")
 
