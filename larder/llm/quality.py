@@ -134,10 +134,13 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
         p["c"][:] = 0
         p["d"][:] = np.log(share / (1 - share))
     else:
-        rows = [passages(t) for t in texts]
+        rows = [passages(t).astype(np.float32) for t in texts]
+        ends = np.cumsum([len(r) for r in rows])
         every = np.concatenate(rows)
-        mean, scale = every.mean(0), np.maximum(every.std(0), 1e-3)
-        rows = [(r - mean) / scale for r in rows]
+        mean, scale = every.mean(0, dtype=np.float64), np.maximum(every.std(0, dtype=np.float64), 1e-3)
+        every -= mean.astype(np.float32)
+        every /= scale.astype(np.float32)
+        rows = np.split(every, ends[:-1])
         p["d"][:] = np.log(share / (1 - share))
         m, v, step = {k: 0 * x for k, x in p.items()}, {k: 0 * x for k, x in p.items()}, 0
         for epoch in range(EPOCHS):
