@@ -106,16 +106,18 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     if not 0 < y.sum() < len(y):
         return model.tobytes()
     distinct = Distinct(size)
-    rows = [distinct(buckets(t)) for t in texts]
-    number = np.bincount(np.concatenate(rows), minlength=size)
+    rows = [distinct(buckets(t)).astype(np.int32) for t in texts]
+    number = np.zeros(size, np.int64)
+    for r in rows:
+        number[r] += 1
     kept = np.flatnonzero(number >= LEAST_DOCS)
     if not len(kept):
         return model.tobytes()
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[kept] = np.arange(len(kept))
     rows = [p[p >= 0] for p in (place[r] for r in rows)]
     lengths = np.array([len(r) for r in rows])
-    columns, row = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(rows)), lengths)
+    columns, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     toxic = SMOOTHING + np.bincount(columns, y[row], len(kept))
     other = SMOOTHING + np.bincount(columns, (1 - y)[row], len(kept))
     ratio = np.log(toxic / (y.sum() + 2 * SMOOTHING)) - np.log(other / ((1 - y).sum() + 2 * SMOOTHING))
