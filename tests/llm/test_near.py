@@ -1,0 +1,104 @@
+"""Near copies against brute force over sets of five-word shingles."""
+
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline as pipeline
+from larder.llm import near, simhash
+from tests.llm import test_simhash
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def brute_set(text):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_pairs(texts):
+    """Positions of texts with a similarity of 0.8 or more."""
+    sets, holders, both = [brute_set(t) for t in texts], defaultdict(list), Counter()
+    for i, s in enumerate(sets):
+        for shingle in s or [()]:
+            holders[shingle].append(i)
+    for at in holders.values():
+        both.update(combinations(at, 2))
+    return [(i, j) for (i, j), n in both.items() if 5 * n >= 4 * (max(1, len(sets[i])) + max(1, len(sets[j])) - n)]
+
+
+def brute_kept(docs):
+    """The ids that stay of (id, text); ids are unique."""
+    group = {i: {i} for i in range(len(docs))}
+    for i, j in brute_pairs([t for _, t in docs]):
+        if group[i] is not group[j]:
+            group[i] |= group[j]
+            for k in group[j]:
+                group[k] = group[i]
+    return sorted({min(docs[k][0] for k in g) for g in group.values()})
+
+
+def test_stage_on_whole_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    out = pipeline.near(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == brute_kept(rows)
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_copies_beyond_three_bits(spark):
+    rng = random.Random(3)
+    docs = []
+    for i in range(40):
+        base = words(rng, 300)
+        other = base.copy()
+        for at in rng.sample(range(10, 290), 5):
+            other[at] = "changed"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    far = [(test_simhash.brute_fingerprint(docs[i][1]) ^ test_simhash.brute_fingerprint(docs[i + 1][1])).bit_count()
+           for i in range(0, 80, 2)]
+    assert sum(d > 3 for d in far) >= 10
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near(spark, frame, FOLDER).collect()) == brute_kept(docs)
+    assert len(brute_kept(docs)) == 40
+
+
+def test_texts_under_one_repeated_line_stay(spark):
+    rng = random.Random(4)
+    docs = [(i, "this line is repeated often\n" * 400 + " ".join(words(rng, 100))) for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert simhash.keep_one(frame).count() == 1
+    assert sorted(r.doc_id for r in pipeline.near(spark, frame, FOLDER).collect()) == brute_kept(docs) == list(range(6))
+
+
+@pytest.mark.parametrize("block", [near.BLOCK, 8])
+def test_links_of_dense_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(near.links, "__defaults__", (block,))
+    rng = random.Random(5)
+    docs = []
+    for _ in range(2):
+        text = words(rng, 200)
+        for _ in range(60):  # a chain: neighbours are similar, its ends are not
+            text = text.copy()
+            text[rng.randrange(200)] = f"x{rng.random()}"
+            docs.append((len(docs), " ".join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.keep_one(frame).collect()) == brute_kept(docs)
+
+
+def test_edge_rows(spark):
+    data = [(5, None), (3, ""), (None, " \n"), (7, "one two"), (8, "One  TWO"), (None, "one two"), (9, "É é"), (10, "w " * 30_000),
+            (10, "w " * 30_000), (11, "a b c d"), (11, "e f g h")]
+    docs = spark.createDataFrame([(t, i, 0) for i, t in data], "text string, doc_id long, node int")
+    kept = near.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 9, 10, 11, 11]
+    assert near.keep_one(docs.limit(0)).collect() == []
