@@ -6,6 +6,9 @@ worker and then looked up. The cut is exact for the two supported pre-tokenizers
 * ``spaces="dropped"``: white space separates words and is not encoded (word BPE);
 * ``spaces="leading"``: a single space belongs to the word after it (byte-level BPE). Any other run
   of white space sends the whole text through the tokenizer.
+
+Added tokens (``<|endoftext|>``) get their own ids where a text holds them, as in the library. They hold no
+white space, and a piece with one is encoded as it stands.
 """
 
 import re
@@ -49,7 +52,7 @@ class WordIds(dict):
     def __init__(self, path: str, spaces: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.leading = spaces == "leading"
         self.older: dict[str, bytes] = {}
         self.newline = self.raw("\n")
@@ -74,8 +77,9 @@ class WordIds(dict):
         return out
 
     def encoded(self, piece: str) -> bytes:
+        added = any(token in piece for token in self.added)
         stem = piece.rstrip(MARKS)
-        if len(stem) < len(piece) and stem and stem[-1] in LETTERS:
+        if not added and len(stem) < len(piece) and stem and stem[-1] in LETTERS:
             # Marks after a letter start a token of their own.
             return self[stem] + self.tail(piece[len(stem):])
         if self.leading:

@@ -1,11 +1,13 @@
 """Piecewise encoding equals encoding of the whole text."""
 
 from array import array
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from larder.llm.tokens import word_ids
 
@@ -34,3 +36,28 @@ def test_generations_keep_the_ids(monkeypatch):
     text = "a few words, and a few more words\nand more " * 3
     assert memoryview(words.text(text)).cast("I").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(words) <= 4
+
+
+PARTS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "end", "It's", "É", " ", "\n", "\t", ".", "<", "1"])
+
+
+@pytest.mark.parametrize("spaces", sorted(FILES))
+@settings(max_examples=600, deadline=None)
+@given(parts=st.lists(PARTS, max_size=12))
+@example(parts=["end", " ", "<|endoftext|>", " ", "of"])
+@example(parts=["end", "\n", "<|endoftext|>", ".", "\n", "of", "<|startoftext|>", "x"])
+def test_added_tokens_as_in_the_untouched_library(spaces, parts):
+    path, text = public_tokenizers.path(FILES[spaces]), "".join(parts)
+    want = untouched(path).encode(text, add_special_tokens=False).ids
+    assert array("I", word_ids(path, spaces).text(text)).tolist() == want
+
+
+@lru_cache
+def untouched(path):
+    return Tokenizer.from_file(path)
+
+
+def test_id_of_the_added_token():
+    for spaces, id_ in (("leading", 50256), ("dropped", 49407)):
+        ids = word_ids(public_tokenizers.path(FILES[spaces]), spaces).text("end <|endoftext|> of")
+        assert id_ in array("I", ids)
