@@ -198,20 +198,17 @@ def union_leaderboards(spark, sf):
     return rounded(boards[0].unionByName(boards[1]), 5, "wape").select("preset", "model", "wape")
 
 
-FITTED_WINDOWS = 2  # every window fits both models anew
-
-
 @query("leaderboard_fitted")
 def leaderboard_fitted(spark, sf):
     """The board of all four models; the fitted ones learn anew before each window's cutoff."""
-    return _board(*plan.backtested(flagged_series(spark, sf), fitted=True, windows=FITTED_WINDOWS))
+    return _board(*plan.backtested(flagged_series(spark, sf), fitted=True))
 
 
 @query("champion_fitted")
 def champion_fitted(spark, sf):
     """Each item's champion among all four models, or their blend, over the horizon."""
     series = flagged_series(spark, sf)
-    out = plan.champion_forecast(series, item_future(spark, sf, series), FITTED_WINDOWS)
+    out = plan.champion_forecast(series, item_future(spark, sf, series))
     return out.groupBy("item_id", "model").agg(F.count(F.lit(1)).alias("days"), F.sum("mean").alias("total"))
 
 

@@ -1,0 +1,22 @@
+"""The contests with fitted models use the validation windows of the other contests."""
+
+import pytest
+
+from catalog import forecasting
+from larder import config
+from larder.plans import forecasting as plan
+
+
+class Seen(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query", [forecasting.leaderboard_fitted, forecasting.champion_fitted])
+def test_all_validation_windows(spark, monkeypatch, query):
+    def record(series, fitted=False, windows=config.VALIDATION_WINDOWS):
+        raise Seen(fitted, windows)
+
+    monkeypatch.setattr(plan, "backtested", record)
+    with pytest.raises(Seen) as seen:
+        query(spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (True, 5)
