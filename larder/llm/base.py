@@ -3,7 +3,6 @@
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +59,36 @@ def to_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(column, field.type) for column, field in zip(zip(*records), schema)], schema=schema)
 
 
-def marked(docs: DataFrame, label: str = "located") -> DataFrame:
-    """``docs`` with the place of each row, ``__at`` (file, row); rows that are in no file are staged first."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at")
-    try:
-        return docs.select("*", at)
-    except AnalysisException:
-        return stage(docs, label).select("*", at)
+def free_name(wanted: str, docs: DataFrame) -> str:
+    """``wanted``, made longer while ``docs`` has such a column (names are compared without case)."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+# Nodes of a plan that hand on each row of a file once at most.
+ONE_TO_ONE = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def in_files(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of a file, and no row of a file is there twice."""
+    node = docs._jdf.queryExecution().analyzed()
+    while str(node.nodeName()) in ONE_TO_ONE:
+        if node.children().isEmpty():
+            return "HadoopFsRelation" in node.relation().getClass().getName()
+        node = node.children().head()
+    return False
+
+
+def marked(docs: DataFrame, label: str = "located") -> tuple[DataFrame, str]:
+    """``docs`` with the place of each row (file, row), and that column's name.
+
+    Only rows of a plain scan have a place of their own; all others are staged first.
+    """
+    name = free_name("at", docs)
+    if not in_files(docs):
+        docs = stage(docs, label)
+    place = docs.metadataColumn("_metadata")
+    at = F.struct(place["file_path"].alias("file"), place["row_index"].alias("row"))
+    return docs.select("*", at.alias(name)), name

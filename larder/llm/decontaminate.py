@@ -16,6 +16,7 @@ nothing; an empty document table gives an empty result; other columns pass throu
 """
 
 import pickle
+import re
 import uuid
 
 import numpy as np
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.automaton import SuffixAutomaton
-from larder.llm.base import query, rows, table, to_batch, utf8
+from larder.llm.base import free_name, query, rows, table, to_batch, utf8
 from larder.llm.files import opened_input, opened_output
 from larder.session import new_path, stage
 
 WINDOW = 13
 COVERAGE = 20          # contaminated when COVERAGE * hit words >= words
 BLOCK_WORDS = 1 << 20
+BATCH_BYTES = 32 << 20   # text that a task matches with one block before it loads the next
 
 # Everything but digits, lower-case letters (after lower-casing) and bytes of non-ASCII characters.
 SEPARATORS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -141,16 +143,23 @@ def spans_of(hit: np.ndarray) -> list[dict]:
 
 
 HITS = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-                  ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
+                  ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
+                  ("contaminated", pa.bool_())])
+MATCH = ("struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<first: int, end: int>>, "
+         "contaminated: boolean>")
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
-            block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with a struct ``match``: n_words, n_hit, items, spans (of words), contaminated."""
+            block_words: int = BLOCK_WORDS, into: str = "match", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``docs`` with a struct ``into``: n_words, n_hit, items, spans (of words), contaminated.
+
+    A task holds batches of about ``batch_bytes`` of text while it goes through the blocks.
+    """
     paths = build_matchers(benchmark, window, block_words)
+    at = docs.columns.index("text")
 
-    def judge(batch):
-        texts = [words_of(t) for t in batch.column(batch.schema.get_field_index("__bytes")).to_pylist()]
+    def judged(texts):
+        texts = [words_of((t or "").encode()) for t in texts]
         hits, items = [np.zeros(len(t), bool) for t in texts], [set() for _ in texts]
         for path in paths:
             matcher = loaded(path)
@@ -158,28 +167,74 @@ def matched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
                 hit, found = matcher.match(words)
                 hits[i] |= hit
                 items[i] |= found
-        columns = [[len(t) for t in texts], [int(h.sum()) for h in hits],
-                   [sorted(x for x in found if x is not None) for found in items], [spans_of(h) for h in hits]]
+        counts = [(len(t), int(h.sum())) for t, h in zip(texts, hits)]
+        columns = [[n for n, _ in counts], [n for _, n in counts],
+                   [sorted(x for x in found if x is not None) for found in items], [spans_of(h) for h in hits],
+                   [n_hit > 0 and coverage * n_hit >= n for n, n_hit in counts]]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, HITS)], fields=list(HITS))
 
     def run(batches):
-        for batch in batches:
-            keep = [c for n, c in zip(batch.schema.names, batch.columns) if n != "__bytes"]
-            names = [n for n in batch.schema.names if n != "__bytes"]
-            yield pa.RecordBatch.from_arrays([*keep, judge(batch)], names=[*names, "__match"])
+        for held in gathered(batches, at, batch_bytes):
+            found = judged([t for batch in held for t in batch.column(at).to_pylist()])
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns, found[:len(batch)]], names=[*batch.schema.names, into])
+                found = found[len(batch):]
+
+    schema = docs.select("*", F.lit(None).cast(MATCH).alias(into)).schema
+    return docs.mapInArrow(run, schema)
+
 
-    found = "n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<first: int, end: int>>"
-    schema = docs.schema.simpleString()[len("struct<"):-1]
-    out = docs.withColumn("__bytes", utf8("text")).mapInArrow(
-        run, ", ".join(x for x in (schema, f"__match: struct<{found}>") if x))
-    n_hit, n_words = F.col("__match.n_hit"), F.col("__match.n_words")
-    bad = (n_hit > 0) & (coverage * n_hit >= n_words)
-    return out.withColumn("__match", F.col("__match").withField("contaminated", bad))
+def gathered(batches, at: int, limit: int):
+    """Runs of batches whose column ``at`` holds about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(at).nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose hit words stay under the coverage limit, unchanged."""
-    return matched(docs, benchmark).where("not __match.contaminated").select(*docs.columns)
+    into = free_name("match", docs)
+    return matched(docs, benchmark, into=into).where(~F.col(into)["contaminated"]).drop(into)
+
+
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, longest: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
+    """``docs`` with the benchmark cut out of ``text``; documents over the coverage limit are not returned.
+
+    A span of hit words goes when it has at least ``longest`` words: from its first word up to the word after
+    it, or to the end of the text. What is left is unchanged; a null text stays null.
+    """
+    into, at = free_name("match", docs), docs.columns.index("text")
+    kept = matched(docs, benchmark, coverage=coverage, into=into).where(~F.col(into)["contaminated"])
+
+    def cut(text, spans):
+        spans = [s for s in spans if s["end"] - s["first"] >= longest]
+        if not spans:
+            return text
+        raw, out, done = text.encode(), [], 0
+        starts = [m.start() for m in WORD.finditer(raw)]
+        starts.append(len(raw))
+        for s in spans:
+            out.append(raw[done:starts[s["first"]]])
+            done = starts[s["end"]]
+        return b"".join([*out, raw[done:]]).decode()
+
+    def run(batches):
+        for batch in batches:
+            texts = map(cut, batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).field("spans").to_pylist())
+            columns = [*batch.columns[:-1]]
+            columns[at] = pa.array(list(texts), batch.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return kept.mapInArrow(run, docs.schema)
 
 
 @query("op8_decontamination")
@@ -187,5 +242,5 @@ def op8_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     match = matched(docs, table(spark, sf_dir, "benchmark"))
     return match.select(
-        "doc_id", "__match.n_words", "__match.n_hit", F.size("__match.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__match.items", ","), 256).alias("items_sha256"), "__match.contaminated")
+        "doc_id", "match.n_words", "match.n_hit", F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("match.items", ","), 256).alias("items_sha256"), "match.contaminated")

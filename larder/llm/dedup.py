@@ -75,8 +75,8 @@ def keyed_state(arrivals: DataFrame, files_per_batch: int | None = None) -> Data
 
 def exact_groups(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
     """Per row: doc_id, at (locator), keep_id, group_size, kept, digest."""
-    placed = marked(docs.select("doc_id", "text"), "dedup-texts")
-    return groups_of(placed.withColumnRenamed("__at", "at"), digest, files_per_batch)
+    placed, at = marked(docs.select("doc_id", "text"), "dedup-texts")
+    return groups_of(placed.withColumnRenamed(at, "at"), digest, files_per_batch)
 
 
 def groups_of(texts: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
@@ -120,10 +120,10 @@ def groups_of(texts: DataFrame, digest=sha256, files_per_batch: int | None = Non
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    placed = marked(docs, "dedup-texts")
-    texts = placed.select("doc_id", "text", F.col("__at").alias("at"))
-    dropped = groups_of(texts).where("not kept").select(F.col("at").alias("__at"))
-    return placed.join(dropped, "__at", "left_anti").drop("__at")
+    placed, at = marked(docs, "dedup-texts")
+    texts = placed.select("doc_id", "text", F.col(at).alias("at"))
+    dropped = groups_of(texts).where("not kept").select(F.col("at").alias(at))
+    return placed.join(dropped, at, "left_anti").drop(at)
 
 
 @query("op2_exact_dedup", oracle=r"""

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.base import query, table
+from larder.llm.base import free_name, query, table
 from larder.llm.training import fitted, held_out, labelled_sample, scored
 
 SAMPLE = 4000          # labelled documents a model is fitted on, at most
@@ -172,19 +172,20 @@ def score(model: dict, texts: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
-def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``__score``, the quality of every document."""
+def quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into``, the quality of every document."""
     sample = labelled_sample(docs, labels, "quality", held_out(MODULUS, REMAINDER), limit)
-    return scored(docs, fitted(sample, fit), load, score)
+    return scored(docs, fitted(sample, fit), load, score, into)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score as good, unchanged."""
-    return quality(docs, labels).where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    score_name = free_name("score", docs)
+    return quality(docs, labels, into=score_name).where(F.col(score_name) >= THRESHOLD).drop(score_name)
 
 
 @query("op10_quality")
 def op10_quality(spark, sf_dir):
     out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", held_out(MODULUS, REMAINDER).alias("held_out"), F.col("__score").alias("score"),
-                      (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(MODULUS, REMAINDER).alias("held_out"), "score",
+                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

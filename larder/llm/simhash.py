@@ -193,12 +193,12 @@ def components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each component, with all columns."""
-    placed = marked(docs, "simhash-texts")
-    found = stage(components(placed.select("doc_id", "text", "__at")), "components")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__at")
+    placed, at = marked(docs, "simhash-texts")
+    found = stage(components(placed.select("doc_id", "text", F.col(at).alias("place"))), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     best = stage(found.groupBy("root").agg(F.min(rank).alias("best")), "best")
-    dropped = found.join(best, "root").where("__at <> best.__at").select("__at")
-    return placed.join(dropped, "__at", "left_anti").drop("__at")
+    dropped = found.join(best, "root").where("place <> best.place").select(F.col("place").alias(at))
+    return placed.join(dropped, at, "left_anti").drop(at)
 
 
 @query("op4_simhash")

@@ -143,6 +143,13 @@ def earlier(found: DataFrame) -> DataFrame:
         late[order] = np.repeat(first, np.diff(np.r_[start, len(keys)])) < doc_id[row][order]
         n_late = np.bincount(row, late, len(n)).astype(np.int64)
         some, whole = n_late > 0, n_late == n
+        # Rows that share a doc_id share what is said of it: an anchor is whole in all of them or in none.
+        order = np.lexsort((doc_id, salt, anchor))
+        place = np.stack([anchor, salt, doc_id])[:, order]
+        first_row = np.flatnonzero(np.r_[True, (place[:, 1:] != place[:, :-1]).any(axis=0)])
+        if len(first_row) < len(n):
+            all_whole = np.minimum.reduceat(whole[order], first_row)
+            whole[order] = np.repeat(all_whole, np.diff(np.r_[first_row, len(n)]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc_id[some]), pa.array(anchor[some], mask=~whole[some]),
              lists(np.where(whole, 0, n_late)[some], keys[late & ~whole[row]]), pa.nulls(int(some.sum()), pa.int64())],

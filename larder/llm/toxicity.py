@@ -150,7 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFra
     held = held_out(MODULUS, REMAINDER)
     model = fitted(labelled_sample(docs, labels, "toxic", held, limit), fit)
     out = scored(docs.select("doc_id", "text"), model, load, score)
-    return out.select("doc_id", "text", held.alias("held_out"), F.col("__score").alias("score"))
+    return out.select("doc_id", "text", held.alias("held_out"), "score")
 
 
 @query("op6_toxicity")

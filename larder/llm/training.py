@@ -43,8 +43,8 @@ def fitted(sample: DataFrame, fit) -> bytes:
     return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
 
 
-def scored(docs: DataFrame, model: bytes, load, score) -> DataFrame:
-    """``docs`` with ``__score``: ``score(load(model), texts) -> float64 array`` per batch."""
+def scored(docs: DataFrame, model: bytes, load, score, into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into``: ``score(load(model), texts) -> float64 array`` per batch."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -53,6 +53,6 @@ def scored(docs: DataFrame, model: bytes, load, score) -> DataFrame:
         for batch in batches:
             found = score(ready, [t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())],
-                                             names=[*batch.schema.names, "__score"])
+                                             names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, docs.withColumn("__score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(into)).schema)

@@ -107,7 +107,7 @@ ROWS = [(1, None), (2, ""), (None, "idiot here"), (3, "long text " * 40_000), (4
 
 @pytest.mark.parametrize("run", [
     lambda d, lab: toxicity.toxicity(d, lab).select("doc_id", "score"),
-    lambda d, lab: quality.quality(d, lab).select("doc_id", F.col("__score").alias("score"))])
+    lambda d, lab: quality.quality(d, lab).select("doc_id", "score")])
 def test_edge_rows(spark, run):
     docs = spark.createDataFrame([(t, 1, i, 0.5) for i, t in ROWS], "text string, label int, doc_id long, score double")
     kind = "toxic int, text string, quality int, doc_id long"

@@ -93,10 +93,10 @@ def test_edge_rows_and_blocks(spark):
     bench = spark.createDataFrame([(t, i) for i, t in BENCH], "text string, item_id long")
     for block_words in (op.BLOCK_WORDS, 20):
         out = op.matched(docs, bench, block_words=block_words)
-        assert out.columns == [*docs.columns, "__match"]
+        assert out.columns == [*docs.columns, "match"]
         got = sorted(((r.doc_id, r.m.n_words, r.m.n_hit, len(r.m["items"]),
                        hashlib.sha256(",".join(r.m["items"]).encode()).hexdigest(), r.m.contaminated)
-                      for r in out.withColumnRenamed("__match", "m").collect()), key=repr)
+                      for r in out.withColumnRenamed("match", "m").collect()), key=repr)
         assert got == brute(DOCS, BENCH)
     kept = op.clean(docs, bench)
     assert kept.columns == docs.columns
@@ -106,7 +106,28 @@ def test_edge_rows_and_blocks(spark):
 def test_spans_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a " * 5 + PASSAGE + " b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
-    row = op.matched(docs, bench).first()["__match"]
+    row = op.matched(docs, bench).first()["match"]
     assert [tuple(s) for s in row.spans] == [(5, 25)]
-    assert op.matched(docs, bench.limit(0)).first()["__match"].n_hit == 0
+    assert op.matched(docs, bench.limit(0)).first()["match"].n_hit == 0
     assert op.matched(docs.limit(0), bench).collect() == []
+
+
+def test_spans_are_cut_out(spark):
+    rows = [(1, "a, " * 500 + PASSAGE.upper() + ". B"), (2, PASSAGE), (3, None), (4, "w0 w1"), (5, "a " * 500 + "É " + PASSAGE)]
+    docs = spark.createDataFrame([(7, t, i) for i, t in rows], "match int, text string, doc_id long")
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "w0 w1")], "item_id long, text string")
+    out = op.without_spans(docs, bench)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {1: "a, " * 500 + "B", 3: None, 5: "a " * 500 + "É "}
+    assert op.without_spans(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_batches_are_matched_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(op, "_LOADED", {})
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    out = op.matched(docs, bench, block_words=20, batch_bytes=1)
+    want = op.matched(docs, bench)
+    key = lambda df: sorted(map(repr, df.select("doc_id", "match").collect()))
+    assert key(out) == key(want)

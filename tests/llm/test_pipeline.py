@@ -1,6 +1,7 @@
 """The stages against brute force on whole small tables, in order and alone."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from larder.session import stage
@@ -46,22 +47,33 @@ def test_every_stage(spark):
 
 
 ROWS = [(1, None), (2, ""), (None, "no id"), (None, "no  id"), (5, "word " * 50_000), (5, "word " * 50_000), (6, "a b c")]
+# Names that the operators use themselves, and names that need quotes.
+EXTRA = ["kept", "fp", "at", "__at", "place", "match", "__match", "__bytes", "score", "__score", "a b-c", "_metadata"]
 
 
 @pytest.mark.parametrize("name, function", pipeline.STAGES)
 def test_edge_rows(spark, name, function):
-    docs = spark.createDataFrame([(i, t, None, "s", 0, "x", 1) for i, t in ROWS],
-                                 "doc_id long, text string, lang string, source string, n_chars long, kept string, fp int")
+    schema = ", ".join(["doc_id long", "text string", "lang string", *(f"`{c}` int" for c in EXTRA)])
+    docs = spark.createDataFrame([(i, t, None, *range(len(EXTRA))) for i, t in ROWS], schema)
     out = function(spark, docs, FOLDER)
     assert name == "packing" or out.columns == docs.columns
     rows = out.collect()
     if name == "exact_dedup":
         assert sorted(r.doc_id or 0 for r in rows) == [0, 2, 5, 6] or sorted(r.doc_id or 0 for r in rows) == [0, 1, 5, 6]
+    if name == "near_dedup":
+        assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 5, 6]
     if name == "decontamination":
         assert len(rows) == len(ROWS)
     assert function(spark, docs.limit(0), FOLDER).collect() == []
 
 
+@pytest.mark.parametrize("function", [pipeline.exact, pipeline.near])
+def test_rows_exploded_from_a_file_are_told_apart(spark, function):
+    docs = stage(spark.createDataFrame([(i, f"text number {i} of many") for i in range(20)], "doc_id long, text string"), "once")
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert sorted(r.doc_id for r in function(spark, twice, FOLDER).collect()) == list(range(20))
+
+
 def test_run(spark):
     out = pipeline.run(spark, FOLDER)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0

@@ -62,6 +62,14 @@ def test_edge_rows(spark, hot):
     assert result(substring.remove_repeats(docs, hot=hot)) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [substring.HOT, 3])
+def test_repeated_ids(spark, hot):
+    rng = random.Random(9)
+    rows = [(rng.randrange(60), " ".join(rng.choice("ab") for _ in range(rng.randint(10, 40)))) for _ in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(substring.remove_repeats(docs, hot=hot)) == brute(rows)
+
+
 def test_spans_are_maximal(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(40)))), (2, "x " + " ".join(map(str, range(5, 35))) + " y")],
                                  "doc_id long, text string")
