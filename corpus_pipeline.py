@@ -5,10 +5,9 @@ drops documents that hold too much of the benchmark, and packing cuts what is le
 stage but the last returns the columns of ``documents``.
 """
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, dedup, near as similar, packing, quality
+from larder.llm import decontaminate, dedup, packing, quality, simhash
 from larder.llm.base import table
 from larder.session import apply_defaults, stage
 
@@ -26,9 +25,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    """One document of each group of linked fingerprints: three-word shingles, at most three bits apart."""
     apply_defaults(spark)
-    return similar.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
