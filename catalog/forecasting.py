@@ -9,7 +9,7 @@ from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
 from larder.operators import features as ft
 from larder.operators import forecast as fc
-from larder.operators import grid, segment
+from larder.operators import grid, regression, segment
 from larder.operators import sales as sl
 from larder.plans import forecasting as plan
 from larder.session import stage
@@ -78,25 +78,65 @@ def forecast_seasonal_naive(spark, sf):
 
 
 def flagged_series(spark, sf):
-    """Dense item units with holiday and promotion flags, staged for the model fits."""
+    """Dense item units with the flags of their days: holidays, promotions, discounts, stock-outs and stores, staged."""
     lines = v.family(spark, sf)
-    daily = lines.groupBy(cl.item_id().alias("item_id"), "ds").agg(
-        F.sum("qty").alias("y"), F.max((F.col("disc") > 0).cast("int")).alias("is_on_promotion"))
-    panel = grid.dense_panel(daily, span=grid.day_span(lines), fills={"y": "zero"}).fillna(0, subset=["is_on_promotion"])
-    return stage(sl.join_days(panel, sl.holiday_days(v.holidays(spark, sf)), {"is_holiday": 0}), "flagged")
+    daily = lines.groupBy(cl.item_id().alias("item_id"), "sku", "ds").agg(
+        F.sum("qty").alias("y"), F.max((F.col("disc") > 0).cast("int")).alias("is_on_promotion"),
+        F.sum("disc_amt").alias("disc"), F.sum("revenue").alias("revenue"))
+    daily = daily.withColumn("discount_percentage", ft.discount_share())
+    stock = v.stock(lines).select("sku", "ds", (F.col("warehouse_qty") <= 0).cast("int").alias("was_stocked_out"))
+    daily = daily.join(stock, ["sku", "ds"], "left").drop("sku", "disc", "revenue")
+    flags = ["is_on_promotion", "discount_percentage", "was_stocked_out"]
+    panel = grid.dense_panel(daily, span=grid.day_span(lines), fills={"y": "zero"}).fillna(0, subset=flags)
+    return stage(_day_flags(spark, sf, panel), "flagged")
+
+
+def _day_flags(spark, sf, days):
+    """Holidays, the store count and its ratio to the newest one."""
+    stores = stage(sl.store_days(v.store_count(spark, sf)), "stores")
+    days = sl.join_stores(sl.join_days(days, sl.holiday_days(v.holidays(spark, sf)), {"is_holiday": 0}), stores)
+    newest = stores.agg(F.max_by("store_count", "ds")).scalar()
+    return days.withColumn("store_growth", F.coalesce(F.try_divide("store_count", newest), F.lit(1.0)))
 
 
 def item_future(spark, sf, series):
-    """The forecast horizon of every item, promotions off."""
+    """The forecast horizon of every item: no promotion, no discount, no stock-out, the last store count."""
     items = series.select("item_id").distinct()
-    future = grid.future_days(items, series.agg(F.max("ds")).scalar()).withColumn("is_on_promotion", F.lit(0))
-    return sl.join_days(future, sl.holiday_days(v.holidays(spark, sf)), {"is_holiday": 0})
+    future = grid.future_days(items, series.agg(F.max("ds")).scalar()).withColumns(
+        {"is_on_promotion": F.lit(0), "discount_percentage": F.lit(0.0), "was_stocked_out": F.lit(0)})
+    return _day_flags(spark, sf, future)
 
 
 @query("forecast_harmonic")
 def forecast_harmonic(spark, sf):
     series = flagged_series(spark, sf)
-    return fc.harmonic(series, item_future(spark, sf, series))
+    return regression.forecast(series, item_future(spark, sf, series), regression.REGRESSORS)
+
+
+_TREND = {
+    "days": "SELECT item_id, ds, y, date_diff('day', max(ds) OVER (), ds) AS x FROM sku_series",
+    "trend": "SELECT item_id, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base, max(ds) AS last_ds FROM days GROUP BY 1",
+    "trend_bt": "SELECT item_id, win, regr_slope(y, step) AS slope, regr_intercept(y, step) AS base FROM bt_rows WHERE step <= 0 GROUP BY 1, 2",
+}
+
+
+@query("forecast_trend", v.sql(
+    "SELECT 'Trend' AS model, item_id, step, CAST(last_ds + step AS DATE) AS ds, " + r(5, mean="greatest(base + slope * step, 0)")
+    + " FROM trend, (SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step)", **_TREND))
+def forecast_trend(spark, sf):
+    """The regression with its trend alone."""
+    series = stage(sku_series(spark, sf), "series")
+    items = series.select("item_id").distinct()
+    future = grid.future_days(items, series.agg(F.max("ds")).scalar())
+    return rounded(regression.forecast(series, future, regression.TREND), 5, "mean")
+
+
+@query("backtest_trend", v.sql(
+    "SELECT item_id, win AS \"window\", step, ds, y, 'Trend' AS model, " + r(5, yhat="greatest(base + slope * step, 0)")
+    + " FROM bt_rows JOIN trend_bt USING (item_id, win) WHERE step BETWEEN 1 AND 183", **BT, **_TREND))
+def backtest_trend(spark, sf):
+    """All validation windows of the trend regression, from one pass over the history."""
+    return rounded(regression.backtest(stage(sku_series(spark, sf), "series"), design=regression.TREND), 5, "yhat")
 
 
 @query("forecast_gbt")
@@ -105,6 +145,12 @@ def forecast_gbt(spark, sf):
     return fc.gbt(series, item_future(spark, sf, series))
 
 
+@query("gbt_search")
+def gbt_search(spark, sf):
+    """What the time-ordered search of the trees tried, best first."""
+    return fc.trials_table(spark, fc.search_gbt(fc.gbt_training_rows(flagged_series(spark, sf))))
+
+
 def _fitted(spark, sf):
     return fc.fit_gbt(fc.gbt_training_rows(flagged_series(spark, sf)))
 

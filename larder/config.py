@@ -27,8 +27,6 @@ MIN_SEASONAL_STRENGTH = 0.2
 IMPROVEMENT_THRESHOLD = 0.02
 VERSIONS_TO_KEEP = 5
 RANDOM_SEED = 42
-GBT_TREES = 15   # boosting rounds and depth of the global tree model; more trees fit finer
-GBT_DEPTH = 4
 HOLIDAY_TYPES = ("National holiday", "Optional holiday")
 CHANNEL_ORDER = ("App", "Web", "Offline")
 WEDDING_MONTHS = (10, 11, 12, 1, 2)
@@ -42,6 +40,7 @@ FEEDBACK_SCORES = {
 }
 EXCLUDED_SKU_PREFIXES = ("GW", "GD", "FREE", "PX", "PM", "JO", "CA", "PR", "ID", "UT")
 APP_SOURCES = ("5204949", "232217378817")
+# The columns of the panel that are known ahead.
 KNOWN_COVARIATES = (
     "was_stocked_out", "is_holiday", "is_on_promotion", "month", "day_of_week",
     "is_weekend", "is_wedding_season", "is_diwali_period", "is_valentine_month",
@@ -52,6 +51,13 @@ KNOWN_COVARIATES = (
 )
 UPLOAD_COLUMNS = ("sku", "timestamp", "target", "disc")
 
+# Search of the tree model: (depth, learning rate) tried, most rounds, the least relative gain of a round on the
+# validation days, and the rounds where a history is too short to validate.
+GBT_GRID = ((3, 0.3), (5, 0.3))
+GBT_MAX_ROUNDS = 200
+GBT_TOLERANCE = 0.002
+GBT_FEW_ROUNDS = 20
+
 
 def z_score(service_level: float) -> float:
     """Standard normal quantile of a service level."""

@@ -1,5 +1,6 @@
 """Forecast errors, rolling-origin backtests, leaderboard and champion choice."""
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -100,33 +101,37 @@ def backtest(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
                      "model", "yhat").where(F.col("yhat").isNotNull()))
 
 
-def backtest_harmonic(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
-                      horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
-    """Backtest rows of the harmonic regression: one fit per item and window, all in one job."""
-    rows = backtest_windows(series, windows, horizon)
-    test = rows.where(F.col("part") == "test").withColumn("step", F.datediff("ds", "cutoff"))
-    keys = ("item_id", "window")
-    out = fc.harmonic(rows.where(F.col("part") == "train"), test, keys=keys)
-    return _with_actuals(out, test)
-
-
 def backtest_gbt(series: DataFrame, windows: int = config.VALIDATION_WINDOWS,
-                 horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
-    """Backtest rows of the trees: one model of all items per window."""
-    rows = stage(backtest_windows(series, windows, horizon), "windows")
-    scored = []
-    for window in range(windows):
-        of_window = rows.where(F.col("window") == window)
-        train = of_window.where(F.col("part") == "train")
-        test = of_window.where(F.col("part") == "test").withColumn("step", F.datediff("ds", "cutoff"))
-        if train.isEmpty() or test.isEmpty():
+                 horizon: int = config.PREDICTION_LENGTH, settings: fc.Boosting | None = None) -> DataFrame:
+    """Backtest rows of the trees: one model of all items per window.
+
+    Depth, rate and rounds are searched once, on the days before the oldest window that has any, so no
+    window is scored with settings that saw its days.
+    """
+    last = series.agg(F.max("ds")).first()[0]
+    if last is None:
+        return _no_rows(series)
+    first, scored = series.agg(F.min("ds")).first()[0], []
+    for window in reversed(range(windows)):
+        cutoff = last - dt.timedelta(days=(window + 1) * horizon)
+        if cutoff < first:
             continue
-        out = fc.gbt(train.select(series.columns), test.select("item_id", "ds", "step", "is_holiday", "is_on_promotion"))
+        train = fc.gbt_training_rows(series.where(F.col("ds") <= F.lit(cutoff)), horizon)
+        ahead = F.datediff("ds", F.lit(cutoff))
+        test = series.withColumns({"step": ahead, "window": F.lit(window)}).where(ahead.between(1, horizon))
+        train = stage(train, "gbt-window")
+        if train.isEmpty():
+            continue
+        settings = settings or fc.search_gbt(train, horizon=horizon)[0].settings
+        states = fc.gbt_future_rows(series.where(F.col("ds") <= F.lit(cutoff)), test)
+        out = fc.score_gbt(fc.fit_gbt(train, settings), states)
         scored.append(_with_actuals(out.withColumn("window", F.lit(window)), test))
-    if not scored:
-        empty = rows.withColumns({"step": F.lit(0), "model": F.lit("GBT"), "yhat": F.lit(0.0)})
-        return empty.select("item_id", "window", "step", "ds", "y", "model", "yhat").limit(0)
-    return reduce(DataFrame.unionByName, scored)
+    return reduce(DataFrame.unionByName, scored) if scored else _no_rows(series)
+
+
+def _no_rows(series: DataFrame) -> DataFrame:
+    return series.select("item_id", F.lit(0).alias("window"), F.lit(0).alias("step"), "ds", "y", F.lit("GBT").alias("model"),
+                         F.lit(0.0).alias("yhat")).limit(0)
 
 
 def _with_actuals(forecast: DataFrame, test: DataFrame) -> DataFrame:

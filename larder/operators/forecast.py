@@ -1,13 +1,11 @@
 """Forecast models: a common contract of (model, item_id, step, ds, mean).
 
-Every model forecasts all items in one Spark job: averages and naive as window aggregates, the
-harmonic regression as one least-squares fit per item, the trees as one global model.
+Every model forecasts all items in one Spark job: averages and naive as window aggregates, the trees as
+one global model. The regressions are in ``regression.py``.
 """
 
-import math
+from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -77,59 +75,14 @@ def seasonal_naive(series: DataFrame, days: int = config.PREDICTION_LENGTH,
                          value.alias("mean"))
 
 
-# ---- harmonic regression ------------------------------------------------------------------
-
-def harmonic_design(days: np.ndarray, holiday: np.ndarray, yearly: int = 10,
-                    monthly: int = 5) -> np.ndarray:
-    """Intercept, trend, yearly and monthly Fourier terms, weekday terms and the holiday flag."""
-    cols = [np.ones(len(days)), days / 365.25]
-    for period, order in ((365.25, yearly), (30.5, monthly), (7.0, 3)):
-        for k in range(1, order + 1):
-            angle = 2 * math.pi * k * days / period
-            cols += [np.sin(angle), np.cos(angle)]
-    cols.append(holiday)
-    return np.column_stack(cols)
-
-
-def harmonic(series: DataFrame, future: DataFrame, ridge: float = 1.0,
-             keys: tuple[str, ...] = ("item_id",)) -> DataFrame:
-    """Per-item ridge fit of the harmonic design, scored on the future rows, never below 0.
-
-    ``series`` (``keys``, ds, y, is_holiday) and ``future`` (``keys``, ds, step, is_holiday) are
-    stacked, so history and horizon of an item meet in one Arrow group bounded by the calendar.
-    """
-    both = (series.select(*keys, "ds", "y", "is_holiday", F.lit(0).alias("step"))
-            .unionByName(future.select(*keys, "ds", F.lit(None).cast("double").alias("y"),
-                                       "is_holiday", "step"))
-            .withColumn("day", F.datediff("ds", F.lit("1970-01-01").cast("date"))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        past, ahead = pdf[pdf["step"] == 0], pdf[pdf["step"] > 0]
-        if past.empty or ahead.empty:
-            return pd.DataFrame({c: [] for c in (*keys, "step", "ds", "mean")})
-        start = float(past["day"].min())
-        x = harmonic_design(past["day"].to_numpy(float) - start,
-                            past["is_holiday"].to_numpy(float))
-        penalty = np.full(x.shape[1], ridge)
-        penalty[:2] = 1e-8
-        coef = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ past["y"].to_numpy(float))
-        xf = harmonic_design(ahead["day"].to_numpy(float) - start,
-                             ahead["is_holiday"].to_numpy(float))
-        return ahead[[*keys, "step", "ds"]].assign(mean=np.maximum(xf @ coef, 0.0))
-
-    kinds = dict(both.dtypes)
-    out = both.groupBy(*keys).applyInPandas(
-        fit, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", step int, ds date, mean double")
-    return out.select(F.lit("Harmonic").alias("model"), *keys, "step", "ds", "mean")
-
-
 # ---- gradient-boosted trees ---------------------------------------------------------------
 
 ORIGIN_FEATURES = ["level_7", "level_28", "level_182", "std_28", "last_y", "zero_28"]
 TARGET_FEATURES = ["step", "same_weekday", "is_holiday", "is_on_promotion", "month", "day_of_week",
                    "is_weekend", "is_wedding_season", "is_diwali_period", "is_valentine_month",
                    "is_month_start", "is_month_end", "day_of_week_sin", "day_of_week_cos",
-                   "month_sin", "month_cos"]
+                   "month_sin", "month_cos", "store_count", "was_stocked_out", "discount_percentage"]
+KNOWN_DAYS = ["is_holiday", "is_on_promotion", "store_count", "was_stocked_out", "discount_percentage"]
 GBT_FEATURES = ORIGIN_FEATURES + TARGET_FEATURES
 
 
@@ -154,7 +107,8 @@ def _origin_state(aged: DataFrame, keys: list[str]) -> DataFrame:
 
 def _gbt_rows(targets: DataFrame, origins: DataFrame, keys: list[str]) -> DataFrame:
     """Target rows with the state at their origin and the calendar of the target day."""
-    joined = targets.join(origins, keys)
+    missing = {c: F.lit(0.0) for c in KNOWN_DAYS if c not in targets.columns}
+    joined = targets.withColumns(missing).join(origins, keys)
     same = F.get("week", F.pmod(F.col("step") - 1, F.lit(7)))
     return joined.withColumn("same_weekday", same).drop("week").withColumns({
         **calendar_features("ds"), **month_boundary("ds"), **cyclical_encoding("ds")})
@@ -183,14 +137,63 @@ def gbt_future_rows(series: DataFrame, future: DataFrame) -> DataFrame:
     return _gbt_rows(future, _origin_state(aged, ["item_id"]), ["item_id"])
 
 
-def fit_gbt(rows: DataFrame, iterations: int = config.GBT_TREES,
-            depth: int = config.GBT_DEPTH) -> GBTRegressionModel:
-    """One model for all items; ``rows`` is staged, each tree reads it."""
-    data = VectorAssembler(inputCols=GBT_FEATURES, outputCol="features").transform(
-        stage(rows.select(F.col("y").alias("label"), *GBT_FEATURES), "gbt")
-    ).select("label", "features")
-    return GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0,
-                        seed=config.RANDOM_SEED, maxBins=32).fit(data)
+@dataclass(frozen=True)
+class Boosting:
+    """Settings of the trees: depth, learning rate and boosting rounds."""
+
+    depth: int
+    rate: float
+    rounds: int
+
+
+@dataclass(frozen=True)
+class Trial:
+    """Settings that were tried and their root mean squared error on the validation days."""
+
+    settings: Boosting
+    rmse: float
+
+
+def _assembled(rows: DataFrame, *others: str) -> DataFrame:
+    data = VectorAssembler(inputCols=GBT_FEATURES, outputCol="features").transform(rows)
+    return data.select(F.col("y").alias("label"), "features", *others)
+
+
+def _trees(settings: Boosting, **more) -> GBTRegressor:
+    return GBTRegressor(maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate, subsamplingRate=1.0,
+                        seed=config.RANDOM_SEED, maxBins=32, **more)
+
+
+def search_gbt(rows: DataFrame, grid=config.GBT_GRID, rounds: int = config.GBT_MAX_ROUNDS,
+               horizon: int = config.PREDICTION_LENGTH) -> list[Trial]:
+    """Every (depth, rate) of the grid, best first, each with the rounds at which its validation error stopped falling.
+
+    The order of time is kept: the newest ``horizon`` days validate, all days before them train. A fit ends
+    when a round no longer lowers the validation error by ``GBT_TOLERANCE`` of it.
+    """
+    last = rows.agg(F.max("ds")).scalar()
+    parts = stage(rows.withColumn("late", F.col("ds") > F.date_sub(last, horizon)).select("y", "late", *GBT_FEATURES), "gbt-search")
+    data = _assembled(parts, "late")
+    if len({r.late for r in parts.select("late").distinct().collect()}) < 2:  # no day before the validation days
+        return [Trial(Boosting(*grid[0], rounds=min(rounds, config.GBT_FEW_ROUNDS)), float("inf"))]
+    found = []
+    for depth, rate in grid:
+        model = _trees(Boosting(depth, rate, rounds), validationIndicatorCol="late", validationTol=config.GBT_TOLERANCE).fit(data)
+        mse = model.evaluateEachIteration(data.where("late"), "squared")
+        found.append(Trial(Boosting(depth, rate, model.getNumTrees), float(mse[-1]) ** 0.5))
+    return sorted(found, key=lambda t: t.rmse)
+
+
+def fit_gbt(rows: DataFrame, settings: Boosting | None = None) -> GBTRegressionModel:
+    """One model for all items; by default with the settings that a search on the same rows finds best."""
+    rows = stage(rows.select("ds", "y", *GBT_FEATURES), "gbt")  # each round reads them
+    return _trees(settings or search_gbt(rows)[0].settings).fit(_assembled(rows))
+
+
+def trials_table(spark, trials: list[Trial]) -> DataFrame:
+    """(depth, rate, rounds, rmse, rank) of a search."""
+    return spark.createDataFrame([(*asdict(t.settings).values(), t.rmse, i + 1) for i, t in enumerate(trials)],
+                                 "depth int, rate double, rounds int, rmse double, rank int")
 
 
 def score_gbt(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
@@ -200,8 +203,8 @@ def score_gbt(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
         F.greatest("prediction", F.lit(0.0)).alias("mean"))
 
 
-def gbt(series: DataFrame, future: DataFrame) -> DataFrame:
-    return score_gbt(fit_gbt(gbt_training_rows(series)), gbt_future_rows(series, future))
+def gbt(series: DataFrame, future: DataFrame, settings: Boosting | None = None) -> DataFrame:
+    return score_gbt(fit_gbt(gbt_training_rows(series), settings), gbt_future_rows(series, future))
 
 
 def importances(model: GBTRegressionModel) -> list[tuple[str, float]]:

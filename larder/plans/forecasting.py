@@ -7,7 +7,7 @@ from larder import config
 from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
 from larder.operators import forecast as fc
-from larder.operators import grid, inventory, segment
+from larder.operators import grid, inventory, regression, segment
 from larder.operators import sales as sl
 from larder.session import stage
 from larder.sources import sinks
@@ -64,7 +64,8 @@ def backtested(series: DataFrame, fitted: bool = False,
     series = stage(series, "series")
     rows = ev.backtest(series, windows)
     if fitted:
-        rows = rows.unionByName(ev.backtest_harmonic(series, windows)).unionByName(ev.backtest_gbt(series, windows))
+        rows = (rows.unionByName(regression.backtest(series, windows, design=regression.REGRESSORS))
+                .unionByName(ev.backtest_gbt(series, windows)))
     return series, stage(rows, "backtest")
 
 
@@ -84,7 +85,8 @@ def champion_forecast(series: DataFrame, future: DataFrame | None = None,
     errors = stage(ev.metrics(scored), "errors")
     models = fc.sma(series).unionByName(fc.seasonal_naive(series))
     if future is not None:
-        models = models.unionByName(fc.harmonic(series, future)).unionByName(fc.gbt(series, future))
+        models = (models.unionByName(regression.forecast(series, future, regression.REGRESSORS))
+                  .unionByName(fc.gbt(series, future)))
     return champion_rows(stage(models, "models"), errors)
 
 

@@ -15,7 +15,7 @@ from larder.functions import cleaning as cl
 from larder.operators import evaluate as ev
 from larder.operators import features as ft
 from larder.operators import forecast as fc
-from larder.operators import grid, inventory, monitor, ordered, promo, seasonal, segment
+from larder.operators import grid, inventory, monitor, ordered, promo, regression, seasonal, segment
 from larder.operators import sales as sl
 from larder.plans import batch
 from larder.plans import forecasting as plan
@@ -401,7 +401,7 @@ def test_models_beat_the_average_on_a_yearly_wave(spark):
     past, actual = series.where(F.col("ds") < cut), series.where(F.col("ds") >= cut)
     future = grid.future_days(past.select("item_id").distinct(), F.lit(D(2000, 1, 1) + dt.timedelta(days=899)), 183).withColumns(
         {"is_holiday": F.lit(0), "is_on_promotion": F.lit(0)})
-    forecasts = fc.sma(past).unionByName(fc.harmonic(past, future)).unionByName(fc.gbt(past, future))
+    forecasts = fc.sma(past).unionByName(regression.forecast(past, future)).unionByName(fc.gbt(past, future))
     scored = forecasts.join(actual.select("item_id", "ds", "y"), ["item_id", "ds"]).withColumnRenamed("mean", "yhat")
     mae = {r["model"]: r["mae"] for r in ev.metrics(scored, ("model",)).collect()}
     assert forecasts.where("mean IS NULL").count() == 0
