@@ -133,7 +133,7 @@ _WIDTH = {f"interval_width_{m}_months": f"avg(greatest(q90 - q10, 0)) FILTER (st
 
 
 @query("forecast_rollup", v.sql(
-    "SELECT item_id, " + r(5, **_ROLL, **_WIDTH) + " FROM intervals WHERE model = 'SeasonalNaive' GROUP BY 1", intervals=_INTERVALS, **BT))
+    "SELECT item_id, " + r(5, **_ROLL, **_WIDTH) + " FROM intervals WHERE model = 'SeasonalNaive' GROUP BY 1", **_INTERVALS, **BT))
 def forecast_rollup(spark, sf):
     """Sums of the naive forecast and the widths of its residual intervals."""
     out = fc.rollup(intervals(spark, sf).where("model = 'SeasonalNaive'"))

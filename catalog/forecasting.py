@@ -175,25 +175,52 @@ def feature_top5(spark, sf):
 _LEVELS = {f"q{round(p * 100)}": p for p in config.QUANTILE_LEVELS}
 
 
-_INTERVALS = ("SELECT m.model, m.item_id, m.step, m.ds, m.mean, " + ", ".join(f"mean + coalesce(quantile_cont_{n}, 0) AS {n}" for n in _LEVELS)
-              + " FROM sku_models m LEFT JOIN (SELECT model, (step - 1) // 30 AS bucket, "
-              + ", ".join(f"quantile_cont(y - yhat, {p}) AS quantile_cont_{n}" for n, p in _LEVELS.items())
-              + " FROM bt GROUP BY 1, 2) q ON q.model = m.model AND q.bucket = (m.step - 1) // 30")
+def _quantile_sql(rows):
+    """Residual quantiles in units of the item's scale, from the backtest rows ``rows`` (with their scale)."""
+    return (f"SELECT model, (step - 1) // 30 AS bucket, " + ", ".join(f"quantile_cont((y - yhat) / nullif(scale, 0), {p}) AS r{n}" for n, p in _LEVELS.items())
+            + f" FROM {rows} GROUP BY 1, 2")
+
+
+_INTERVALS = {
+    "item_scale": "SELECT model, item_id, avg(abs(y - yhat)) AS scale FROM bt GROUP BY 1, 2",
+    "scaled": "SELECT * FROM bt JOIN item_scale USING (model, item_id)",
+    "residual_q": _quantile_sql("scaled"),
+    "intervals": "SELECT m.model, m.item_id, m.step, m.ds, m.mean, " + ", ".join(f"greatest(mean + coalesce(scale * r{n}, 0), 0) AS {n}" for n in _LEVELS)
+                 + " FROM sku_models m LEFT JOIN residual_q q ON q.model = m.model AND q.bucket = (m.step - 1) // 30 "
+                   "LEFT JOIN item_scale i ON i.model = m.model AND i.item_id = m.item_id",
+}
+_COVERAGE = {
+    "old_scale": "SELECT model, item_id, avg(abs(y - yhat)) AS scale FROM bt WHERE win > 0 GROUP BY 1, 2",
+    "old_scaled": "SELECT * FROM bt JOIN old_scale USING (model, item_id) WHERE win > 0",
+    "old_q": _quantile_sql("old_scaled"),
+    "new_q": "SELECT b.model, b.y, " + ", ".join(f"greatest(yhat + coalesce(scale * r{n}, 0), 0) AS {n}" for n in _LEVELS)
+             + " FROM bt b LEFT JOIN old_scale i ON i.model = b.model AND i.item_id = b.item_id "
+               "LEFT JOIN old_q q ON q.model = b.model AND q.bucket = (b.step - 1) // 30 WHERE win = 0",
+}
 
 
 def intervals(spark, sf):
-    residuals = fc.residual_quantiles(ev.backtest(sku_series(spark, sf)))
-    return fc.with_intervals(sku_models(spark, sf), residuals)
+    scored = stage(ev.backtest(sku_series(spark, sf)), "backtest")
+    scales = stage(fc.item_scales(scored), "scales")
+    return fc.with_intervals(sku_models(spark, sf), fc.residual_quantiles(scored, scales), scales)
+
+
+@query("interval_coverage", v.sql(" UNION ALL ".join(
+    f"SELECT model, {p}::DOUBLE AS level, count(*) AS days, " + r(5, below=f"avg((y < {n})::INTEGER)", at_or_below=f"avg((y <= {n})::INTEGER)")
+    + " FROM new_q GROUP BY 1" for n, p in _LEVELS.items()), **BT, **_COVERAGE))
+def interval_coverage(spark, sf):
+    """Quantiles calibrated on the older windows, judged on the newest one."""
+    return rounded(fc.interval_coverage(stage(ev.backtest(sku_series(spark, sf)), "backtest")), 5, "below", "at_or_below")
 
 
 @query("forecast_intervals", v.sql("SELECT model, item_id, step, ds, " + r(5, mean="mean", **{n: n for n in _LEVELS}) + " FROM intervals",
-                                   intervals=_INTERVALS, **BT))
+                                   **_INTERVALS, **BT))
 def forecast_intervals(spark, sf):
     return rounded(intervals(spark, sf), 5, "mean", *_LEVELS)
 
 
 @query("forecast_ensemble_mean", v.sql("SELECT item_id, step, ds, " + r(5, mean="avg(mean)", **{n: f"avg({n})" for n in _LEVELS})
-                                       + " FROM intervals GROUP BY 1, 2, 3", intervals=_INTERVALS, **BT))
+                                       + " FROM intervals GROUP BY 1, 2, 3", **_INTERVALS, **BT))
 def forecast_ensemble_mean(spark, sf):
     return rounded(fc.ensemble_mean(intervals(spark, sf), ("mean", *_LEVELS)), 5, "mean", *_LEVELS)
 

@@ -226,29 +226,53 @@ def horizon_bucket(step="step", days: int = 30):
     return F.floor((F.col(step) - 1) / days).cast("int")
 
 
-def residual_quantiles(scored: DataFrame, levels=config.QUANTILE_LEVELS,
+def item_scales(scored: DataFrame) -> DataFrame:
+    """The mean absolute error of each model on each item; an item's residuals are measured by it."""
+    return scored.groupBy("model", "item_id").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("scale"))
+
+
+def residual_quantiles(scored: DataFrame, scales: DataFrame, levels=config.QUANTILE_LEVELS,
                        bucket_days: int = 30) -> DataFrame:
-    """Quantiles of y - yhat per model and horizon bucket, over all items and windows.
+    """Quantiles of (y - yhat) / scale per model and horizon bucket, over all items and windows.
 
-    A group holds every item's residuals, so the range-partitioned quantiles are used.
+    Divided by the item's own scale, items of all sizes share one distribution; items without an error
+    are left out. A group holds every item's residuals, so the range-partitioned quantiles are used.
     """
-    rows = scored.select("model", horizon_bucket("step", bucket_days).alias("bucket"),
-                         (F.col("y") - F.col("yhat")).alias("residual"))
+    rows = scored.join(scales, ["model", "item_id"]).select(
+        "model", horizon_bucket("step", bucket_days).alias("bucket"),
+        F.try_divide(F.col("y") - F.col("yhat"), "scale").alias("residual"))
     return quantiles(rows, "residual", {f"r{round(p * 100)}": p for p in levels},
                      ("model", "bucket"))
 
 
-def with_intervals(forecast: DataFrame, residuals: DataFrame,
+def with_intervals(forecast: DataFrame, residuals: DataFrame, scales: DataFrame,
                    levels=config.QUANTILE_LEVELS, bucket_days: int = 30) -> DataFrame:
-    """Point forecast plus the residual quantiles of its model and horizon bucket.
+    """Point forecast plus the residual quantiles of its model and bucket in units of the item's scale, never below 0.
 
-    ``residuals`` holds one row per model and bucket of the horizon, a handful in all.
+    An item without a scale has its mean as every quantile. ``residuals`` holds one row per model and bucket
+    of the horizon, a handful in all.
     """
     out = (forecast.withColumn("bucket", horizon_bucket("step", bucket_days))
-           .join(F.broadcast(residuals), ["model", "bucket"], "left"))
+           .join(F.broadcast(residuals), ["model", "bucket"], "left").join(scales, ["model", "item_id"], "left"))
     names = [round(p * 100) for p in levels]
     return out.select(*forecast.columns, *[
-        (F.col("mean") + F.coalesce(f"r{n}", F.lit(0.0))).alias(f"q{n}") for n in names])
+        F.greatest(F.col("mean") + F.coalesce(F.col("scale") * F.col(f"r{n}"), F.lit(0.0)), F.lit(0.0)).alias(f"q{n}") for n in names])
+
+
+def interval_coverage(scored: DataFrame, held_out: int = 0, levels=config.QUANTILE_LEVELS, bucket_days: int = 30) -> DataFrame:
+    """(model, level, days, below, at_or_below): how often the days of one window fall below each quantile.
+
+    Scales and residual quantiles come from the other windows alone. Demand is whole and often 0, so a
+    quantile may hold many equal days: the level should lie between the two shares.
+    """
+    known, new = scored.where(F.col("window") != held_out), scored.where(F.col("window") == held_out)
+    scales = stage(item_scales(known), "scales")
+    rows = with_intervals(new.withColumnRenamed("yhat", "mean"), residual_quantiles(known, scales, levels, bucket_days),
+                          scales, levels, bucket_days)
+    sides = F.array(*[F.struct(F.lit(float(p)).alias("level"), F.col(f"q{round(p * 100)}").alias("q")) for p in levels])
+    shares = rows.select("model", "y", F.inline(sides)).groupBy("model", "level")
+    return shares.agg(F.count(F.lit(1)).alias("days"), F.avg((F.col("y") < F.col("q")).cast("double")).alias("below"),
+                      F.avg((F.col("y") <= F.col("q")).cast("double")).alias("at_or_below"))
 
 
 def ensemble_mean(forecasts: DataFrame, columns=("mean",)) -> DataFrame:
