@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.base import query, r, rounded
+from catalog.forecasting import _LEVELS, _MASTER, _quantile_sql
 from larder import config
 from larder.operators import forecast as fc
 from larder.operators import inventory
@@ -90,9 +91,49 @@ def eoq_what_if(spark, sf):
     return rounded(inventory.eoq_what_if(demand, SCENARIOS), 6, "eoq", "reorder_point")
 
 
-@query("batch_run", v.sql("SELECT * FROM recommendations"))
+# The contest on item series, and the winner's or the blend's forecast in place of the naive one.
+_BATCH = {**_MASTER, "sku_series": "SELECT * FROM item_series",
+          "naive": "SELECT item_id, step, mean FROM m_models JOIN m_pick USING (item_id) WHERE model = champion"}
+
+
+@query("batch_run", v.sql("SELECT * FROM recommendations", **_BATCH))
 def batch_run(spark, sf):
-    """Two runs of the batch: the second finds nothing new, keeps the first one's rows and is logged."""
+    """Two runs of the batch: the second finds nothing new, is promoted by policy and keeps the first one's rows."""
+    folder = new_path(spark, "batch")
+    batch.batch_run(v.family(spark, sf), folder, "run_1")
+    return batch.batch_run(v.family(spark, sf), folder, "run_2", "always")
+
+
+@query("batch_log", v.sql(
+    "SELECT * FROM (VALUES ('run_1', 'promote', 'first_run', 'None'), ('run_2', 'reject', 'not_better', 'run_1'), "
+    "('run_10', 'promote', 'not_better', 'run_1')) l(run_id, decision, reason, champion_id), "
+    "(SELECT " + r(4, mase="min(mase)", rmse="min(rmse)") + " FROM (SELECT model, avg(mase) AS mase, avg(rmse) AS rmse FROM errors "
+    "JOIN (SELECT model, item_id, mase FROM mase_rows) USING (model, item_id) GROUP BY 1))", **_BATCH))
+def batch_log(spark, sf):
+    """The log of three runs over the same sales: first, rejected by the gate, promoted by policy."""
+    folder, lines = new_path(spark, "batch"), v.family(spark, sf)
+    for run_id, policy in (("run_1", "threshold"), ("run_2", "threshold"), ("run_10", "always")):
+        batch.batch_run(lines, folder, run_id, policy)
+    return spark.read.parquet(f"{folder}/log").select(
+        "run_id", "decision", F.col("reasons")[0].alias("reason"), "champion_id", F.round(F.col("metrics")["mase"], 4).alias("mase"),
+        F.round(F.col("metrics")["rmse"], 4).alias("rmse"))
+
+
+@query("batch_forecasts", v.sql(
+    "SELECT item_id, champion AS model, count(*) AS days, " + r(4, mean="sum(mean)", **{n: f"sum({n})" for n in _LEVELS}) + " FROM quantiled GROUP BY 1, 2",
+    **_BATCH, **{
+        "bt_all": "SELECT item_id, win, step, ds, y, model, yhat FROM bt UNION ALL SELECT item_id, win, step, ds, y, 'Ensemble', sum(weight * yhat) FROM bt "
+                  "JOIN bt_weights USING (item_id, model) GROUP BY item_id, win, step, ds, y",
+        "all_scale": "SELECT model, item_id, avg(abs(y - yhat)) AS scale FROM bt_all GROUP BY 1, 2",
+        "all_scaled": "SELECT * FROM bt_all JOIN all_scale USING (model, item_id)",
+        "all_q": _quantile_sql("all_scaled"),
+        "quantiled": "SELECT m.item_id, p.champion, m.mean, " + ", ".join(f"greatest(mean + coalesce(scale * r{n}, 0), 0) AS {n}" for n in _LEVELS)
+                     + " FROM m_models m JOIN m_pick p ON p.item_id = m.item_id AND p.champion = m.model LEFT JOIN all_q q ON q.model = m.model "
+                       "AND q.bucket = (m.step - 1) // 30 LEFT JOIN all_scale i ON i.model = m.model AND i.item_id = m.item_id"}))
+def batch_forecasts(spark, sf):
+    """The days that a run publishes: each item's champion or blend, with quantiles of its own backtest."""
     folder = new_path(spark, "batch")
     batch.batch_run(v.family(spark, sf), folder, "run_1")
-    return batch.batch_run(v.family(spark, sf), folder, "run_2")
+    days = spark.read.parquet(f"{folder}/forecasts/run_id=run_1")
+    return rounded(days.groupBy("item_id", "model").agg(F.count(F.lit(1)).alias("days"), *[F.sum(c).alias(c) for c in ("mean", *_LEVELS)]),
+                   4, "mean", *_LEVELS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import views as v
 from catalog.aggregates import sku_frame
 from catalog.base import query, r, rounded
+from catalog.forecasting import BT
 from catalog.joins import sku_grid
 from larder.functions import calendar as cal
 from larder.functions import cleaning as cl
@@ -12,9 +13,10 @@ from larder.operators import features as ft
 from larder.operators import forecast as fc
 from larder.operators import grid, monitor, ordered, promo
 from larder.operators import sales as sl
+from larder.plans import batch, prepare
 from larder.plans import forecasting as plan
-from larder.plans import prepare
-from larder.sources import tables
+from larder.session import new_path
+from larder.sources import artefacts, tables
 
 _W = "(PARTITION BY item_id ORDER BY ds)"
 
@@ -233,20 +235,21 @@ def dedup_panel(spark, sf):
     return grid.dedup_panel(c.select(F.when(F.col("sku").isNotNull(), cl.item_id()).alias("item_id"), "ds", "qty"))
 
 
-def vocabulary():
-    cats = ["EAR", "NCK", "RNG"]
-    return {"category": cats, "gender": ["men", "unisex", "women"],
-            "brand_category": [v.BRAND_PREFIX + c for c in cats],
-            "category_channel": [f"{c}_{ch}" for c in cats for ch in ("App", "Offline", "Web")]}
+_ONE_HOT = {"category": ("EAR", "RNG"), "gender": ("men",), "brand_category": [v.BRAND_PREFIX + c for c in ("EAR", "RNG")],
+            "category_channel": [f"{c}_{ch}" for c in ("EAR", "RNG") for ch in ("App", "Offline", "Web")]}
 
 
 @query("one_hot_static", v.sql(
-    "SELECT item_id, " + ", ".join(f"({c} = '{x}')::INTEGER::DOUBLE AS {c}_{x}" for c, xs in vocabulary().items() for x in xs)
+    "SELECT item_id, " + ", ".join(f"({c} = '{x}')::INTEGER::DOUBLE AS {c}_{x}" for c, xs in _ONE_HOT.items() for x in xs)
     + f" FROM (SELECT sku || '_' || channel AS item_id, min(category) AS category, min(gender) AS gender, '{v.BRAND_PREFIX}' || min(category) "
       "AS brand_category, min(category) || '_' || channel AS category_channel FROM family GROUP BY sku, channel)"))
 def one_hot_static(spark, sf):
-    items = sl.distinct_items(v.family(spark, sf))
-    return sl.one_hot(sl.static_attributes(items, v.BRAND_PREFIX), vocabulary())
+    """The vocabulary of a run without necklaces, saved and loaded; necklaces are 0 in every category column."""
+    items = sl.static_attributes(sl.distinct_items(v.family(spark, sf)), v.BRAND_PREFIX)
+    folder = new_path(spark, "vocabulary-run")
+    trained = artefacts.fit_vocabulary(items.where("NOT startswith(item_id, 'NCK')"), sl.STATIC)
+    artefacts.save(trained, folder, "run_1", "vocabulary")
+    return sl.one_hot(items, artefacts.vocabulary(artefacts.load(spark, folder, "run_1", "vocabulary")))
 
 
 # ---- scalar features ----------------------------------------------------------------------
@@ -440,12 +443,33 @@ _UP_ERRORS = ("SELECT item_id, avg(abs(y - yhat)) AS mae, CASE WHEN sum(abs(y))
               "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up)) WHERE age <= 183 AND yhat IS NOT NULL GROUP BY 1")
 
 
+_UP_MODELS = {
+    "up": _UP_DAILY, "up_errors": _UP_ERRORS, **BT,
+    "up_aged": "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ds DESC) AS age, max(ds) OVER (PARTITION BY item_id) AS last_ds FROM up",
+    "steps": "SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step",
+    "up_sma": "SELECT 'SMA' AS model, item_id, step, CAST(last_ds + step AS DATE) AS ds, mean FROM (SELECT item_id, last_ds, avg(y) AS mean "
+              "FROM up_aged WHERE age <= 7 GROUP BY 1, 2), steps",
+    "up_naive": "SELECT 'SeasonalNaive' AS model, a.item_id, step, CAST(last_ds + step AS DATE) AS ds, y AS mean FROM up_aged a JOIN steps "
+                "ON a.age = 7 - (step - 1) % 7",
+    # The naive model on the last 183 points: from the points before them, which end on their own last day.
+    "up_late": "SELECT l.item_id, l.ds, l.y, h.y AS yhat FROM up_aged l JOIN (SELECT item_id, max(ds) AS cut FROM up_aged WHERE age > 183 GROUP BY 1) c "
+               "USING (item_id) JOIN up_aged h ON h.item_id = l.item_id AND h.age - 183 = 7 - (date_diff('day', c.cut, l.ds) - 1) % 7 "
+               "WHERE l.age <= 183 AND date_diff('day', c.cut, l.ds) <= 183",
+    "up_naive_errors": "SELECT item_id, avg(abs(y - yhat)) AS mae, CASE WHEN sum(abs(y)) > 0 THEN sum(abs(y - yhat)) / sum(abs(y)) * 100 ELSE 0 END AS wape "
+                       "FROM up_late GROUP BY 1",
+    "winner": "SELECT model FROM mase_rows JOIN (SELECT model, item_id FROM errors) USING (model, item_id) GROUP BY 1 ORDER BY avg(mase) NULLS LAST, model LIMIT 1",
+    "up_all": "SELECT u.*, e.mae, e.wape FROM up_sma u LEFT JOIN up_errors e USING (item_id) UNION ALL "
+              "SELECT u.*, e.mae, e.wape FROM up_naive u LEFT JOIN up_naive_errors e USING (item_id)",
+}
+
+
 @query("upload_forecast", v.sql(
-    "SELECT model, item_id, step, CAST(last_ds + step AS DATE) AS ds, round(mean, 6) AS mean, CAST(round_even(greatest(mean, 0), 0) AS INTEGER) AS units, points, "
+    "SELECT model, item_id, step, ds, round(mean, 6) AS mean, CAST(round_even(greatest(mean, 0), 0) AS INTEGER) AS units, points, "
     "CASE WHEN points <= 183 THEN 'history of ' || points || ' points is not longer than the horizon of 183' END AS backtest_skipped, "
-    "round(mae, 6) AS mae, round(wape, 6) AS wape FROM "
-    "(SELECT 'SMA' AS model, item_id, avg(y) FILTER (age <= 7) AS mean, max(ds) AS last_ds, count(*) AS points FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY item_id ORDER BY ds DESC) AS age FROM up) GROUP BY 2) LEFT JOIN up_errors USING (item_id), "
-    "(SELECT CAST(unnest(generate_series(1, 183)) AS INTEGER) AS step)", up=_UP_DAILY, up_errors=_UP_ERRORS))
+    "round(mae, 6) AS mae, round(wape, 6) AS wape FROM up_all JOIN winner USING (model) "
+    "JOIN (SELECT item_id, count(*) AS points FROM up GROUP BY 1) USING (item_id)", sku_series="SELECT * FROM item_series", **_UP_MODELS))
 def upload_forecast(spark, sf):
-    return rounded(plan.upload_forecast(upload(spark, sf)), 6, "mean", "mae", "wape")
+    """An upload scored by the saved model that won the contest of the promoted run."""
+    folder = new_path(spark, "upload-run")
+    batch.batch_run(v.family(spark, sf), folder, "run_1")
+    return rounded(plan.upload_forecast(upload(spark, sf), model=batch.champion_model(spark, folder)), 6, "mean", "mae", "wape")

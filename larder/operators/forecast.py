@@ -67,9 +67,10 @@ def sma_in_sample(series: DataFrame, window: int = config.SMA_WINDOW) -> DataFra
 
 
 def seasonal_naive(series: DataFrame, days: int = config.PREDICTION_LENGTH,
-                   season: int = config.SEASON_LENGTH, end: Column | None = None) -> DataFrame:
+                   season: int = config.SEASON_LENGTH, own_end: bool = False,
+                   end: Column | None = None) -> DataFrame:
     """The last season, repeated."""
-    future = future_days(tails(series, season, end=end), "last_ds", days)
+    future = future_days(tails(series, season, own_end, end), "last_ds", days)
     value = F.get("tail", F.lit(season - 1) - F.pmod(F.col("step") - 1, F.lit(season)))
     return future.select(F.lit("SeasonalNaive").alias("model"), "item_id", "step", "ds",
                          value.alias("mean"))
@@ -130,9 +131,9 @@ def gbt_training_rows(series: DataFrame, horizon: int = config.PREDICTION_LENGTH
     return _gbt_rows(rows.where(F.col("_n") >= 0).drop("_n"), origins, ["item_id", "block"])
 
 
-def gbt_future_rows(series: DataFrame, future: DataFrame) -> DataFrame:
-    """Scoring rows: the last history day is the origin of the whole horizon."""
-    last = series.agg(F.max("ds")).scalar()
+def gbt_future_rows(series: DataFrame, future: DataFrame, own_end: bool = False) -> DataFrame:
+    """Scoring rows: the last history day, with ``own_end`` each item's own, is the origin of the whole horizon."""
+    last = F.max("ds").over(Window.partitionBy("item_id")) if own_end else series.agg(F.max("ds")).scalar()
     aged = series.withColumn("age", F.datediff(last, "ds") + 1).where(F.col("age") <= 182)
     return _gbt_rows(future, _origin_state(aged, ["item_id"]), ["item_id"])
 

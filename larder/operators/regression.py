@@ -173,10 +173,15 @@ def scored(rows: DataFrame, coefs: DataFrame, design: Design) -> DataFrame:
 def forecast(series: DataFrame, future: DataFrame, design: Design = HARMONIC) -> DataFrame:
     """(model, item_id, step, ds, mean) on the rows of ``future`` (item_id, ds, step and the regressors)."""
     last = series.agg(F.max("ds")).scalar()
+    return forecast_saved(fitted(series, design, last=last), last, future, design)
+
+
+def forecast_saved(coefs: DataFrame, last: Column, future: DataFrame, design: Design) -> DataFrame:
+    """The same from coefficients whose fit ended on the day ``last``."""
     ahead = future.select(
         F.col("item_id").cast("string").alias("item_id"), "step", "ds", F.lit(-1).alias("block"), day_number(last).alias("day"),
         *_regressors(future, design))
-    out = scored(ahead, fitted(series, design, last=last), design)
+    out = scored(ahead, coefs, design)
     return out.select(F.lit(design.name).alias("model"), "item_id", "step", "ds", "mean")
 
 

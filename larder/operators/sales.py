@@ -189,6 +189,9 @@ def one_hot(items: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
         for c, values in vocab.items() for v in values])
 
 
+STATIC = ("category", "gender", "brand_category", "category_channel")
+
+
 def static_attributes(items: DataFrame, brand_prefix: str) -> DataFrame:
     """Missing attributes defaulted, plus the two combined ones."""
     category = F.coalesce("category", F.lit("unknown"))

@@ -11,6 +11,7 @@ from larder.operators import grid, inventory, regression, segment
 from larder.operators import sales as sl
 from larder.session import stage
 from larder.sources import sinks
+from larder.sources.artefacts import SavedModel
 
 
 def item_series(sales: DataFrame) -> DataFrame:
@@ -33,6 +34,11 @@ def sku_series(sales: DataFrame) -> DataFrame:
     return _dense(daily, sales)
 
 
+def dense_units(lines: DataFrame, span_of: DataFrame) -> DataFrame:
+    """Daily units per item of (item_id, ds, y) rows on every day that ``span_of`` covers, empty days 0."""
+    return _dense(lines.groupBy("item_id", "ds").agg(F.sum("y").alias("y")), span_of)
+
+
 def _dense(daily: DataFrame, sales: DataFrame) -> DataFrame:
     return grid.dense_panel(daily, span=grid.day_span(sales), fills={"y": "zero"})
 
@@ -90,6 +96,14 @@ def champion_forecast(series: DataFrame, future: DataFrame | None = None,
     return champion_rows(stage(models, "models"), errors)
 
 
+def blended_backtest(scored: DataFrame, errors: DataFrame) -> DataFrame:
+    """The backtest rows of all models and of their error-weighted blend, as model ``Ensemble``."""
+    weights = fc.ensemble_weights(errors).select("item_id", "model", "weight")
+    blend = scored.join(weights, ["item_id", "model"]).groupBy("item_id", "window", "step", "ds", "y").agg(
+        F.sum(F.col("weight") * F.col("yhat")).alias("yhat"))
+    return scored.unionByName(blend.withColumn("model", F.lit("Ensemble")).select(*scored.columns))
+
+
 def champion_rows(models: DataFrame, errors: DataFrame) -> DataFrame:
     """The forecast of each item's champion among ``models``, or their error-weighted blend."""
     pick = ev.champions(errors).select("item_id", "champion")
@@ -156,20 +170,37 @@ def routed_forecast(sales: DataFrame) -> DataFrame:
             .unionByName(alone.select(*cols)))
 
 
-def upload_forecast(panel: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
+def upload_forecast(panel: DataFrame, horizon: int = config.PREDICTION_LENGTH, model: SavedModel | None = None) -> DataFrame:
     """Score an enriched upload: whole-unit forecast, and errors of a backtest or why there is none.
 
-    A series longer than the horizon is also forecast from the days before its last ``horizon`` days and
-    scored on them. The moving average needs one aggregate per item, so long and short series share a plan.
+    ``model`` is the champion's saved model; nothing is fitted. Items that it cannot score, and all items without it, are
+    forecast by the moving average. A series longer than the horizon is also forecast from the days before
+    its last ``horizon`` points and scored on them. One aggregate per item does for the moving average, so
+    long and short series share a plan.
     """
     series = panel.select("item_id", "ds", F.col("target").alias("y"))
     points = series.groupBy("item_id").agg(F.count(F.lit(1)).alias("points"))
     reason = F.when(F.col("points") <= horizon, F.concat(
         F.lit("history of "), F.col("points").cast("string"),
         F.lit(f" points is not longer than the horizon of {horizon}")))
-    out = fc.sma(series, horizon, own_end=True).withColumn("units", cl.units("mean"))
-    return (out.join(points, "item_id").withColumn("backtest_skipped", reason)
-            .join(upload_errors(series, horizon), "item_id", "left"))
+    out, errors = fc.sma(series, horizon, own_end=True), upload_errors(series, horizon)
+    if model is not None and model.name != "SMA":
+        days = panel.select("ds", *[c for c in fc.KNOWN_DAYS if c in panel.columns])
+        scored = stage(model.score(series, horizon, days), "upload-scored")
+        known = scored.select("item_id").distinct()
+        out = scored.unionByName(out.join(known, "item_id", "left_anti"))
+        errors = model_upload_errors(series, model, horizon, days).unionByName(errors.join(known, "item_id", "left_anti"))
+    return (out.withColumn("units", cl.units("mean")).join(points, "item_id").withColumn("backtest_skipped", reason)
+            .join(errors, "item_id", "left"))
+
+
+def model_upload_errors(series: DataFrame, model: SavedModel, horizon: int, days: DataFrame | None = None) -> DataFrame:
+    """MAE and WAPE of a saved model on the last ``horizon`` points of each longer series, scored from the points before."""
+    newest_first = Window.partitionBy("item_id").orderBy(F.desc("ds"))
+    aged = stage(series.withColumn("age", F.row_number().over(newest_first)), "upload-aged")
+    ahead = model.score(aged.where(F.col("age") > horizon).drop("age"), horizon, days)
+    late = aged.where(F.col("age") <= horizon).join(ahead.select("item_id", "ds", F.col("mean").alias("yhat")), ["item_id", "ds"])
+    return ev.metrics(late, ("item_id",)).select("item_id", "mae", "wape")
 
 
 def upload_errors(series: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> DataFrame:
