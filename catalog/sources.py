@@ -11,7 +11,7 @@ from larder.operators import monitor, profile
 from larder.plans import forecasting as plan
 from larder.session import new_path
 from larder.sources import orders as od
-from larder.sources import sinks, tables
+from larder.sources import sinks, snapshots, tables
 
 
 @query("src_scan", v.sql("SELECT * EXCLUDE (l_shipdate), CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem"))
@@ -127,11 +127,12 @@ def sink_upsert(spark, sf):
         return s.where(cond).groupBy(F.col("sku").alias("sku_id")).agg(
             F.sum("qty").alias("units")).withColumn("origin", F.lit(origin))
 
-    old = totals(F.col("status") == "F", "old")
-    new = totals(F.col("status") == "O", "new")
     path = new_path(spark, "upsert")
-    sinks.overwrite(sinks.upserted(old, new, ["sku_id"]), path)
-    return spark.read.parquet(path)
+    old = totals(F.col("status") == "F", "old")
+    snapshots.create(spark, path, old.schema, ["sku_id"], 16)
+    snapshots.upsert(path, old)
+    snapshots.upsert(path, totals(F.col("status") == "O", "new"))
+    return snapshots.read(spark, path)
 
 
 @query("sink_compressed_export", v.sql(

@@ -16,7 +16,8 @@ from larder.operators import sales as sl
 from larder.plans import batch, prepare
 from larder.plans import forecasting as plan
 from larder.session import new_path
-from larder.sources import artefacts, tables
+from larder.sources import artefacts, snapshots, tables
+from larder.streaming import ingest
 
 _W = "(PARTITION BY item_id ORDER BY ds)"
 
@@ -210,6 +211,25 @@ def union_new_sales(spark, sf):
     return out.select("sku", "channel", "ds", "qty")
 
 
+_INGESTED = ["sku", "channel", "ds", "qty", "upload", "order_key", "line_no", "supp_key", "list_price"]
+
+
+@query("stream_ingest", v.sql(
+    "SELECT sku, channel, ds, qty FROM (SELECT *, row_number() OVER (PARTITION BY sku, channel, ds ORDER BY status = 'O' DESC, order_key DESC, "
+    "line_no DESC, supp_key DESC, list_price DESC) AS rn FROM (SELECT * REPLACE (qty + (status = 'O')::INTEGER AS qty) FROM sales)) WHERE rn = 1"))
+def stream_ingest(spark, sf):
+    """The same union, with the uploads arriving as a stream of files that ends up in the history's table."""
+    s = v.sales(spark, sf).withColumn("upload", F.col("status") == "O")
+    lines = s.withColumn("qty", F.col("qty") + F.col("upload").cast("int")).select(*_INGESTED)
+    folder, uploads, checkpoint = (new_path(spark, n) for n in ("ingest-table", "ingest-uploads", "ingest-stream"))
+    recency = ["upload", "order_key", "line_no", "supp_key", "list_price"]
+    snapshots.create(spark, folder, lines.schema, ["sku", "channel", "ds"], 16)
+    snapshots.upsert(folder, ordered.newest(lines.where("NOT upload"), ["sku", "channel", "ds"], [F.col(c) for c in recency]))
+    lines.where("upload").repartition(3).write.parquet(uploads)
+    ingest.ingest(spark, uploads, lines.schema, folder, checkpoint, recency, files_per_batch=1)
+    return snapshots.read(spark, folder).select("sku", "channel", "ds", "qty")
+
+
 @query("union_predictions", v.sql("SELECT * FROM sma UNION ALL SELECT * FROM naive"))
 def union_predictions(spark, sf):
     lines = plan.item_lines(v.family(spark, sf))

@@ -50,3 +50,20 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
     finally:
         stream.close()
     return True
+
+
+def rename_new(spark: SparkSession, path: str, target: str) -> bool:
+    """Rename in one step; False, with ``path`` deleted, if there is a ``target`` already."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    old, new = fs.Path(path), fs.Path(target)
+    system, _ = _system(spark, path)
+    context = fs.FileContext.getFileContext(system.makeQualified(old).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(system.makeQualified(old), system.makeQualified(new), gateway.new_array(fs.Options.Rename, 0))
+    except Exception as taken:
+        if "FileAlreadyExists" in str(taken) or "already exists" in str(taken):
+            delete(spark, path)
+            return False
+        raise
+    return True
