@@ -10,10 +10,10 @@ there is a cut; between cuts lies a group. Tokens that share a byte are linked.
   result of the whole text.
 * Short texts, up to ``RANGE`` bytes, are one range. Longer ones are cut into ranges of that size wherever they
   fall; a range is encoded with the words that it cuts, from the nearest places that no token of either
-  tokenizer can span (a space between two Latin characters that print), and keeps the tokens that end in it.
+  tokenizer can span (a space or line end between two Latin characters that print), and keeps the tokens that end in it.
   Ranges of a text are dealt to all tasks and their fragments are composed ``FAN`` at a time by position, level by level.
-* Words. Between such places both tokenizers cut, so a word is a closed fragment of its own; it is encoded
-  once per worker and then looked up.
+* Words. At such places both tokenizers cut, so a word is a closed fragment of its own; it is encoded
+  once per worker and then looked up. Letters and the marks behind them are put together from two such fragments.
 * Counts. Links of equal id pairs are summed over all documents. Pairs that are frequent, ``FREQUENT`` at most,
   go to the tasks as a table; the links of all other pairs are counted by a join. The highest count of each B
   id is at most one number per vocabulary entry.
@@ -26,6 +26,7 @@ table gives an empty result; other columns are not read.
 import pickle
 import re
 from functools import lru_cache
+from itertools import accumulate, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -36,18 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.base import batched, query, rows, table
-from larder.llm.tokens import BYTE_CHARS
+from larder.llm.tokens import BYTE_CHARS, SPACE
 from larder.session import stage
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16
 FAN = 16
 FREQUENT = 1 << 20
-CACHE_WORDS, CACHED_BYTES = 200_000, 256
+CACHE_WORDS = 300_000
+GROUP_DOCS = 256
 
 NONE = np.empty(0, np.int64)
-# A place that no token spans: before a space between two characters that print, in ASCII or U+00C0 to U+00FF.
-PLACE = re.compile(rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf])) (?=[!-~]|\xc3[\x80-\xbf])")
+# Characters whose neighbourhood is known: printing ASCII and U+00C0 to U+00FF.
+# A place that no token spans: before a single space or line end between two of them.
+_BEFORE, _AFTER = rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf]))", rb"(?=[!-~]|\xc3[\x80-\xbf])"
+PLACE = re.compile(_BEFORE + rb"(?=[ \n](?:[!-~]|\xc3[\x80-\xbf]))")
+# All bytes of such characters, with space and line end.
+KNOWN = bytes(range(0x20, 0x7F)) + b"\n\xc3" + bytes(range(0x80, 0xC0))
+GAPS = b"  ", b" \n", b"\n ", b"\n\n"
+# Letters and then marks: both tokenizers cut between the two (a test reads B's pieces for it).
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+STEM = re.compile(rb"(\n?" + _LETTER + rb"+)([!-/:-@\[-`{-~]+)")
+LETTERS = re.compile(rb" " + _LETTER + rb"+")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -101,19 +112,29 @@ EDGE = Fragment(True, NO_TOKENS, NO_GROUPS, NO_TOKENS, True)  # the start of a t
 UNSPELT = EDGE._replace(spelt=False)  # stays so in any company
 
 
+def linked(a: list[int], a_end: list[int], b: list[int], b_end: list[int]) -> tuple[bytes, int, list[int]]:
+    """The written groups, their number and the linked pairs of tokens that begin and end at cuts.
+
+    Both kinds are walked together; every stretch between two ends, of whichever kind, links the two tokens over it.
+    """
+    groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
+    while i < len(a):
+        links.append(a[i] << 32 | b[j])
+        step = a_end[i] - b_end[j]
+        if step <= 0:
+            i += 1
+        if step >= 0:
+            j += 1
+        if not step:
+            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+            first_a, first_b = i, j
+    return ";".join(groups).encode(), len(groups), links
+
+
 def closed(tokens: Tokens) -> Closed:
     """The groups of tokens that begin and end at cuts."""
-    if not len(tokens.a):
-        return NO_GROUPS
-    ends = np.union1d(tokens.a_end, tokens.b_end)
-    links = tokens.a[np.searchsorted(tokens.a_end, ends)] << 32 | tokens.b[np.searchsorted(tokens.b_end, ends)]
-    cuts = np.intersect1d(tokens.a_end, tokens.b_end)
-    a, b = tokens.a.tolist(), tokens.b.tolist()
-    written, i, j = [], 0, 0
-    for k, m in zip((np.searchsorted(tokens.a_end, cuts) + 1).tolist(), (np.searchsorted(tokens.b_end, cuts) + 1).tolist()):
-        written.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-        i, j = k, m
-    return Closed(";".join(written).encode(), len(cuts), len(a), len(b), links)
+    text, groups, links = linked(*(c.tolist() for c in tokens))
+    return Closed(text, groups, len(tokens.a), len(tokens.b), np.array(links, np.int64))
 
 
 def fragment(tokens: Tokens) -> Fragment:
@@ -139,7 +160,7 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
 
 
 class Speller:
-    """Both tokenizers, with the bytes of every token, and the words that were aligned."""
+    """Both tokenizers, with the bytes of every token."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -149,48 +170,123 @@ class Speller:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: b for b, c in BYTE_CHARS.items()}
         self.a_bytes = {i: bytes(byte_of[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in byte_of for c in token)}
+                        if all(c in byte_of for c in token)}  # added tokens are plain text here and have no id
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode()
                         for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
-        self.words: dict[bytes, tuple] = {}
+        self.words = Words(self)
+
+    def a_ids(self, text: bytes) -> list[int]:
+        if LETTERS.fullmatch(text):  # one word of the first split: a single merge
+            return [t.id for t in self.a.model.tokenize(SPACE + text[1:].decode("latin-1").translate(BYTE_CHARS))]
+        return self.a.encode(text.decode(), add_special_tokens=False).ids
+
+    def b_ids(self, texts: list[bytes]) -> list[list[int]]:
+        """B puts a space before what it encodes; behind a line end, which it spells by its byte, the lone space is cut off.
+
+        A text that starts with neither is encoded behind a line end, so that no space comes before it.
+        """
+        found = self.b.encode([t[1:].decode() if t[:1] == b" " else "\n" + t.lstrip(b"\n").decode() for t in texts], num_threads=1)
+        return [ids if t[:1] == b" " else ids[1 if t[:1] == b"\n" else 2:] for t, ids in zip(texts, found)]
+
+    def spelt(self, text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int], bool]:
+        """Where the tokens of both kinds end, and whether they spell ``text``."""
+        parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        ok = b"".join(parts[0]) == text == b"".join(parts[1])
+        return *(list(accumulate(map(len, p))) for p in parts), ok
 
     def tokens(self, text: bytes) -> tuple[Tokens, bool]:
         """The tokens of ``text``, which starts with a space, and whether both kinds spell it."""
-        out, spelt = [], True
-        for ids, spelling in ((self.a.encode(text.decode(), add_special_tokens=False).ids, self.a_bytes),
-                              (self.b.encode(text[1:].decode()), self.b_bytes)):
-            parts = [spelling[i] for i in ids]
-            spelt &= b"".join(parts) == text
-            out += [np.array(ids, np.int64), np.cumsum([len(p) for p in parts], dtype=np.int64)]
-        return Tokens(*out), bool(spelt)
-
-    def word(self, text: bytes) -> tuple:
-        """(spelt, its groups, their counts, its links) of a text between two places; looked up after the first time."""
-        held = self.words.get(text)
-        if held is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            tokens, spelt = self.tokens(text)
-            whole = closed(tokens) if spelt else NO_GROUPS
-            held = spelt, whole.text, (whole.groups, whole.n_a, whole.n_b, len(whole.links)), whole.links
-            if len(text) <= CACHED_BYTES:
-                self.words[text] = held
-        return held
-
-    def aligned(self, text: bytes) -> Fragment:
-        """The fragment of a whole text that starts with a space: closed fragments of its words, composed."""
-        found = [self.word(w) for w in split_words(text)]
-        if not all(f[0] for f in found):
-            return UNSPELT
-        groups, n_a, n_b, _ = map(sum, zip(*(f[2] for f in found)))
-        return EDGE._replace(closed=Closed(b";".join([f[1] for f in found]), groups, n_a, n_b,
-                                           np.concatenate([f[3] for f in found])))
+        a, b = self.a.encode(text.decode(), add_special_tokens=False).ids, self.b.encode(text[1:].decode())
+        a_end, b_end, ok = self.spelt(text, a, b)
+        return Tokens(*(np.array(c, np.int64) for c in (a, a_end, b, b_end))), ok
+
+    def aligned(self, texts: list[bytes]) -> list[Fragment]:
+        """The fragments of whole texts that start with a space: the closed fragments of their words, composed."""
+        return self.words.composed([split_words(t) for t in texts])
+
+
+class Words:
+    """Closed fragments of words, by a number per word. Cleared when ``CACHE_WORDS`` are held."""
+
+    def __init__(self, tools: Speller):
+        self.tools = tools
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.text: list[bytes] = []
+        self.counts = np.zeros((0, 4), np.int64)  # groups, tokens of both kinds, links; groups are -1 where not spelt
+        self.start = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int64)
+
+    def extend(self, words: list[bytes], texts: list[bytes], counts: np.ndarray, links: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.text), len(self.text) + len(words))))
+        self.text += texts
+        ends = len(self.links) + np.cumsum(counts[:, 3])
+        self.start = np.concatenate([self.start, ends - counts[:, 3]])
+        self.counts = np.concatenate([self.counts, counts])
+        self.links = np.concatenate([self.links, links])
+
+    def links_of(self, at: np.ndarray) -> np.ndarray:
+        """The links of the words with these numbers, one word after the other."""
+        width = self.counts[at, 3]
+        return self.links[np.repeat(self.start[at] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())]
+
+    def encode(self, words: list[bytes]) -> None:
+        texts, counts, links = [], [], []
+        for word, b in zip(words, self.tools.b_ids(words)):
+            a = self.tools.a_ids(word)
+            a_end, b_end, ok = self.tools.spelt(word, a, b)
+            text, groups, found = linked(a, a_end, b, b_end) if ok else (b"", -1, [])
+            texts.append(text)
+            counts.append((groups, len(a), len(b), len(found)))
+            links += found
+        if words:
+            self.extend(words, texts, np.array(counts, np.int64), np.array(links, np.int64))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Number the words that are new; letters with marks behind them are put together from both."""
+        whole, cut, parts = set(), [], []
+        for word in words.difference(self.number):
+            bare = word[1:] if word[:1] == b" " else word
+            if m := STEM.fullmatch(bare):
+                stem = word[:len(word) - len(m[2])]
+                cut.append(word)
+                parts += stem, m[2]
+            else:
+                whole.add(word)
+        self.encode(list(whole.union(parts).difference(self.number)))
+        if cut:
+            at = np.array([self.number[p] for p in parts], np.int64)
+            counts = self.counts[at[::2]] + self.counts[at[1::2]]
+            counts[(self.counts[at, 0].reshape(-1, 2) < 0).any(axis=1), 0] = -1
+            texts = [b";".join((self.text[i], self.text[j])) for i, j in zip(at[::2].tolist(), at[1::2].tolist())]
+            self.extend(cut, texts, counts, self.links_of(at))
+
+    def composed(self, texts: list[list[bytes]]) -> list[Fragment]:
+        """The fragment of each list of words."""
+        if len(self.number) >= CACHE_WORDS:
+            self.clear()
+        self.learn(set().union(*texts) if texts else set())
+        out = []
+        for words in texts:
+            at = [self.number[w] for w in words]
+            places = np.array(at, np.int64)
+            counts = self.counts[places]
+            if (counts[:, 0] < 0).any():
+                out.append(UNSPELT)
+                continue
+            groups, n_a, n_b, _ = counts.sum(axis=0).tolist()
+            text = b";".join([self.text[i] for i in at])
+            out.append(EDGE._replace(closed=Closed(text, groups, n_a, n_b, self.links_of(places))))
+        return out
 
 
 def split_words(text: bytes) -> list[bytes]:
-    """``text`` cut at its places."""
-    parts = PLACE.split(text)
-    return [parts[0], *(b" " + p for p in parts[1:])]
+    """``text``, which starts with a space, cut at its places."""
+    if text.translate(None, KNOWN) or text[-1:].isspace() or any(gap in text for gap in GAPS):
+        return PLACE.split(text)
+    return [w if w[:1] == b"\n" else b" " + w for w in text[1:].replace(b"\n", b" \n").split(b" ")]
 
 
 @lru_cache(maxsize=1)
@@ -204,7 +300,8 @@ def ranges(text: bytes, size: int) -> list[tuple]:
     ``base`` is where the bytes begin. Of the borders that lie between the same two places only the first is
     one, so no byte is in more than three ranges.
     """
-    places = np.array([0, *(m.start() for m in PLACE.finditer(text)), len(text)], np.int64)
+    spaces = (m.start() for m in PLACE.finditer(text) if text[m.start()] == 0x20)
+    places = np.array([0, *spaces, len(text)], np.int64)
     borders = np.arange(size, len(text), size)
     borders = borders[np.unique(np.searchsorted(places, borders), return_index=True)[1]].tolist()
     out = []
@@ -248,15 +345,20 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
 
         def found():
             nonlocal n_long
-            for doc_id, text in rows(batches, "doc_id", "text"):
-                raw = b" " + text.encode() if text else b""
-                if len(raw) <= size:
-                    yield finished(doc_id, tools.aligned(raw) if raw else EDGE)
-                    continue
-                key, dealt = part << 32 | n_long, ranges(raw, size)
-                n_long += 1
-                for number, cut in enumerate(dealt):
-                    yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
+            docs = rows(batches, "doc_id", "text")
+            while group := list(islice(docs, GROUP_DOCS)):
+                short = [(doc_id, b" " + text.encode()) for doc_id, text in group if text and len(text) < size]
+                long = [d for d in short if len(d[1]) > size]
+                long += [(doc_id, b" " + text.encode()) for doc_id, text in group if text and len(text) >= size]
+                short = [d for d in short if len(d[1]) <= size]
+                for (doc_id, _), whole in zip(short, tools.aligned([raw for _, raw in short])):
+                    yield finished(doc_id, whole)
+                yield from (finished(doc_id, EDGE) for doc_id, text in group if not text)
+                for doc_id, raw in long:
+                    key, dealt = part << 32 | n_long, ranges(raw, size)
+                    n_long += 1
+                    for number, cut in enumerate(dealt):
+                        yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
         return batched(found(), FINAL)
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows")

@@ -1,6 +1,7 @@
 """Alignment against links drawn from byte ranges, the laws of the fragments, and every way to cut a text."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -143,7 +144,7 @@ def test_words_and_ranges_have_the_tokens_of_the_whole(text):
     tools, raw = op.speller(*PATHS), b" " + text.encode()
     tokens, spelt = tools.tokens(raw)
     want = plain(op.EDGE._replace(closed=op.closed(tokens)) if spelt else op.UNSPELT)
-    assert plain(tools.aligned(raw)) == want
+    assert plain(tools.aligned([raw])[0]) == want
     whole = op.EDGE
     for first, end, base, cut in op.ranges(raw, 9):
         part, ok = tools.tokens(cut)
@@ -161,4 +162,21 @@ def test_no_byte_is_in_many_ranges():
 
 def test_no_piece_has_a_space_behind_another_character():
     tool = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    assert not [p for p in map(tool.id_to_piece, range(tool.get_piece_size())) if "▁" in p.lstrip("▁")]
+    pieces = [tool.id_to_piece(i) for i in range(tool.get_piece_size()) if not tool.is_byte(i) and not tool.is_control(i) and not tool.is_unknown(i)]
+    assert not [p for p in pieces if "▁" in p.lstrip("▁")]
+    assert not [p for p in pieces if "\n" in p or re.search(r"[A-Za-zÀ-ÿ][!-/:-@\[-`{-~]", p)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["don", "'t", "'", "\"'tis", ".", "...", " ", "\n", "  ", "É", "×", "÷.", "word", "A1", "1.", "%%%", "à"]), max_size=14))
+def test_pieces_of_words_have_the_tokens_of_the_whole(parts):
+    test_words_and_ranges_have_the_tokens_of_the_whole.hypothesis.inner_test("".join(parts))
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(op, "CACHE_WORDS", 3)
+    tools = op.Speller(*PATHS)
+    texts = [b" one two, three", b" four five. six\nseven", b" one two. \n"]
+    want = [plain(op.EDGE._replace(closed=op.closed(tools.tokens(t)[0]))) for t in texts]
+    for _ in range(2):
+        assert [plain(tools.aligned([t])[0]) for t in texts] == want
