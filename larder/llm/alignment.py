@@ -26,7 +26,7 @@ table gives an empty result; other columns are not read.
 import pickle
 import re
 from functools import lru_cache
-from itertools import accumulate, islice
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -44,8 +44,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16
 FAN = 16
 FREQUENT = 1 << 20
-CACHE_WORDS = 300_000
-GROUP_DOCS = 256
+CACHE_WORDS = 150_000
+GROUP_DOCS = 128
+BATCH_BYTES = 4 << 20
 
 NONE = np.empty(0, np.int64)
 # Characters whose neighbourhood is known: printing ASCII and U+00C0 to U+00FF.
@@ -325,7 +326,7 @@ def finished(doc_id, whole: Fragment) -> tuple:
     """A document's row: its groups, counts and distinct linked pairs with how often each is linked."""
     found = whole.closed if whole.spelt else NO_GROUPS
     pairs, times = np.unique(found.links, return_counts=True)
-    return (doc_id, found.text, found.n_a, found.n_b, found.groups, pairs.tobytes(), times.astype(np.int64).tobytes(),
+    return (doc_id, found.text, found.n_a, found.n_b, found.groups, pairs.tobytes(), times.astype(np.int32).tobytes(),
             *(None,) * 7)
 
 
@@ -338,6 +339,13 @@ def unpacked(raw: bytes) -> Fragment:
     return Fragment(cut, Tokens(*prefix), Closed(*groups), Tokens(*suffix), spelt)
 
 
+def groups(batches, size: int):
+    """(doc_id, text) of ``size`` rows at a time; only these become Python values."""
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(at, size).columns)))
+
+
 def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFrame:
     """Finished rows of short texts, and the ranges of long ones (``key`` is not null), staged."""
     def run(batches):
@@ -345,8 +353,7 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
 
         def found():
             nonlocal n_long
-            docs = rows(batches, "doc_id", "text")
-            while group := list(islice(docs, GROUP_DOCS)):
+            for group in groups(batches, GROUP_DOCS):
                 short = [(doc_id, b" " + text.encode()) for doc_id, text in group if text and len(text) < size]
                 long = [d for d in short if len(d[1]) > size]
                 long += [(doc_id, b" " + text.encode()) for doc_id, text in group if text and len(text) >= size]
@@ -359,7 +366,7 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
                     n_long += 1
                     for number, cut in enumerate(dealt):
                         yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
-        return batched(found(), FINAL)
+        return batched(found(), FINAL, limit=BATCH_BYTES)
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows")
 
@@ -432,7 +439,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
         size = 0
         for pairs, times in rows(batches, "pairs", "times"):
-            held.append((np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int64)))
+            held.append((np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int32)))
             size += len(held[-1][0])
             if size >= 1 << 21:
                 held = [flushed()]
@@ -477,7 +484,7 @@ def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
         for batch in batches:
             out = []
             for pairs, times in rows([batch], "pairs", "times"):
-                pairs, times = np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int64)
+                pairs, times = np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int32).astype(np.int64)
                 at = np.minimum(np.searchsorted(table_, pairs), max(len(table_) - 1, 0))
                 held = table_[at] == pairs if len(table_) else np.zeros(len(pairs), bool)
                 at, own = at[held], times[held]
