@@ -7,9 +7,9 @@ from catalog.base import query, r, rounded
 from catalog.forecasting import BT
 from catalog.joins import _FLAGGED, promo_panel
 from larder.operators import evaluate as ev
-from larder.operators import grid, monitor, promo, seasonal
+from larder.operators import grid, monitor, promo, regression, seasonal
 from larder.plans import forecasting as plan
-from larder.session import new_path
+from larder.session import new_path, stage
 from larder.sources import sinks
 
 
@@ -206,6 +206,28 @@ def promo_lift_model(spark, sf):
     return rounded(out.drop("percentage_lift"), 4, "total_forecast_no_promo", "total_lift_units")
 
 
+# Out of fold: two slopes in closed form from the days of all other folds.
+_FOLDS = {
+    "flagged": _FLAGGED,
+    "folded": "SELECT item_id, ds, coalesce(y, 0) AS y, promo::INTEGER AS f, date_diff('day', max(ds) OVER (), ds) AS t FROM flagged",
+    "dealt": "SELECT *, (-t // 7) % 5 AS fold FROM folded",
+    "fits": "SELECT item_id, k AS fold, avg(y) AS my, avg(t) AS mt, avg(f) AS mf, covar_pop(y, f) AS yf, covar_pop(y, t) AS yt, covar_pop(t, f) AS tf, "
+            "var_pop(t) AS tt, var_pop(f) AS ff FROM dealt, (SELECT unnest(generate_series(0, 4)) AS k) WHERE fold <> k GROUP BY 1, 2",
+    "slopes": "SELECT *, (yf * tt - yt * tf) / (tt * ff - tf * tf) AS bf, (yt * ff - yf * tf) / (tt * ff - tf * tf) AS bt FROM fits",
+    "no_promo": "SELECT d.*, greatest(my - bt * mt - bf * mf + bt * t, 0) AS plain FROM dealt d JOIN slopes USING (item_id, fold)",
+}
+
+
+@query("promo_lift_cross_fitted", v.sql(
+    "SELECT item_id, sum(y) AS total_actual_sales, " + r(3, total_forecast_no_promo="sum(plain)", total_lift_units="sum(y - plain)")
+    + " FROM no_promo WHERE f = 1 AND ds >= (SELECT max(ds) FROM dealt) - 183 GROUP BY 1", **_FOLDS))
+def promo_lift_cross_fitted(spark, sf):
+    """Lift against a baseline that never saw the day it judges, here of trend and promotion alone."""
+    design = regression.Design(waves=(), ridge=0.0, regressors=("is_on_promotion",))
+    out = promo.lift_cross_fitted(stage(promo_panel(spark, sf), "promo-panel"), design=design)
+    return rounded(out.drop("percentage_lift"), 3, "total_forecast_no_promo", "total_lift_units")
+
+
 # ---- runs and reports ---------------------------------------------------------------------
 
 _CHAMPION = """SELECT r.*, c.run_id AS champion, c.mase AS cm, c.rmse AS cr FROM model_runs r
@@ -280,5 +302,5 @@ def record_feedback(spark, sf):
     + ", ".join(f"round(sum(total_forecasted_demand) FILTER (horizon = '{m}-Month'), 4) AS forecast_{m}m" for m in (1, 3, 6))
     + ", count(DISTINCT item_id) AS total_skus, count(*) AS total_records FROM recommendations) f"))
 def executive_summary(spark, sf):
-    s = v.family(spark, sf)
-    return rounded(monitor.executive_summary(s, plan.recommend(s)), 4, "forecast_1m", "forecast_3m", "forecast_6m")
+    daily = plan.daily_units(v.family(spark, sf))
+    return rounded(monitor.executive_summary(daily, plan.recommend(daily)), 4, "forecast_1m", "forecast_3m", "forecast_6m")

@@ -1,5 +1,7 @@
 """Forecast models, backtests, combination, routing and model-based reports."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog import views as v
@@ -324,24 +326,57 @@ def forecast_routing(spark, sf):
 
 _CAT = ("SELECT c.category, c.item_id, c.units / sum(c.units) OVER (PARTITION BY c.category) AS share FROM "
         "(SELECT nullif(regexp_extract(sku, '^([A-Z]+)', 1), '') AS category, sku AS item_id, sum(qty) AS units FROM {t} GROUP BY 1, 2) c WHERE category IS NOT NULL")
-_CAT_LEVEL = ("SELECT category, sum(y) FILTER (ds > (SELECT max(ds) FROM {t}) - 7) / 7.0::DOUBLE AS level FROM "
-              "(SELECT nullif(regexp_extract(sku, '^([A-Z]+)', 1), '') AS category, ds, qty AS y FROM {t} WHERE sku IN "
-              "(SELECT sku FROM {t} GROUP BY 1 HAVING count(*) >= 30)) GROUP BY 1")
+def _contest(series, prefix):
+    """The twins of the contest on another series (item_id, ds, y), under names of their own, and its winners' days."""
+    names = [*BT, "sku_series"]
+    word = re.compile(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b")
+    renamed = {prefix + k: word.sub(lambda m: prefix + m[0], body) for k, body in {**BT, "sku_series": series}.items()}
+    p = prefix
+    return {**renamed,
+            f"{p}chosen": f"SELECT item_id, CASE WHEN count(*) > 1 AND max(wape) < 50 THEN 'Ensemble' ELSE min_by(model, (wape, model)) END AS champion "
+                          f"FROM {p}errors GROUP BY 1",
+            f"{p}blended": f"SELECT item_id, model, step, mean FROM {p}sku_models UNION ALL SELECT item_id, 'Ensemble', step, sum(weight * mean) "
+                           f"FROM {p}sku_models JOIN {p}bt_weights USING (item_id, model) GROUP BY item_id, step",
+            f"{p}won": f"SELECT item_id, step, mean FROM {p}blended JOIN {p}chosen USING (item_id) WHERE model = champion"}
+
+
+_CAT_SERIES = ("SELECT i.item_id, c.ds, coalesce(d.y, 0) AS y FROM (SELECT DISTINCT category AS item_id FROM cat_daily) i CROSS JOIN "
+               "(SELECT CAST(unnest(generate_series((SELECT min(ds) FROM {t}), (SELECT max(ds) FROM {t}), INTERVAL 1 DAY)) AS DATE) AS ds) c "
+               "LEFT JOIN cat_daily d ON d.category = i.item_id AND d.ds = c.ds")
+
+
+def _categories(t):
+    """The twins of the category contest over the lines ``t``."""
+    return {"cat": _CAT.format(t=t),
+            "cat_daily": "SELECT nullif(regexp_extract(sku, '^([A-Z]+)', 1), '') AS category, ds, sum(qty) AS y FROM " + t + " WHERE sku IN "
+                         "(SELECT sku FROM " + t + " GROUP BY 1 HAVING count(*) >= 30) GROUP BY 1, 2 HAVING category IS NOT NULL",
+            **_contest(_CAT_SERIES.format(t=t), "cat_"),
+            "cat_total": "SELECT item_id AS category, avg(mean) AS daily, sum(mean) AS total FROM cat_won GROUP BY 1"}
 
 
 @query("forecast_category", v.sql(
-    "SELECT sku, category, " + r(5, daily_mean="share * coalesce(level, 0)", total="183 * share * coalesce(level, 0)")
-    + " FROM (SELECT category, item_id AS sku, share FROM cat) JOIN cat_level USING (category)",
-    cat=_CAT.format(t="sales"), cat_level=_CAT_LEVEL.format(t="sales")))
+    "SELECT item_id AS sku, category, " + r(4, daily_mean="share * daily", total="share * total") + " FROM cat JOIN cat_total USING (category)",
+    **_categories("sales")))
 def forecast_category(spark, sf):
-    """Category moving average, shared out to SKUs by their past units."""
+    """The champion of each category, shared out to SKUs by their past units."""
     out = plan.category_forecast(v.sales(spark, sf).select("sku", "ds", "qty"))
     totals = out.groupBy("sku", "category").agg(F.avg("mean").alias("daily_mean"), F.sum("mean").alias("total"))
-    return rounded(totals, 5, "daily_mean", "total")
+    return rounded(totals, 4, "daily_mean", "total")
+
+
+@query("category_reconciled", v.sql("SELECT category, step, " + r(4, forecast="mean", of_skus="mean")
+                                    + " FROM (SELECT item_id AS category, step, mean FROM cat_won)", **_categories("sales")))
+def category_reconciled(spark, sf):
+    """Each category's forecast next to the sum over its SKUs."""
+    sales = v.sales(spark, sf).select("sku", "ds", "qty")
+    level = plan.category_level(sales)
+    sums = plan.category_forecast(sales, level).groupBy("category", "step").agg(F.sum("mean").alias("of_skus"))
+    whole = level.select("category", "step", F.col("mean").alias("forecast"))
+    return rounded(whole.join(sums, ["category", "step"]), 4, "forecast", "of_skus")
 
 
 _ROUTED = {
-    **BT, "mixed": _MIXED, "density": _DENSITY, "cat": _CAT.format(t="mixed"), "cat_level": _CAT_LEVEL.format(t="mixed"),
+    **BT, "mixed": _MIXED, "density": _DENSITY, **_categories("mixed"),
     "sku_daily": "SELECT sku AS item_id, ds, sum(qty) AS y FROM mixed WHERE sku IN (SELECT item_id FROM density WHERE days >= 30 "
                  "AND zero_sales_ratio <= 0.6::DOUBLE) GROUP BY 1, 2",
     "sku_series": "SELECT i.item_id, c.ds, coalesce(d.y, 0) AS y FROM (SELECT DISTINCT item_id FROM sku_daily) i CROSS JOIN day_list c "
@@ -355,7 +390,7 @@ _ROUTED = {
 
 @query("forecast_routed", v.sql(
     "SELECT item_id, model, count(*) AS days, round(sum(mean), 4) AS total FROM blended JOIN chosen USING (item_id) WHERE model = champion GROUP BY 1, 2 "
-    "UNION ALL SELECT item_id, 'Category', 183, round(183 * share * coalesce(level, 0), 4) FROM cat JOIN cat_level USING (category) "
+    "UNION ALL SELECT item_id, 'Category', 183, round(share * total, 4) FROM cat JOIN cat_total USING (category) "
     "WHERE item_id IN (SELECT item_id FROM density WHERE days < 30 OR zero_sales_ratio > 0.6::DOUBLE)", **_ROUTED))
 def forecast_routed(spark, sf):
     """Every SKU forecast on its route: contest champion, category share or moving average."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder import config
 from larder.functions import cleaning as cl
 from larder.session import stage
-from larder.sources import tables
+from larder.sources import files, tables
 
 FEEDBACK_SHIFT_DAYS = 8122  # moves the event month so that it ends near the last ship date
 HOLIDAYS = (
@@ -86,14 +86,18 @@ def raw(lines: DataFrame) -> DataFrame:
         .otherwise(F.col("channel")).alias("Channel"))
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
 def stored(spark, sf, name: str, lines) -> DataFrame:
-    """A raw text table, written once per session and input: a raw table exists before any query."""
-    key = spark.sparkContext.applicationId, sf, name
+    """A raw text table, written once per session and input: a raw table exists before any query.
+
+    It is written in as many files as the session has cores; rewritten inputs have other times and are read anew.
+    """
+    times = tuple(files.modified(spark, f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
+    key = spark.sparkContext.applicationId, sf, name, times
     if key not in _STORED:
-        _STORED[key] = stage(raw(lines(spark, sf)), name)
+        _STORED[key] = stage(raw(lines(spark, sf)).repartition(spark.sparkContext.defaultParallelism), name)
     return _STORED[key]
 
 

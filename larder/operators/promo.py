@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.operators import regression
 from larder.operators.grid import previous
 
 
@@ -112,6 +113,31 @@ def lift_in_sample(panel: DataFrame, days: int = 30, lookback: int = 184) -> Dat
     return _lift_totals(rows.withColumn("actual", F.coalesce("target", F.lit(0.0))))
 
 
+PROMOTION = regression.Design(waves=((365.25, 3), (7.0, 3)), ridge=0.1, name="NoPromotion", regressors=(
+    "is_on_promotion", "is_high_discount", "is_holiday", "was_stocked_out"))
+
+
+def cross_fitted_baseline(panel: DataFrame, design: regression.Design = PROMOTION, folds: int = 5) -> DataFrame:
+    """``panel`` with ``forecast_no_promo``: each day under a model that never saw it, both promotion flags off.
+
+    The days are dealt to folds by week, and a fold is scored by the fit on all others.
+    """
+    rows = panel.withColumn("y", F.coalesce("target", F.lit(0.0)))
+    flags = tuple(c for c in design.regressors if c in ("is_on_promotion", "is_high_discount"))
+    scored = regression.cross_fitted(rows.select("item_id", "ds", "y", *[c for c in design.regressors if c in rows.columns],
+                                                 F.col("is_on_promotion").alias("promoted")), design, folds, cleared=flags)
+    return scored.select("item_id", "ds", F.col("y").alias("target"), F.col("promoted").alias("is_on_promotion"),
+                         F.col("mean").alias("forecast_no_promo"))
+
+
+def lift_cross_fitted(panel: DataFrame, lookback: int = 184, design: regression.Design = PROMOTION) -> DataFrame:
+    """Lift of the last ``lookback`` days against the cross-fitted baseline; the model learns from the whole panel."""
+    last = panel.agg(F.max("ds")).scalar()
+    rows = cross_fitted_baseline(panel, design).where(
+        (F.col("ds") >= F.date_sub(last, lookback - 1)) & (F.col("is_on_promotion") == 1))
+    return _lift_totals(rows.withColumn("actual", F.col("target")))
+
+
 def event_sales(sales: DataFrame, events: list[tuple[str, dt.date, int, int]],
                 key: str = "sku") -> DataFrame:
     """Units per SKU inside each event's window, one column per event, 0 where none.

@@ -113,9 +113,11 @@ def statistics(blocks: DataFrame, design: Design) -> DataFrame:
     return blocks.mapInArrow(run, "item_id string, block int, days long, xtx array<double>, xty array<double>")
 
 
-def coefficients(stats: DataFrame, design: Design, windows: int) -> DataFrame:
+def coefficients(stats: DataFrame, design: Design, windows: int, older: bool = True) -> DataFrame:
     """(item_id, block, days, coef): for block b the fit on all older blocks; -1 is the fit on the whole history.
 
+    Without ``older`` a block's fit is that on its own sums.
+
     A task takes its items one after the other; an item is at most its blocks times the batches it came in.
     """
     def solved(item, rows):
@@ -125,11 +127,11 @@ def coefficients(stats: DataFrame, design: Design, windows: int) -> DataFrame:
             xtx[block] += np.asarray(a).reshape(p, p)
             xty[block] += b
             days[block] += n
-        # Sums over this block and all older ones.
-        xtx, xty, days = (np.cumsum(s[::-1], axis=0)[::-1] for s in (xtx, xty, days))
+        if older:  # sums over a block and all older ones
+            xtx, xty, days = (np.cumsum(s[::-1], axis=0)[::-1] for s in (xtx, xty, days))
         for block in range(windows + 1):
             if days[block]:
-                yield item, block - 1, int(days[block]), design.solve(xtx[block], xty[block])
+                yield item, block - older, int(days[block]), design.solve(xtx[block], xty[block])
 
     def run(batches):
         held, item, out = [], None, []
@@ -150,6 +152,32 @@ def coefficients(stats: DataFrame, design: Design, windows: int) -> DataFrame:
     return dealt.mapInArrow(run, "item_id string, block int, days long, coef array<double>")
 
 
+def _out_of_fold(stats: DataFrame, design: Design, folds: int) -> DataFrame:
+    """(item_id, block, days, coef): for each fold the fit on the days of all other folds."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("block"))
+    rest = stats.select("item_id", F.explode(others).alias("block"), "days", "xtx", "xty")
+    # With every row in the folds it does not belong to, a block's own sum is the fit without its days.
+    return coefficients(rest, design, folds - 1, older=False)
+
+
+def cross_fitted(rows: DataFrame, design: Design, folds: int = 5, fold_days: int = 7, cleared: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (item_id, ds, y, regressors and others) with ``mean``, from a fit that saw neither the day nor those around it.
+
+    Runs of ``fold_days`` days are dealt to the folds in turn. Regressors named in ``cleared`` are 0 when the days are
+    scored, which makes the counterfactual without them. Days of an item that has days in one fold only are left out.
+    """
+    last = rows.agg(F.max("ds")).scalar()
+    kept = [c for c in rows.columns if c not in ("item_id", "ds", "y", *design.regressors)]
+    fold = F.pmod(F.floor(-day_number(last) / fold_days), F.lit(folds)).cast("int")
+    placed = rows.where(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("string").alias("item_id"), "ds", F.col("y").cast("double").alias("y"), day_number(last).alias("day"),
+        fold.alias("block"), *_regressors(rows, design), *kept)
+    coefs = _out_of_fold(statistics(placed.select("item_id", "ds", "y", "day", "block", *design.regressors), design), design, folds)
+    values = {c: F.lit(0.0) for c in cleared}
+    out = scored(placed.withColumns(values) if values else placed, coefs, design)
+    return out.drop("day", "block", *cleared)
+
+
 def fitted(series: DataFrame, design: Design = HARMONIC, windows: int = 0, horizon: int = config.PREDICTION_LENGTH,
            last: Column | None = None) -> DataFrame:
     """The coefficients of every item: of the whole history and, with ``windows``, before each of them."""

@@ -29,14 +29,17 @@ def clean_required(raw: DataFrame) -> DataFrame:
 
 
 def daily_sales(sales: DataFrame) -> DataFrame:
-    """Units and mean discount per item and day; category and gender ride along."""
-    return (
-        sales.where(F.col("sku").isNotNull())
-        .withColumn("item_id", cl.item_id())
-        .groupBy("item_id", "sku", "channel", "ds")
-        .agg(F.sum("qty").alias("target"), F.avg("disc").alias("disc"),
-             F.max("category").alias("category"), F.max("gender").alias("gender"))
-    )
+    """Units and mean discount per item and day, with the item's category and gender.
+
+    Only figures are aggregated over the lines, which hashing does; a maximum of text would sort every line
+    first. The attributes come from the items' own small table: an item has one category and gender, the
+    greatest where lines disagree.
+    """
+    lines = sales.where(F.col("sku").isNotNull()).withColumn("item_id", cl.item_id())
+    daily = lines.groupBy("item_id", "sku", "channel", "ds").agg(F.sum("qty").alias("target"), F.avg("disc").alias("disc"))
+    items = (lines.select("item_id", "category", "gender").distinct().groupBy("item_id")
+             .agg(F.max("category").alias("category"), F.max("gender").alias("gender")))
+    return daily.join(items, "item_id").select("item_id", "sku", "channel", "ds", "target", "disc", "category", "gender")
 
 
 def daily_stock(inventory: DataFrame) -> DataFrame:
@@ -237,11 +240,15 @@ def carry_last(panel: DataFrame, columns: list[str], future: DataFrame) -> DataF
 
 
 def category_series(sales: DataFrame, min_records: int = config.MIN_SERIES_DAYS) -> DataFrame:
-    """Daily units per category, from SKUs with at least ``min_records`` lines."""
+    """Daily units per category, from SKUs with at least ``min_records`` lines.
+
+    ``sales`` holds lines, or days with their number of lines as ``records``.
+    """
+    number = F.sum("records") if "records" in sales.columns else F.count(F.lit(1))
     by_day = (sales.withColumn("sku_cat", cl.sku_category())
               .where(F.col("sku_cat").isNotNull())
               .groupBy("sku", "sku_cat", "ds")
-              .agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n")))
+              .agg(F.sum("qty").alias("qty"), number.alias("n")))
     # Days of one SKU are bounded by the calendar, so the window replaces a second scan.
     rich = by_day.withColumn("records", F.sum("n").over(Window.partitionBy("sku"))).where(
         F.col("records") >= min_records)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.grid import days_of, dense_panel
-from larder.operators.segment import sku_stats
+from larder.session import stage
 
 NEAR_ZERO = 1e-6  # stands for 0 in the multiplicative model
 
@@ -96,7 +96,15 @@ def strength(series: DataFrame, period: int, model: str = "additive",
 
 def seasonal_skus(sales: DataFrame, period: int = 365, threshold: float = 0.5,
                   model: str = "additive", method: str = "zero", key: str = "sku") -> DataFrame:
-    """Strength, sales statistics and the seasonal flag per SKU."""
-    by_sku = strength(filled_series(sales, method, model, key), period, model, key)
-    return (by_sku.join(sku_stats(sales, "qty", key), key)
+    """Strength, sales statistics and the seasonal flag per SKU.
+
+    The lines are read once: their days are staged with count, sum and sum of squares, which the statistics need.
+    """
+    daily = stage(sales.groupBy(key, "ds").agg(
+        F.sum("qty").alias("qty"), F.count("qty").alias("n"), F.sum(F.col("qty") * F.col("qty")).alias("squares")), "seasonal-days")
+    series = stage(filled_series(daily, method, model, key), "seasonal-series")
+    n, total = F.sum("n"), F.sum("qty")
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.sum("squares") - total * total / n, F.lit(0.0)) / (n - 1)))
+    stats = daily.groupBy(key).agg(n.alias("count"), F.try_divide(total, n).alias("mean"), spread.alias("std"))
+    return (strength(series, period, model, key).join(stats, key)
             .withColumn("is_seasonal", (F.col("seasonal_strength") >= threshold).cast("int")))

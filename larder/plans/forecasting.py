@@ -48,13 +48,18 @@ def volume_classes(sales: DataFrame) -> DataFrame:
     return segment.abc_by_volume(totals)
 
 
+def daily_units(sales: DataFrame) -> DataFrame:
+    """Units per SKU, channel and day, staged: enough for forecasts, classes and totals."""
+    return stage(sales.groupBy("sku", "channel", "ds").agg(F.sum("qty").alias("qty")), "daily-units")
+
+
 def recommend(sales: DataFrame, forecast: DataFrame | None = None,
               policy: config.StockPolicy | None = None) -> DataFrame:
     """Recommendations per item and horizon from a forecast, by default the seasonal naive.
 
     The lines are read once: forecast and classes both start from the staged daily units.
     """
-    daily = stage(sales.groupBy("sku", "channel", "ds").agg(F.sum("qty").alias("qty")), "daily-units")
+    daily = daily_units(sales)
     forecast = forecast if forecast is not None else fc.seasonal_naive(item_lines(daily))
     table = inventory.forecast_by_horizon(forecast)
     return inventory.recommendations(
@@ -137,22 +142,34 @@ def sku_master(sales: DataFrame, previous: DataFrame | None = None) -> DataFrame
     return new if previous is None else sinks.upserted(previous, new, ["sku_id"]).select(*new.columns)
 
 
-def category_forecast(sales: DataFrame) -> DataFrame:
-    """Moving average of each category, shared out to all its SKUs by their past units."""
-    series = sl.category_series(sales).withColumnRenamed("category", "item_id")
-    end = sales.agg(F.max("ds")).scalar()
-    level = fc.sma(series, end=end).select(F.col("item_id").alias("category"), "step", "ds", "mean")
+def category_level(sales: DataFrame, windows: int = config.VALIDATION_WINDOWS) -> DataFrame:
+    """The champion of each category's own contest over the horizon, staged: category, step, ds, mean.
+
+    A category without a SKU of enough records has no series and no forecast.
+    """
+    daily = stage(sl.category_series(sales).withColumnRenamed("category", "item_id"), "category-days")
+    level = champion_forecast(_dense(daily, sales), windows=windows)
+    return stage(level.select(F.col("item_id").alias("category"), "step", "ds", "mean"), "category-forecast")
+
+
+def category_forecast(sales: DataFrame, level: DataFrame | None = None) -> DataFrame:
+    """The categories' forecast, by default their champions', shared out to all their SKUs by past units.
+
+    The shares of a category add up to 1, so its SKUs add up to its forecast.
+    """
     units = (sales.groupBy("sku").agg(F.sum("qty").alias("units"))
              .withColumn("category", cl.sku_category()).where(F.col("category").isNotNull()))
-    return fc.allocate_category(level, units)
+    return fc.allocate_category(level if level is not None else category_level(sales), units)
 
 
 def routed_forecast(sales: DataFrame) -> DataFrame:
     """Contest for dense SKUs, category share for sparse ones, moving average where neither fits.
 
-    Only SKUs of the contest get a dense series; the others are forecast from sparse lines.
+    The lines are read once, for the staged days that all routes start from. Only SKUs of the contest get a
+    dense series; the others are forecast from sparse days.
     """
-    sales = sales.where(F.col("sku").isNotNull()).select("sku", "ds", "qty")
+    sales = sales.where(F.col("sku").isNotNull())
+    sales = stage(sales.groupBy("sku", "ds").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("records")), "routed-days")
     routes = stage(fc.route(segment.density(sales)).select("item_id", "route"), "routes")
     picked = routes.where(F.col("route") == "contest").select(F.col("item_id").alias("sku"))
     sparse = routes.where(F.col("route") == "category").select("item_id")

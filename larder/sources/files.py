@@ -22,6 +22,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if not n.rpartition("/")[2].startswith(("_", ".")))
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file, or the newest entry of a folder, was last written."""
+    system, at = _system(spark, path)
+    status = system.getFileStatus(at)
+    inner = [s.getModificationTime() for s in system.listStatus(at)] if status.isDirectory() else []
+    return max([status.getModificationTime(), *inner])
+
+
 def delete(spark: SparkSession, path: str) -> None:
     system, at = _system(spark, path)
     system.delete(at, True)

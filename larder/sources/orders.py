@@ -6,7 +6,7 @@ allocations is counted once. Only the fields used are read from the nested colum
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import config
@@ -83,17 +83,37 @@ def app_sales(orders: DataFrame, by_day: bool = True, sources=config.APP_SOURCES
             .withColumn("channel", F.lit("App")))
 
 
+def _line_revenue(sources) -> Column:
+    """The revenue of a line of an order by its source: list price in stores, scaled to the paid total in the app, net on the web."""
+    price = F.col("item.quantity") * F.col("item.price")
+    scaled = F.try_divide("item.price", "total_price") * F.col("final_price") * F.col("item.quantity")
+    first = F.coalesce(F.get("item.discount_allocations", F.lit(0))["amount"], F.lit(0.0))
+    return (F.when(F.col("source_name") == "pos", price).when(F.col("source_name").isin(*sources), scaled - first)
+            .otherwise(price - _discount()))
+
+
 def all_sales(orders: DataFrame, stores: DataFrame) -> DataFrame:
-    """Units and revenue by day, SKU and channel over the three channels, sellable SKUs only."""
-    kept = genuine(orders)
-    parts = pos_sales(kept, stores).unionByName(app_sales(kept)).unionByName(web_sales(kept))
-    return (parts.where(cl.sellable_sku()).groupBy("ds", "sku", "channel")
+    """Units and revenue by day, SKU and channel over the three channels, sellable SKUs only.
+
+    The documents are read and exploded once. Totals are taken per source and location first, so the store
+    lookup joins a small aggregate.
+    """
+    rows = lines(genuine(orders).where("source_name IS NOT NULL"), "source_name", "location_id", "total_price",
+                 cl.wallet_price().alias("final_price")).where(cl.sellable_sku("item.sku"))
+    source = F.when(F.col("source_name") == "pos", "pos").when(F.col("source_name").isin(*config.APP_SOURCES), "App").otherwise("Web")
+    place = F.when(F.col("source_name") == "pos", F.col("location_id"))
+    totals = _totals(rows.withColumns({"source": source, "location_id": place}), [*_keys(True), "source", "location_id"],
+                     _line_revenue(config.APP_SOURCES))
+    named = stores.select(F.col("store_id").alias("location_id"), "store_name")
+    channel = F.when(F.col("source") == "pos", F.col("store_name")).otherwise(F.col("source"))
+    return (totals.join(named, "location_id", "left").withColumn("channel", channel).groupBy("ds", "sku", "channel")
             .agg(F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue")))
 
 
 def master_sales(orders: DataFrame, app_sources=("android", "ios")) -> DataFrame:
-    """Units and revenue by SKU and source over web and app."""
-    both = web_sales(orders, False, "web").unionByName(app_sales(orders, False, app_sources))
-    return (both.where(cl.sellable_sku())
-            .groupBy("sku", F.lower("channel").alias("source"))
-            .agg(F.sum("quantity").alias("qty"), F.sum("revenue").alias("revenue")))
+    """Units and revenue by SKU and source over web and app, from one pass over the documents."""
+    rows = lines(orders.where(F.col("source_name").isin("web", *app_sources)), "source_name", "total_price",
+                 cl.wallet_price().alias("final_price")).where(cl.sellable_sku("item.sku"))
+    source = F.when(F.col("source_name") == "web", "web").otherwise("app")
+    totals = _totals(rows.withColumn("source", source), [*_keys(False), "source"], _line_revenue(app_sources))
+    return totals.select("sku", "source", F.col("quantity").alias("qty"), "revenue")

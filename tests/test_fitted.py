@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from catalog import forecasting
 from larder.operators import forecast as fc
+from larder.operators import promo
 from larder.operators import regression as rg
+from larder.plans import forecasting as plan
 from larder.session import stage
 
 START, HORIZON = dt.date(2000, 1, 1), 30
@@ -112,3 +114,61 @@ def test_contests_with_fitted_models(spark, small_catalog):
     assert min(board, key=lambda r: r["rank"])["model"] in ("Harmonic", "GBT")
     champions = forecasting.champion_fitted(spark, "").collect()
     assert sorted(r.item_id for r in champions) == ["i0", "i1"] and {r.days for r in champions} == {183}
+
+
+def planted(spark, effect, days=700, items=3):
+    """Wavy demand with a promotion every sixth week, which adds ``effect`` units a day."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(items):
+        for i in range(days):
+            flag = int((i // 7 + k) % 6 == 0)
+            rows.append((f"i{k}", START + dt.timedelta(days=i), float(30 + 5 * np.sin(2 * np.pi * i / 365.25) + effect * flag + rng.normal()), flag, 0))
+    return stage(spark.createDataFrame(rows, "item_id string, ds date, target double, is_on_promotion int, is_high_discount int"), "planted")
+
+
+@pytest.mark.parametrize("effect", [0.0, 12.0])
+def test_lift_of_a_planted_promotion(spark, effect):
+    panel = planted(spark, effect)
+    for r in promo.lift_cross_fitted(panel, lookback=700).collect():
+        promoted = panel.where(f"item_id = '{r.item_id}' AND is_on_promotion = 1").count()
+        assert r.total_lift_units / promoted == pytest.approx(effect, abs=max(0.1 * effect, 0.4))
+
+
+def test_no_day_is_judged_by_a_fit_that_saw_it(spark):
+    panel = planted(spark, 5.0, 210, 1)
+    changed = panel.withColumn("target", F.when(F.col("ds") == START + dt.timedelta(days=209), 9999.0).otherwise(F.col("target")))
+    a, b = ({r.ds: r.forecast_no_promo for r in promo.cross_fitted_baseline(p).collect()} for p in (panel, changed))
+    same_fold = [d for d in a if ((START + dt.timedelta(days=209) - d).days // 7) % 5 == 0]
+    assert len(same_fold) >= 40 and all(a[d] == pytest.approx(b[d], abs=1e-9) for d in same_fold)
+    assert any(abs(a[d] - b[d]) > 1 for d in a if d not in same_fold)
+
+
+def test_quantiles_follow_the_items_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [("m", f"i{k}", w, s, START, float(10 ** k * max(0, 5 + rng.normal())), 5.0 * 10 ** k)
+            for k in range(3) for w in range(4) for s in range(1, 61)] + [("m", "zero", 1, 1, START, 0.0, 0.0)]
+    scored = stage(spark.createDataFrame(rows, "model string, item_id string, window int, step int, ds date, y double, yhat double"), "scored")
+    scales = fc.item_scales(scored)
+    ahead = scored.where("window = 0").drop("y").withColumnRenamed("yhat", "mean").unionByName(
+        scored.where("item_id = 'zero'").drop("y").withColumnRenamed("yhat", "mean"))
+    out = fc.with_intervals(ahead, fc.residual_quantiles(scored, scales), scales).toPandas()
+    assert (out[["q10", "q25", "q50", "q75", "q90"]].diff(axis=1).iloc[:, 1:] >= 0).all().all() and (out["q10"] >= 0).all()
+    width = out.assign(w=out["q90"] - out["q10"]).groupby("item_id")["w"].mean()
+    assert width["i1"] / width["i0"] == pytest.approx(10, rel=0.3) and width["zero"] == 0
+    cover = {(r.level): (r.below, r.at_or_below) for r in fc.interval_coverage(scored.where("item_id <> 'zero'")).collect()}
+    assert all(lo - 0.08 <= p <= hi + 0.08 for p, (lo, hi) in cover.items())
+
+
+def test_skus_add_up_to_the_champion_of_their_category(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"{c}{k}", START + dt.timedelta(days=i), float(rng.integers(1, 9)))
+            for c in ("EAR", "RNG") for k in range(3) for i in range(400)] + [("EAR9", START, 5.0), ("x1", START, 5.0)]
+    sales = stage(spark.createDataFrame(rows, "sku string, ds date, qty double"), "category-sales")
+    level = plan.category_level(sales, windows=1)
+    parts = plan.category_forecast(sales, level)
+    whole = {(r.category, r.step): r["mean"] for r in level.collect()}
+    sums = {(r.category, r.step): r["total"] for r in parts.groupBy("category", "step").agg(F.sum("mean").alias("total")).collect()}
+    assert whole.keys() == sums.keys() and len(whole) == 2 * 183
+    assert all(sums[k] == pytest.approx(whole[k]) for k in whole)
+    assert {r.sku for r in parts.select("sku").distinct().collect()} == {f"{c}{k}" for c in ("EAR", "RNG") for k in range(3)} | {"EAR9"}
