@@ -153,15 +153,13 @@ def gbt_search(spark, sf):
     return fc.trials_table(spark, fc.search_gbt(fc.gbt_training_rows(flagged_series(spark, sf))))
 
 
-def _fitted(spark, sf):
-    return fc.fit_gbt(fc.gbt_training_rows(flagged_series(spark, sf)))
-
-
 def _importance_table(spark, sf):
-    pairs = fc.importances(_fitted(spark, sf))
-    return spark.createDataFrame(
-        [("GBT", [{"feature": n, "importance": x} for n, x in pairs])],
-        "model string, importances array<struct<feature:string,importance:double>>")
+    """Held-out importances of the trees: fitted before the newest window, judged on it."""
+    rows = stage(fc.gbt_training_rows(flagged_series(spark, sf)), "gbt-rows")
+    early, late = fc.split_late(rows)
+    out = fc.permutation_importance(fc.fit_gbt(early), late)
+    pair = F.struct("feature", "importance")
+    return out.agg(F.collect_list(pair).alias("importances")).select(F.lit("GBT").alias("model"), "importances")
 
 
 @query("feature_importance")

@@ -172,9 +172,27 @@ def version_retain(spark, sf):
 _PROFILED = ("qty", "disc", "revenue", "disc_amt", "list_price")
 
 
-@query("table_profile", v.sql(" UNION ALL ".join(
+_PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, min({c}) AS min, max({c}) AS max, "
-    + r(3, mean=f"avg({c})", std=f"stddev_samp({c})", corr_target=f"corr({c}, qty)") + " FROM sales" for c in _PROFILED)))
+    + r(3, mean=f"avg({c})", std=f"stddev_samp({c})", corr_target=f"corr({c}, qty)") + " FROM sales" for c in _PROFILED)
+
+
+@query("table_profile", v.sql(_PROFILE_SQL))
 def table_profile(spark, sf):
     out = profile.profile(v.sales(spark, sf), list(_PROFILED), "qty")
     return rounded(out.drop("distinct_approx", "median_approx"), 3, "mean", "std", "corr_target")
+
+
+@query("table_profile_merged", v.sql(f"SELECT *, true AS distinct_near, true AS median_near FROM ({_PROFILE_SQL})"))
+def table_profile_merged(spark, sf):
+    """The profile from stored rows per day; its estimates are compared with the exact figures of the table."""
+    sales, path = v.sales(spark, sf), new_path(spark, "profile-days")
+    profile.daily_profile(sales, list(_PROFILED), "qty").write.parquet(path)
+    out = profile.merged_profile(spark.read.parquet(path))
+    exact = sales.agg(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.countDistinct(c).alias("d"), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55))).alias("m")) for c in _PROFILED])
+        .alias("e")).select(F.inline("e"))
+    both = out.join(exact, "column_name").withColumns({
+        "distinct_near": F.abs(F.col("distinct_approx") - F.col("d")) <= 0.06 * F.col("d") + 1,
+        "median_near": F.col("median_approx").between(F.col("m")[0], F.col("m")[1])})
+    return rounded(both.drop("distinct_approx", "median_approx", "d", "m"), 3, "mean", "std", "corr_target")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder import config
 from larder.functions.calendar import calendar_features, cyclical_encoding, month_boundary
 from larder.operators.grid import future_days, previous
-from larder.operators.ordered import quantiles
+from larder.operators.ordered import quantiles, ranked
 from larder.session import stage
 
 
@@ -208,9 +208,31 @@ def gbt(series: DataFrame, future: DataFrame, settings: Boosting | None = None)
     return score_gbt(fit_gbt(gbt_training_rows(series), settings), gbt_future_rows(series, future))
 
 
-def importances(model: GBTRegressionModel) -> list[tuple[str, float]]:
-    """(feature, importance) pairs of a fitted model."""
-    return list(zip(GBT_FEATURES, [float(v) for v in model.featureImportances.toArray()]))
+def split_late(rows: DataFrame, horizon: int = config.PREDICTION_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Training rows before the newest ``horizon`` days, and those days."""
+    late = F.col("ds") > F.date_sub(rows.agg(F.max("ds")).scalar(), horizon)
+    return rows.where(~late), rows.where(late)
+
+
+def permutation_importance(model: GBTRegressionModel, rows: DataFrame, seed: int = config.RANDOM_SEED) -> DataFrame:
+    """(feature, importance): by how much the error on held-out ``rows`` grows when a feature's values are mixed up.
+
+    ``rows`` are those of ``gbt_training_rows``. Each row gets the values of one partner: the rows are ranked by
+    item and day and by a seeded hash, and the ranks are joined. All features are scored in one job, in which
+    a row stands once for each of them and once as it is.
+    """
+    kept = stage(rows.select("item_id", "ds", "y", *GBT_FEATURES), "permuted-rows")
+    placed = ranked(kept, [F.col("item_id"), F.col("ds")]).drop("size")
+    mixed = ranked(kept.withColumn("_mix", F.xxhash64("item_id", "ds", F.lit(seed))), [F.col("_mix"), F.col("item_id"), F.col("ds")])
+    partners = mixed.select("position", F.struct(*GBT_FEATURES).alias("_other"))
+    cases = F.explode(F.array(*[F.lit(c) for c in ("", *GBT_FEATURES)]))
+    both = placed.join(partners, "position").select("*", cases.alias("feature"))
+    values = {c: F.when(F.col("feature") == c, F.col(f"_other.{c}")).otherwise(F.col(c)) for c in GBT_FEATURES}
+    scored = model.transform(_assembled(both.withColumns(values), "feature"))
+    error = F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))
+    errors = stage(scored.groupBy("feature").agg(error.alias("rmse")), "permuted-errors")  # a row per feature
+    base = errors.where("feature = ''").select("rmse").scalar()
+    return errors.where("feature <> ''").select("feature", (F.col("rmse") - base).alias("importance"))
 
 
 def top_features(table: DataFrame, n: int = 5) -> DataFrame:

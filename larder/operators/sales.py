@@ -37,11 +37,20 @@ def daily_sales(sales: DataFrame) -> DataFrame:
     """
     lines = sales.where(F.col("sku").isNotNull()).withColumn("item_id", cl.item_id())
     daily = lines.groupBy("item_id", "sku", "channel", "ds").agg(F.sum("qty").alias("target"), F.avg("disc").alias("disc"))
-    items = (lines.select("item_id", "category", "gender").distinct().groupBy("item_id")
-             .agg(F.max("category").alias("category"), F.max("gender").alias("gender")))
+    items = distinct_rows(lines, "item_id", "category", "gender").groupBy("item_id").agg(
+        F.max("category").alias("category"), F.max("gender").alias("gender"))
     return daily.join(items, "item_id").select("item_id", "sku", "channel", "ds", "target", "disc", "category", "gender")
 
 
+def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct values by hashing, also below a minimum or maximum.
+
+    Spark drops a plain ``distinct`` there as redundant and sorts all rows by the text; the number of rows, which the
+    filter needs, keeps the step.
+    """
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
+
+
 def daily_stock(inventory: DataFrame) -> DataFrame:
     """Stock per SKU and day, summed over warehouses."""
     return (inventory.where(F.col("sku").isNotNull() & F.col("ds").isNotNull())
@@ -213,7 +222,7 @@ def distinct_items(sales: DataFrame) -> DataFrame:
     """
     names = ["item_id", "sku", "channel", "category", "gender"]
     return (sales.where(F.col("sku").isNotNull()).withColumn("item_id", cl.item_id())
-            .select(*names).distinct().groupBy("item_id", "sku", "channel")
+            .transform(distinct_rows, *names).groupBy("item_id", "sku", "channel")
             .agg(F.min("category").alias("category"), F.min("gender").alias("gender")))
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from catalog import forecasting
 from larder.operators import forecast as fc
-from larder.operators import promo
+from larder.operators import profile, promo, sales
 from larder.operators import regression as rg
 from larder.plans import forecasting as plan
+from larder.schemas import ORDERS
 from larder.session import stage
+from larder.sources import orders
 
 START, HORIZON = dt.date(2000, 1, 1), 30
 
@@ -172,3 +174,45 @@ def test_skus_add_up_to_the_champion_of_their_category(spark):
     assert whole.keys() == sums.keys() and len(whole) == 2 * 183
     assert all(sums[k] == pytest.approx(whole[k]) for k in whole)
     assert {r.sku for r in parts.select("sku").distinct().collect()} == {f"{c}{k}" for c in ("EAR", "RNG") for k in range(3)} | {"EAR9"}
+
+
+def test_a_planted_feature_is_the_most_important(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"i{k}", START + dt.timedelta(days=i), float(5 + 20 * f + rng.normal() * 0.3), f, float(rng.random()))
+            for k in range(3) for i in range(240) for f in [int(rng.random() < 0.3)]]
+    series = spark.createDataFrame(rows, "item_id string, ds date, y double, is_on_promotion int, discount_percentage double").withColumn(
+        "is_holiday", F.lit(0))
+    early, late = fc.split_late(stage(fc.gbt_training_rows(series, HORIZON), "rows"), HORIZON)
+    model = fc.fit_gbt(early, fc.Boosting(3, 0.3, 8))
+    found = {r.feature: r.importance for r in fc.permutation_importance(model, late).collect()}
+    again = {r.feature: r.importance for r in fc.permutation_importance(model, late.repartition(7)).collect()}
+    assert set(found) == set(fc.GBT_FEATURES) and max(found, key=found.get) == "is_on_promotion"
+    assert found["is_on_promotion"] > 3 and abs(found["discount_percentage"]) < 0.3 and found["store_count"] == 0
+    assert all(found[c] == pytest.approx(again[c], abs=1e-9) for c in found)
+
+
+def test_profiles_of_days_merge_to_that_of_the_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(START + dt.timedelta(days=int(d)), float(round(x, 2)), None if x > 60 else float(x + rng.normal()))
+            for d, x in zip(rng.integers(0, 20, 4000), rng.normal(50, 10, 4000))]
+    df = stage(spark.createDataFrame(rows, "ds date, a double, b double"), "profiled")
+    days = stage(profile.daily_profile(df.where("ds < '2000-01-11'"), ["a", "b"], "a"), "first")
+    more = stage(profile.daily_profile(df.where("ds >= '2000-01-11'"), ["a", "b"], "a"), "second")
+    got = {r.column_name: r for r in profile.merged_profile(days.unionByName(more)).collect()}
+    for want in profile.profile(df, ["a", "b"], "a").collect():
+        mine = got[want.column_name]
+        for c in ("rows", "nulls", "min", "max", "mean", "std", "corr_target"):
+            assert mine[c] == pytest.approx(want[c], abs=1e-9), c
+        exact = df.agg(F.countDistinct(want.column_name), F.percentile(want.column_name, F.array(F.lit(0.47), F.lit(0.53)))).first()
+        assert mine.distinct_approx == pytest.approx(exact[0], rel=0.06) and exact[1][0] <= mine.median_approx <= exact[1][1]
+
+
+def test_lines_are_aggregated_by_hashing(spark):
+    lines = stage(spark.createDataFrame([("E1", "Web", START, 2.0, 1.0, "EAR", "men"), ("E1", "Web", START, 3.0, 2.0, None, "men")],
+                                        "sku string, channel string, ds date, qty double, disc double, category string, gender string"), "lines")
+    out = sales.daily_sales(lines)
+    plan_text = out._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("SortAggregate") <= 2 and plan_text.count("HashAggregate") >= 4  # text only among distinct items
+    assert [tuple(r) for r in out.collect()] == [("E1_Web", "E1", "Web", START, 5.0, 1.5, "EAR", "men")]
+    docs = orders.all_sales(stage(spark.createDataFrame([], ORDERS), "docs"), spark.createDataFrame([], "store_id int, store_name string"))
+    assert docs._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
