@@ -7,10 +7,10 @@ input, so the order of removal does not matter.
 * Seed: of the ``LENGTH - ANCHOR + 1`` word shingles of ``ANCHOR`` words in a window, the one with the
   least hash is its anchor. Equal windows choose equal anchors, so documents are joined on the anchors
   that at least two of them have; these are a fraction of all words.
-* Extend: an anchor is extended left and right as far as the windows that chose it reach. Per anchor,
-  occurrences are compared by the hashes of these windows and each learns which of them an earlier
-  document has. Occurrences of an anchor meet in one task; those of an anchor with more than ``HOT`` are
-  salted by document, and what a salt cannot decide is decided in a second, small step.
+* Extend: the windows that chose an anchor are its extensions, by every split of the other words over its left
+  and right. Per anchor, occurrences are compared by 64-bit hashes of these windows, not word by word, and each
+  learns which of them an earlier document has. Occurrences of an anchor meet in one task; those of an anchor with
+  more than ``HOT`` are salted by document, and what a salt cannot decide is decided in a second, small step.
 * Maximal: a document unites its repeated windows into maximal spans of at least ``LENGTH`` words.
 
 No pair of documents is formed and no group is capped. Equal windows are told by 64-bit hashes of their
@@ -18,7 +18,7 @@ words, compared only among occurrences of one anchor.
 
 Defined results: null and empty texts have no words; documents shorter than a window stay whole; a null
 ``doc_id`` is neither smaller nor larger than any other; rows that repeat an id are judged one by one and
-do not remove each other's words; an empty table gives an empty result; other columns are not read.
+do not remove each other's words (what an earlier document has is said per id and window, so they can share it); an empty table gives an empty result; other columns are not read.
 """
 
 import numpy as np
