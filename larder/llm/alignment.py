@@ -25,6 +25,7 @@ table gives an empty result; other columns are not read.
 
 import pickle
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import accumulate
 from typing import NamedTuple
@@ -44,9 +45,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16
 FAN = 16
 FREQUENT = 1 << 20
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 GROUP_DOCS = 128
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 
 NONE = np.empty(0, np.int64)
 # Characters whose neighbourhood is known: printing ASCII and U+00C0 to U+00FF.
@@ -113,28 +114,36 @@ EDGE = Fragment(True, NO_TOKENS, NO_GROUPS, NO_TOKENS, True)  # the start of a t
 UNSPELT = EDGE._replace(spelt=False)  # stays so in any company
 
 
-def linked(a: list[int], a_end: list[int], b: list[int], b_end: list[int]) -> tuple[bytes, int, list[int]]:
+def linked(a: list[int], a_len: list[int], b: list[int], b_len: list[int]) -> tuple[bytes, int, list[int]]:
     """The written groups, their number and the linked pairs of tokens that begin and end at cuts.
 
     Both kinds are walked together; every stretch between two ends, of whichever kind, links the two tokens over it.
+    ``ahead`` is by how many bytes the tokens of A that were taken are ahead of those of B.
     """
-    groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        step = a_end[i] - b_end[j]
-        if step <= 0:
-            i += 1
-        if step >= 0:
+    groups, links, j, first_a, first_b, ahead = [], [], 0, 0, 0, 0
+    for i, (token, n) in enumerate(zip(a, a_len)):
+        ahead += n
+        high = token << 32
+        while ahead > 0:
+            links.append(high | b[j])
+            if ahead < b_len[j]:
+                break
+            ahead -= b_len[j]
             j += 1
-        if not step:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
+        if not ahead:
+            groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j]))}")
+            first_a, first_b = i + 1, j
     return ";".join(groups).encode(), len(groups), links
 
 
 def closed(tokens: Tokens) -> Closed:
     """The groups of tokens that begin and end at cuts."""
-    text, groups, links = linked(*(c.tolist() for c in tokens))
+    if not len(tokens.a):
+        return NO_GROUPS
+    # Only the first lengths depend on where the groups begin, and both kinds begin together.
+    start = min(tokens.a_end[0], tokens.b_end[0]) - 1
+    a_len, b_len = (np.diff(ends, prepend=start).tolist() for ends in (tokens.a_end, tokens.b_end))
+    text, groups, links = linked(tokens.a.tolist(), a_len, tokens.b.tolist(), b_len)
     return Closed(text, groups, len(tokens.a), len(tokens.b), np.array(links, np.int64))
 
 
@@ -190,16 +199,15 @@ class Speller:
         return [ids if t[:1] == b" " else ids[1 if t[:1] == b"\n" else 2:] for t, ids in zip(texts, found)]
 
     def spelt(self, text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int], bool]:
-        """Where the tokens of both kinds end, and whether they spell ``text``."""
-        parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        ok = b"".join(parts[0]) == text == b"".join(parts[1])
-        return *(list(accumulate(map(len, p))) for p in parts), ok
+        """The lengths of the tokens of both kinds, and whether they spell ``text``."""
+        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        return list(map(len, a_parts)), list(map(len, b_parts)), b"".join(a_parts) == text == b"".join(b_parts)
 
     def tokens(self, text: bytes) -> tuple[Tokens, bool]:
         """The tokens of ``text``, which starts with a space, and whether both kinds spell it."""
         a, b = self.a.encode(text.decode(), add_special_tokens=False).ids, self.b.encode(text[1:].decode())
-        a_end, b_end, ok = self.spelt(text, a, b)
-        return Tokens(*(np.array(c, np.int64) for c in (a, a_end, b, b_end))), ok
+        a_len, b_len, ok = self.spelt(text, a, b)
+        return Tokens(*(np.array(c, np.int64) for c in (a, list(accumulate(a_len)), b, list(accumulate(b_len))))), ok
 
     def aligned(self, texts: list[bytes]) -> list[Fragment]:
         """The fragments of whole texts that start with a space: the closed fragments of their words, composed."""
@@ -237,8 +245,8 @@ class Words:
         texts, counts, links = [], [], []
         for word, b in zip(words, self.tools.b_ids(words)):
             a = self.tools.a_ids(word)
-            a_end, b_end, ok = self.tools.spelt(word, a, b)
-            text, groups, found = linked(a, a_end, b, b_end) if ok else (b"", -1, [])
+            a_len, b_len, ok = self.tools.spelt(word, a, b)
+            text, groups, found = linked(a, a_len, b, b_len) if ok else (b"", -1, [])
             texts.append(text)
             counts.append((groups, len(a), len(b), len(found)))
             links += found
@@ -339,6 +347,18 @@ def unpacked(raw: bytes) -> Fragment:
     return Fragment(cut, Tokens(*prefix), Closed(*groups), Tokens(*suffix), spelt)
 
 
+@contextmanager
+def small_batches(spark):
+    """While plans are run in here, tasks hand ``BATCH_ROWS`` rows to Python at a time: rows are texts and lists."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def groups(batches, size: int):
     """(doc_id, text) of ``size`` rows at a time; only these become Python values."""
     for batch in batches:
@@ -368,7 +388,8 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
                         yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
         return batched(found(), FINAL, limit=BATCH_BYTES)
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows")
+    with small_batches(docs.sparkSession):
+        return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows")
 
 
 def fragments(long: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -423,7 +444,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, fan
         return batched((finished(doc_id, compose(EDGE, unpacked(raw)))[:7] for doc_id, raw in
                         rows(batches, "doc_id", "fragment")), pa.schema(list(FINAL)[:7]))
 
-    return done.unionByName(stage(parts.mapInArrow(run, ", ".join(FINAL_DDL.split(", ")[:7])), "alignment-long"))
+    with small_batches(docs.sparkSession):
+        return done.unionByName(stage(parts.mapInArrow(run, ", ".join(FINAL_DDL.split(", ")[:7])), "alignment-long"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -451,7 +473,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in flushed()], names=["pair", "n"])
 
     partial = aligned.select("pairs", "times").mapInArrow(run, "pair long, n long")
-    return stage(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    with small_batches(aligned.sparkSession):
+        return stage(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
 
 
 def frequent(counts: DataFrame, limit: int) -> int:
@@ -466,7 +489,10 @@ def frequent(counts: DataFrame, limit: int) -> int:
 
 
 def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
-    """``aligned`` with n_links, n_best (links whose pair is the most frequent of its B id) and count_sum."""
+    """``aligned`` with n_links, n_best (links whose pair is the most frequent of its B id) and count_sum, staged.
+
+    Columns other than pairs and times are handed on.
+    """
     counts = pair_counts(aligned)
     b_of = F.col("pair").bitwiseAND((1 << 32) - 1)
     best = counts.groupBy(b_of.alias("b")).agg(F.max("n").alias("best"))
@@ -491,21 +517,23 @@ def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
                 rest = [{"pair": p, "times": t} for p, t in zip(pairs[~held].tolist(), times[~held].tolist())]
                 out.append((int(times.sum()), int((own * is_best[at]).sum()), int((own * n[at]).sum()), rest))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([],) * 4, added)]
-            keep = [c for name, c in zip(batch.schema.names, batch.columns) if name not in ("pairs", "times")]
-            yield pa.RecordBatch.from_arrays(keep + columns, names=["doc_id", "text", "n_a", "n_b", "n_groups", *added.names])
-
-    out = aligned.mapInArrow(run, "doc_id long, text binary, n_a long, n_b long, n_groups long, n_links long, n_best long, "
-                                  "count_sum long, rest array<struct<pair: long, times: long>>")
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays(keep + columns, names=[*kept, *added.names])
+
+    kept = [c for c in aligned.columns if c not in ("pairs", "times")]
+    new = {"n_links": "long", "n_best": "long", "count_sum": "long", "rest": "array<struct<pair: long, times: long>>"}
+    schema = aligned.select(*kept, *[F.lit(None).cast(kind).alias(c) for c, kind in new.items()]).schema
+    with small_batches(aligned.sparkSession):
+        out = stage(aligned.mapInArrow(run, schema), "alignment-counted")
     if least == 1:
         return out.drop("rest")
-    out = stage(out, "alignment-counted")
     place = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")
     placed = out.select("*", place)
     rest = placed.where(F.size("rest") > 0).select("at", F.explode("rest").alias("r")).select("at", "r.*")
     sums = rest.join(judged.where(F.col("n") < least), "pair").groupBy("at").agg(
         F.sum(F.col("times") * F.col("is_best").cast("long")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more"))
     return placed.join(sums, "at", "left").select(
-        "doc_id", "text", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
+        *kept, "n_links", (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
         (F.col("count_sum") + F.coalesce("more", F.lit(0))).alias("count_sum"))
 
 
@@ -513,4 +541,5 @@ def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
 def op11_alignment(spark, sf_dir):
     found = alignments(table(spark, sf_dir, "documents"), public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE))
     written = F.when(F.col("n_a") > 0, F.sha2("text", 256)).otherwise("").alias("groups_sha256")
-    return with_counts(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", written)
+    out = with_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "pairs", "times", written))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
