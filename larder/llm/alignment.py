@@ -386,6 +386,7 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
                     n_long += 1
                     for number, cut in enumerate(dealt):
                         yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
+            tools.words.clear()  # an idle worker holds no words
         return batched(found(), FINAL, limit=BATCH_BYTES)
 
     with small_batches(docs.sparkSession):
