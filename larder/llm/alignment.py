@@ -52,7 +52,7 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 NONE = np.empty(0, np.int64)
 # Characters whose neighbourhood is known: printing ASCII and U+00C0 to U+00FF.
 # A place that no token spans: before a single space or line end between two of them.
-_BEFORE, _AFTER = rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf]))", rb"(?=[!-~]|\xc3[\x80-\xbf])"
+_BEFORE = rb"(?:(?<=[!-~])|(?<=\xc3[\x80-\xbf]))"
 PLACE = re.compile(_BEFORE + rb"(?=[ \n](?:[!-~]|\xc3[\x80-\xbf]))")
 # All bytes of such characters, with space and line end.
 KNOWN = bytes(range(0x20, 0x7F)) + b"\n\xc3" + bytes(range(0x80, 0xC0))
