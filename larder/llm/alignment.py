@@ -27,7 +27,7 @@ import pickle
 import re
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.base import batched, query, rows, table
-from larder.llm.tokens import BYTE_CHARS, SPACE
+from larder.llm.tokens import BYTE_CHARS
 from larder.session import stage
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -114,37 +114,51 @@ EDGE = Fragment(True, NO_TOKENS, NO_GROUPS, NO_TOKENS, True)  # the start of a t
 UNSPELT = EDGE._replace(spelt=False)  # stays so in any company
 
 
-def linked(a: list[int], a_len: list[int], b: list[int], b_len: list[int]) -> tuple[bytes, int, list[int]]:
-    """The written groups, their number and the linked pairs of tokens that begin and end at cuts.
+@lru_cache(maxsize=2)
+def numerals(digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of up to so many digits with a comma, bar or semicolon behind them: their bytes, zeros after them, and lengths."""
+    ids = np.arange(10 ** digits).astype(bytes)
+    signed = np.stack([np.char.add(ids, sign) for sign in (b",", b"|", b";")], axis=1).reshape(-1)
+    return signed.view(np.uint8).reshape(len(signed), -1), np.char.str_len(signed)
 
-    Both kinds are walked together; every stretch between two ends, of whichever kind, links the two tokens over it.
-    ``ahead`` is by how many bytes the tokens of A that were taken are ahead of those of B.
+
+class Linked(NamedTuple):
+    """Groups of tokens that begin and end at cuts: their text with a semicolon behind each, the cut at which each
+    ends and how far the text goes to there, the linked pairs and the end of each."""
+    text: bytes
+    cuts: np.ndarray
+    text_end: np.ndarray
+    links: np.ndarray
+    link_end: np.ndarray
+
+
+def linked(tokens: Tokens) -> Linked:
+    """The groups and links of tokens that begin and end at cuts.
+
+    Every stretch between two ends, of whichever kind, links the two tokens over it.
     """
-    groups, links, j, first_a, first_b, ahead = [], [], 0, 0, 0, 0
-    for i, (token, n) in enumerate(zip(a, a_len)):
-        ahead += n
-        high = token << 32
-        while ahead > 0:
-            links.append(high | b[j])
-            if ahead < b_len[j]:
-                break
-            ahead -= b_len[j]
-            j += 1
-        if not ahead:
-            groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i + 1, j
-    return ";".join(groups).encode(), len(groups), links
+    a, a_end, b, b_end = tokens
+    ends = np.unique(np.concatenate([a_end, b_end]))
+    over_a, over_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+    cuts = ends[(a_end[over_a] == ends) & (b_end[over_b] == ends)]
+    # In the text a group's tokens of A stand before those of B.
+    a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+    a_before, b_before = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + np.r_[0, b_before][a_group]] = a * 3 + (a_end == cuts[a_group])
+    order[np.arange(len(b)) + a_before[b_group]] = b * 3 + 2 * (b_end == cuts[b_group])
+    shown, width = numerals(len(str(max(a.max(), b.max()))))
+    text = shown[order]
+    return Linked(text[text != 0].tobytes(), cuts, np.cumsum(width[order])[a_before + b_before - 1],
+                  a[over_a] << 32 | b[over_b], ends)
 
 
 def closed(tokens: Tokens) -> Closed:
     """The groups of tokens that begin and end at cuts."""
     if not len(tokens.a):
         return NO_GROUPS
-    # Only the first lengths depend on where the groups begin, and both kinds begin together.
-    start = min(tokens.a_end[0], tokens.b_end[0]) - 1
-    a_len, b_len = (np.diff(ends, prepend=start).tolist() for ends in (tokens.a_end, tokens.b_end))
-    text, groups, links = linked(tokens.a.tolist(), a_len, tokens.b.tolist(), b_len)
-    return Closed(text, groups, len(tokens.a), len(tokens.b), np.array(links, np.int64))
+    found = linked(tokens)
+    return Closed(found.text[:-1], len(found.cuts), len(tokens.a), len(tokens.b), found.links)
 
 
 def fragment(tokens: Tokens) -> Fragment:
@@ -169,6 +183,22 @@ def compose(left: Fragment, right: Fragment) -> Fragment:
     return Fragment(True, left.prefix, middle, right.suffix, True)
 
 
+def spelt(texts: list[bytes], ids: list[list[int]], pieces: list[bytes], sizes: np.ndarray):
+    """Ids one text after the other, their lengths, the number of each one's text, and which texts they spell."""
+    count = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, count.sum())
+    length, of = sizes[flat], np.repeat(np.arange(len(ids)), count)
+    ends = np.r_[0, np.cumsum(length)][np.cumsum(count)]
+    ok = np.diff(ends, prepend=0) == np.fromiter(map(len, texts), np.int64, len(texts))
+    joined = b"".join(map(pieces.__getitem__, flat[ok[of]].tolist()))
+    if joined != b"".join(compress(texts, ok)):
+        at = 0
+        for i in np.flatnonzero(ok).tolist():
+            at, begin = at + len(texts[i]), at
+            ok[i] = joined[begin:at] == texts[i]
+    return flat, length, of, ok
+
+
 class Speller:
     """Both tokenizers, with the bytes of every token."""
 
@@ -179,16 +209,22 @@ class Speller:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: b for b, c in BYTE_CHARS.items()}
-        self.a_bytes = {i: bytes(byte_of[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in byte_of for c in token)}  # added tokens are plain text here and have no id
+        self.a_bytes = [b""] * self.a.get_vocab_size()  # added tokens are plain text here and have no id
+        for token, i in self.a.get_vocab(with_added_tokens=False).items():
+            if all(c in byte_of for c in token):
+                self.a_bytes[i] = bytes(byte_of[c] for c in token)
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode()
                         for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
+        self.a_size, self.b_size = (np.array(list(map(len, pieces)), np.int64) for pieces in (self.a_bytes, self.b_bytes))
         self.words = Words(self)
 
-    def a_ids(self, text: bytes) -> list[int]:
-        if LETTERS.fullmatch(text):  # one word of the first split: a single merge
-            return [t.id for t in self.a.model.tokenize(SPACE + text[1:].decode("latin-1").translate(BYTE_CHARS))]
-        return self.a.encode(text.decode(), add_special_tokens=False).ids
+    def a_ids(self, texts: list[bytes]) -> list[list[int]]:
+        """Letters behind a space are one word of the first split: a single merge. They are shown as bytes all at once."""
+        merged = [LETTERS.fullmatch(t) is not None for t in texts]
+        shown = b"\n".join(compress(texts, merged)).decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS[0x0A])
+        shown, merge = iter(shown), self.a.model.tokenize
+        return [[t.id for t in merge(next(shown))] if one else self.a.encode(t.decode(), add_special_tokens=False).ids
+                for t, one in zip(texts, merged)]
 
     def b_ids(self, texts: list[bytes]) -> list[list[int]]:
         """B puts a space before what it encodes; behind a line end, which it spells by its byte, the lone space is cut off.
@@ -198,16 +234,15 @@ class Speller:
         found = self.b.encode([t[1:].decode() if t[:1] == b" " else "\n" + t.lstrip(b"\n").decode() for t in texts], num_threads=1)
         return [ids if t[:1] == b" " else ids[1 if t[:1] == b"\n" else 2:] for t, ids in zip(texts, found)]
 
-    def spelt(self, text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int], bool]:
-        """The lengths of the tokens of both kinds, and whether they spell ``text``."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        return list(map(len, a_parts)), list(map(len, b_parts)), b"".join(a_parts) == text == b"".join(b_parts)
-
     def tokens(self, text: bytes) -> tuple[Tokens, bool]:
         """The tokens of ``text``, which starts with a space, and whether both kinds spell it."""
         a, b = self.a.encode(text.decode(), add_special_tokens=False).ids, self.b.encode(text[1:].decode())
-        a_len, b_len, ok = self.spelt(text, a, b)
-        return Tokens(*(np.array(c, np.int64) for c in (a, list(accumulate(a_len)), b, list(accumulate(b_len))))), ok
+        (a, a_len, _, a_ok), (b, b_len, _, b_ok) = self.spelt([text], [a], [b])
+        return Tokens(a, np.cumsum(a_len), b, np.cumsum(b_len)), bool(a_ok[0] and b_ok[0])
+
+    def spelt(self, texts: list[bytes], a: list[list[int]], b: list[list[int]]):
+        """For both kinds: ids, their lengths, the number of each one's text, and which texts they spell."""
+        return spelt(texts, a, self.a_bytes, self.a_size), spelt(texts, b, self.b_bytes, self.b_size)
 
     def aligned(self, texts: list[bytes]) -> list[Fragment]:
         """The fragments of whole texts that start with a space: the closed fragments of their words, composed."""
@@ -242,16 +277,27 @@ class Words:
         return self.links[np.repeat(self.start[at] - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())]
 
     def encode(self, words: list[bytes]) -> None:
-        texts, counts, links = [], [], []
-        for word, b in zip(words, self.tools.b_ids(words)):
-            a = self.tools.a_ids(word)
-            a_len, b_len, ok = self.tools.spelt(word, a, b)
-            text, groups, found = linked(a, a_len, b, b_len) if ok else (b"", -1, [])
-            texts.append(text)
-            counts.append((groups, len(a), len(b), len(found)))
-            links += found
-        if words:
-            self.extend(words, texts, np.array(counts, np.int64), np.array(links, np.int64))
+        """Number new words. Words begin and end at cuts, so those that are spelt are linked as one text."""
+        if not words:
+            return
+        (a, a_len, a_of, a_ok), (b, b_len, b_of, b_ok) = self.tools.spelt(
+            words, self.tools.a_ids(words), self.tools.b_ids(words))
+        ok = a_ok & b_ok
+        counts = np.stack([np.full(len(words), -1), np.bincount(a_of, minlength=len(words)),
+                           np.bincount(b_of, minlength=len(words)), np.zeros(len(words), np.int64)], axis=1)
+        texts, links = [b""] * len(words), NONE
+        if ok.any():
+            a_ok, b_ok = ok[a_of], ok[b_of]
+            found = linked(Tokens(a[a_ok], np.cumsum(a_len[a_ok]), b[b_ok], np.cumsum(b_len[b_ok])))
+            ends = np.cumsum([len(w) for w in compress(words, ok)])
+            last = np.searchsorted(found.cuts, ends)
+            counts[ok, 0] = np.diff(last, prepend=-1)
+            counts[ok, 3] = np.diff(np.searchsorted(found.link_end, ends, "right"), prepend=0)
+            begin = 0
+            for i, end in zip(np.flatnonzero(ok).tolist(), found.text_end[last].tolist()):
+                texts[i], begin = found.text[begin:end - 1], end
+            links = found.links
+        self.extend(words, texts, counts, links)
 
     def learn(self, words: set[bytes]) -> None:
         """Number the words that are new; letters with marks behind them are put together from both."""
