@@ -437,23 +437,36 @@ def demand_clusters(spark, sf):
 _MASTER = {
     **BT,
     "m_attr": "SELECT item_id, avg(y) AS avg_sales, stddev_samp(y) AS std_sales, max(y) AS max_sales, avg((y = 0)::INTEGER) AS zero_sales_ratio, "
-              "count(*) AS days FROM sku_series GROUP BY 1",
+              "count(*) AS days, max(ds) AS last_processed_date FROM sku_series GROUP BY 1",
     "m_pick": "SELECT item_id, CASE WHEN count(*) > 1 AND max(wape) < 50 THEN 'Ensemble' ELSE min_by(model, (wape, model)) END AS champion, "
-              "max(wape) FILTER (model = 'SMA') AS wape_sma, max(wape) FILTER (model = 'SeasonalNaive') AS wape_seasonalnaive FROM errors GROUP BY 1",
+              + ", ".join(f"max({e}) FILTER (model = '{m}') AS {e}_{m.lower()}" for m in ("SMA", "SeasonalNaive") for e in plan.MASTER_ERRORS)
+              + " FROM errors GROUP BY 1",
+    "m_bt": "SELECT model, item_id, win, step, y, yhat FROM bt UNION ALL SELECT 'Ensemble', item_id, win, step, y, sum(weight * yhat) FROM bt "
+            "JOIN bt_weights USING (item_id, model) GROUP BY item_id, win, step, y",
+    "m_errors": BT["errors"].replace("FROM bt ", "FROM m_bt "),
+    "m_scaled": "SELECT * FROM m_bt JOIN (SELECT model, item_id, mae AS scale FROM m_errors) USING (model, item_id)",
+    "m_q": _quantile_sql("m_scaled"),
     "m_models": "SELECT item_id, model, step, mean FROM sku_models UNION ALL SELECT item_id, 'Ensemble', step, sum(weight * mean) FROM sku_models "
                 "JOIN bt_weights USING (item_id, model) GROUP BY item_id, step",
+    "m_ahead": "SELECT m.item_id, m.step, m.mean, greatest(mean + coalesce(e.mae * q90, 0), 0) - greatest(mean + coalesce(e.mae * q10, 0), 0) AS width "
+               "FROM m_models m JOIN m_pick p ON p.item_id = m.item_id AND p.champion = m.model LEFT JOIN "
+               "(SELECT model, bucket, rq10 AS q10, rq90 AS q90 FROM m_q) q ON q.model = m.model AND q.bucket = (m.step - 1) // 30 "
+               "LEFT JOIN m_errors e ON e.model = m.model AND e.item_id = m.item_id",
     "m_roll": "SELECT item_id, avg(mean) AS f, sum(mean) FILTER (step <= 30) AS forecast_30d, sum(mean) FILTER (step <= 90) AS forecast_90d, "
-              "sum(mean) AS forecast_183d FROM m_models JOIN m_pick USING (item_id) WHERE model = champion GROUP BY 1",
+              "sum(mean) AS forecast_183d, avg(width) FILTER (step <= 30) AS ci_width_30d, avg(width) FILTER (step <= 90) AS ci_width_90d FROM m_ahead GROUP BY 1",
+    "m_own": "SELECT e.item_id, " + ", ".join(f"{e} AS champion_{e}" for e in plan.MASTER_ERRORS)
+             + " FROM m_errors e JOIN m_pick p ON p.item_id = e.item_id AND p.champion = e.model",
 }
-_MASTER_FIGURES = ("avg_sales", "std_sales", "max_sales", "zero_sales_ratio", "wape_sma", "wape_seasonalnaive", "forecast_30d",
-                   "forecast_90d", "forecast_183d")
+_MASTER_FIGURES = ("avg_sales", "std_sales", "max_sales", "zero_sales_ratio",
+                   *[f"{e}_{m}" for m in ("sma", "seasonalnaive") for e in plan.MASTER_ERRORS], *[f"champion_{e}" for e in plan.MASTER_ERRORS],
+                   "forecast_30d", "forecast_90d", "forecast_183d", "ci_width_30d", "ci_width_90d")
 
 
 @query("sku_master", v.sql(
-    "SELECT item_id AS sku_id, abc.class, champion, days, " + r(4, **{c: c for c in _MASTER_FIGURES},
+    "SELECT item_id AS sku_id, abc.class, champion, days, last_processed_date, " + r(4, **{c: c for c in _MASTER_FIGURES},
         safety_stock=f"{config.z_score(0.95)!r}::DOUBLE * std_sales * sqrt(21.0::DOUBLE)", lead_time_demand="f * 21")
-    + " FROM m_attr JOIN m_pick USING (item_id) JOIN m_roll USING (item_id) JOIN abc ON abc.sku = item_id", **_MASTER))
+    + " FROM m_attr JOIN m_pick USING (item_id) JOIN m_roll USING (item_id) JOIN m_own USING (item_id) JOIN abc ON abc.sku = item_id", **_MASTER))
 def sku_master(spark, sf):
     out = plan.sku_master(v.family(spark, sf))
     return rounded(out, 4, *_MASTER_FIGURES, "safety_stock", "lead_time_demand").select(
-        "sku_id", "class", "champion", "days", *_MASTER_FIGURES, "safety_stock", "lead_time_demand")
+        "sku_id", "class", "champion", "days", "last_processed_date", *_MASTER_FIGURES, "safety_stock", "lead_time_demand")

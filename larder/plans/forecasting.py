@@ -13,6 +13,8 @@ from larder.session import stage
 from larder.sources import sinks
 from larder.sources.artefacts import SavedModel
 
+MASTER_ERRORS = ("rmse", "mae", "mape", "wape", "r2")
+
 
 def item_series(sales: DataFrame) -> DataFrame:
     """Dense daily units per SKU and channel over the common span, empty days 0."""
@@ -120,23 +122,33 @@ def champion_rows(models: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def sku_master(sales: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """One row per SKU: attributes, class, errors per model, champion, roll-ups and priced stock figures.
+    """One row per SKU: attributes, class, errors per model and of the champion, roll-ups, interval widths and stock figures.
 
-    Rows of ``previous`` stay where the SKU was not sold in ``sales``.
+    ``champion_<error>`` is the backtest error of the model or blend that makes the forecast; ``ci_width_<days>d`` is the mean distance
+    between its outer quantiles over the first days. Rows of ``previous`` stay where the SKU was not sold in ``sales``.
     """
     daily = stage(sales.where(F.col("sku").isNotNull()).groupBy("sku", "ds").agg(F.sum("qty").alias("qty")), "daily-units")
     series, scored = backtested(sku_series(daily))
     errors = stage(ev.metrics(scored), "errors")
     models = stage(fc.sma(series).unionByName(fc.seasonal_naive(series)), "models")
-    wape = errors.groupBy("item_id").agg(*[
-        F.max(F.when(F.col("model") == m, F.col("wape"))).alias(f"wape_{m.lower()}") for m in ("SMA", "SeasonalNaive")])
-    rolls = champion_rows(models, errors).groupBy("item_id").agg(
+    blended = stage(blended_backtest(scored, errors), "blended")
+    scales = stage(fc.item_scales(blended), "scales")
+    ahead = fc.with_intervals(champion_rows(models, errors), fc.residual_quantiles(blended, scales), scales)
+    low, high = (f"q{round(p * 100)}" for p in (config.QUANTILE_LEVELS[0], config.QUANTILE_LEVELS[-1]))
+    rolls = stage(ahead.groupBy("item_id").agg(
         F.max("model").alias("champion"), F.avg("mean").alias("avg_forecast"),
-        *[F.sum(F.when(F.col("step") <= d, F.col("mean"))).alias(f"forecast_{d}d") for _, d in config.HORIZONS])
+        *[F.sum(F.when(F.col("step") <= d, F.col("mean"))).alias(f"forecast_{d}d") for _, d in config.HORIZONS],
+        *[F.avg(F.when(F.col("step") <= d, F.col(high) - F.col(low))).alias(f"ci_width_{d}d") for _, d in config.HORIZONS[:2]]), "rolls")
+    of_model = errors.groupBy("item_id").agg(*[
+        F.max(F.when(F.col("model") == m, F.col(e))).alias(f"{e}_{m.lower()}") for m in ("SMA", "SeasonalNaive") for e in MASTER_ERRORS])
+    of_champion = ev.metrics(blended).join(rolls.select("item_id", F.col("champion").alias("model")), ["item_id", "model"]).select(
+        "item_id", *[F.col(e).alias(f"champion_{e}") for e in MASTER_ERRORS])
+    seen = series.groupBy(F.col("item_id").alias("sku")).agg(F.max("ds").alias("last_processed_date"))
     attributes = segment.sku_attributes(series.withColumnRenamed("item_id", "sku"))
     price = sales.groupBy("sku").agg(F.avg(F.try_divide("revenue", "qty")).alias("price"))
     rows = (attributes.join(volume_classes(daily).select("sku", "class"), "sku", "left").join(price, "sku", "left")
-            .join(rolls.join(wape, "item_id").withColumnRenamed("item_id", "sku"), "sku", "left")
+            .join(rolls.join(of_model, "item_id").join(of_champion, "item_id").withColumnRenamed("item_id", "sku"), "sku", "left")
+            .join(seen, "sku", "left")
             .withColumn("demand_std", F.col("std_sales")))
     new = inventory.priced_metrics(rows).drop("demand_std", "holding_cost", "ordering_cost").withColumnRenamed("sku", "sku_id")
     return new if previous is None else sinks.upserted(previous, new, ["sku_id"]).select(*new.columns)
