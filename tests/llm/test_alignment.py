@@ -180,3 +180,25 @@ def test_words_are_forgotten_and_learnt_again(monkeypatch):
     want = [plain(op.EDGE._replace(closed=op.closed(tools.tokens(t)[0]))) for t in texts]
     for _ in range(2):
         assert [plain(tools.aligned([t])[0]) for t in texts] == want
+
+
+def test_texts_that_tokens_do_not_spell():
+    """Neither a wrong length nor wrong bytes of the right length spoil the texts beside them; texts may have no tokens."""
+    pieces = [b"", b"a", b"bc", b"xy"]
+    sizes = np.array([len(p) for p in pieces])
+    texts = [b"abc", b"abc", b"", b"a", b"bc", b"a"]
+    ids = [[1, 2], [1, 3], [], [2], [3], [1]]
+    flat, length, of, ok = op.spelt(texts, ids, pieces, sizes)
+    assert flat.tolist() == [1, 2, 1, 3, 2, 3, 1] and length.tolist() == [1, 2, 1, 2, 2, 2, 1]
+    assert of.tolist() == [0, 0, 1, 1, 3, 4, 5] and ok.tolist() == [True, False, True, False, False, True]
+    assert [len(c) for c in op.spelt([], [], pieces, sizes)] == [0] * 4
+
+
+def test_groups_and_links_of_neighbouring_words():
+    """Two words as one text: the first has A and B crossing, the second one token of each."""
+    tokens = op.Tokens(np.array([7, 12345, 3]), np.array([2, 5, 6]), np.array([10, 0, 99]), np.array([3, 5, 6]))
+    found = op.linked(tokens)
+    assert found.text == b"7,12345|10,0;3|99;" and found.cuts.tolist() == [5, 6] and found.text_end.tolist() == [13, 18]
+    assert [(p >> 32, p & 0xFFFFFFFF) for p in found.links.tolist()] == [(7, 10), (12345, 10), (12345, 0), (3, 99)]
+    assert found.link_end.tolist() == [2, 3, 5, 6]
+    assert op.closed(tokens).text == b"7,12345|10,0;3|99" and op.closed(op.NO_TOKENS) == op.NO_GROUPS
