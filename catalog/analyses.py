@@ -105,6 +105,17 @@ def top_seasonal_skus(spark, sf):
     return rounded(top.select("sku", "seasonal_strength"), 5, "seasonal_strength")
 
 
+@query("seasonal_events", v.sql(
+    "SELECT sku, is_seasonal, count, " + r(5, seasonal_strength="seasonal_strength", mean="mean", std="coalesce(std, 0)")
+    + ", " + ", ".join(f"coalesce({n}_sales, 0) AS {n}_sales" for n, *_ in v.EVENTS) + " FROM skus LEFT JOIN (SELECT sku, " + ", ".join(
+        f"sum(qty) FILTER (ds BETWEEN DATE '{d}' - {b} AND DATE '{d}' + {a}) AS {n}_sales" for n, d, b, a in v.EVENTS)
+    + " FROM family GROUP BY 1) USING (sku)", skus=_SKUS, **_S365))
+def seasonal_events(spark, sf):
+    """Seasonal strength and the units around each event, per SKU."""
+    out = seasonal.with_event_sales(seasonal_table(spark, sf), promo.event_sales(v.family(spark, sf), v.EVENTS))
+    return rounded(out, 5, "seasonal_strength", "mean", "std")
+
+
 _OWN_GAPS = ("SELECT i.item_id, c.ds, d.y FROM (SELECT item_id, min(ds) AS lo, max(ds) AS hi FROM sku_daily GROUP BY 1) i "
              "JOIN day_list c ON c.ds BETWEEN i.lo AND i.hi LEFT JOIN sku_daily d ON d.item_id = i.item_id AND d.ds = c.ds")
 

@@ -108,3 +108,9 @@ def seasonal_skus(sales: DataFrame, period: int = 365, threshold: float = 0.5,
     stats = daily.groupBy(key).agg(n.alias("count"), F.try_divide(total, n).alias("mean"), spread.alias("std"))
     return (strength(series, period, model, key).join(stats, key)
             .withColumn("is_seasonal", (F.col("seasonal_strength") >= threshold).cast("int")))
+
+
+def with_event_sales(skus: DataFrame, events: DataFrame, key: str = "sku") -> DataFrame:
+    """Seasonal SKUs with their units around each event next to them; 0 where a SKU sold nothing then, and for unknown figures."""
+    rest = [c for c in skus.columns if c != key] + [c for c in events.columns if c != key]
+    return skus.join(events, key, "left").fillna(0, subset=rest)
