@@ -1,6 +1,7 @@
 """Helpers shared by the operators: registration, row streams and word splitting."""
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,20 @@ def to_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(column, field.type) for column, field in zip(zip(*records), schema)], schema=schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, n_rows: int = 1024, n_bytes: int = 4 << 20):
+    """While plans are run in here, tasks hand so many rows or bytes to Python at a time: rows are texts and lists."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": n_rows, "spark.sql.execution.arrow.maxBytesPerBatch": n_bytes}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, limit in limits.items():
+        spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def free_name(wanted: str, docs: DataFrame) -> str:
     """``wanted``, made longer while ``docs`` has such a column (names are compared without case)."""
     taken = {c.lower() for c in docs.columns}

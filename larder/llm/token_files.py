@@ -11,7 +11,8 @@ file of independent blocks, so any block can be read alone. Layout, little-endia
 
 Files are written under a fresh name by each attempt and only those named in the manifest are read,
 so a lost or repeated task leaves no wrong data. What reaches the driver is bounded by the
-vocabulary (counts) and by the number of files (totals).
+vocabulary (counts) and by the number of files (totals). Texts and ids go to Python and back a few
+megabytes at a time, and the words that a worker holds are freed by the passes behind the encoding.
 
 Defined results: a null text is empty, an empty text is its end id alone; a null ``doc_id`` comes
 first; rows with equal ids are ordered by a hash of their text; an empty table gives no file and an
@@ -31,16 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.base import batched, query, rows, table, to_batch
+from larder.llm.base import batched, query, rows, small_batches, table, to_batch
 from larder.llm.files import opened_input, opened_output
 from larder.llm.huffman import Code, code_lengths
-from larder.llm.tokens import word_ids
+from larder.llm.tokens import release, word_ids
 from larder.session import new_path, stage
 
 MAGIC = b"HUFT"
 BLOCK_IDS = 1 << 18
 END_ID = 1
 VOCABULARY = 1 << 16
+BATCH_BYTES = 4 << 20
 HEAD = struct.Struct("<IQQQ")
 
 STAGED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("ids", pa.binary())])
@@ -54,15 +56,17 @@ def tokenised(docs: DataFrame, tokenizer: str, spaces: str) -> DataFrame:
     def run(batches):
         words, end = word_ids(tokenizer, spaces), END_ID.to_bytes(4, "little")
         return batched(((doc_id, tie, np.frombuffer(words.text(text or "") + end, "<u4").astype("<u2").tobytes())
-                        for doc_id, tie, text in rows(batches, "doc_id", "tie", "text")), STAGED)
+                        for doc_id, tie, text in rows(batches, "doc_id", "tie", "text")), STAGED, limit=BATCH_BYTES)
 
     rows_in = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return stage(rows_in.mapInArrow(run, "doc_id long, tie long, ids binary"), "token-ids")
+    with small_batches(docs.sparkSession):
+        return stage(rows_in.mapInArrow(run, "doc_id long, tie long, ids binary"), "token-ids")
 
 
 def id_counts(staged: DataFrame) -> np.ndarray:
     """How often each id occurs; at most ``VOCABULARY`` rows reach the driver."""
     def run(batches):
+        release()
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2")
@@ -73,8 +77,9 @@ def id_counts(staged: DataFrame) -> np.ndarray:
 
     summed = staged.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(VOCABULARY, np.int64)
-    for id_, n in summed.collect():
-        counts[id_] = n
+    with small_batches(staged.sparkSession):
+        for id_, n in summed.collect():
+            counts[id_] = n
     return counts
 
 
@@ -94,6 +99,7 @@ def write_files(staged: DataFrame, lengths: np.ndarray, folder: str) -> DataFram
     packed = zlib.compress(lengths.tobytes())
 
     def run(batches):
+        release()
         part, code = TaskContext.get().partitionId(), Code(lengths)
         path, sink = f"{folder}/{part:06d}-{uuid.uuid4().hex}.huft", None
         held, held_ids, n_docs, n_ids = [], 0, 0, 0
@@ -115,8 +121,9 @@ def write_files(staged: DataFrame, lengths: np.ndarray, folder: str) -> DataFram
             yield to_batch([(part, path, n_docs, n_ids)], MANIFEST)
 
     ordered = staged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stage(ordered.select("doc_id", "ids").mapInArrow(
-        run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
+    with small_batches(staged.sparkSession):
+        return stage(ordered.select("doc_id", "ids").mapInArrow(
+            run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def file_blocks(path: str) -> Iterator[tuple[list, np.ndarray, int, np.ndarray]]:
@@ -153,7 +160,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     ends = np.cumsum(n_tokens)
                     for doc_id, n, end in zip(doc_ids, n_tokens.tolist(), ends.tolist()):
                         yield doc_id, start + before + end - n, n, ids[end - n:end].astype("<u4").tobytes()
-        return batched(docs(), DECODED)
+        release()
+        return batched(docs(), DECODED, limit=BATCH_BYTES)
 
     paths = spark.createDataFrame(listed, "path string, start long")
     if listed:

@@ -16,6 +16,7 @@ import string
 from array import array
 from functools import lru_cache
 
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000  # pieces of each of two generations
@@ -127,3 +128,10 @@ def tail_ids(words: WordIds, marks: str) -> bytes:
 def word_ids(path: str, spaces: str) -> WordIds:
     """One table per worker process and tokenizer file."""
     return WordIds(path, spaces)
+
+
+def release() -> None:
+    """Free the words that this worker process holds; called by passes that encode nothing."""
+    word_ids.cache_clear()
+    tail_ids.cache_clear()
+    pa.default_memory_pool().release_unused()

@@ -6,12 +6,14 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from larder.llm import token_files
+from larder.llm.base import small_batches
 from larder.llm.huffman import Code, code_lengths
 
 FOLDER = "/root/testdata/sf0.001"
@@ -87,3 +89,33 @@ def test_edge_rows(spark):
     assert sorted(got, key=lambda r: r[1]) == brute(data)
     empty = token_files.write_tokens(docs.limit(0), path, "dropped")
     assert token_files.read_files(empty).collect() == []
+
+
+LIMITS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limits(spark):
+    return tuple(spark.conf.get(name, None) for name in LIMITS)
+
+
+def test_small_batches_bound_the_bytes(spark):
+    docs = spark.range(0, 64, numPartitions=1).selectExpr("repeat('word ', 40000) text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    before = limits(spark)
+    with small_batches(spark, n_bytes=1 << 20):
+        found = docs.mapInArrow(run, "n long, size long").collect()
+    assert sum(r.n for r in found) == 64 and max(r.size for r in found) <= (1 << 20) + 210_000
+    assert limits(spark) == before
+
+
+def test_every_pass_over_rows_takes_small_batches(spark, monkeypatch):
+    seen, stage, before = {}, token_files.stage, limits(spark)
+    monkeypatch.setattr(token_files, "stage", lambda df, label: seen.update({label: limits(spark)}) or stage(df, label))
+    token_files.write_tokens(spark.createDataFrame([(1, "a b")], "doc_id long, text string"),
+                             public_tokenizers.path("word_bpe_49k.json"), "dropped")
+    assert seen == dict.fromkeys(["token-ids", "token-manifest"], ("1024", str(4 << 20)))
+    assert limits(spark) == before

@@ -1,5 +1,6 @@
 """Piecewise encoding equals encoding of the whole text."""
 
+import weakref
 from array import array
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from larder.llm.tokens import word_ids
+from larder.llm.tokens import release, word_ids
 
 FILES = {"dropped": "word_bpe_49k.json", "leading": "byte_bpe_50k.json"}
 TEXT = st.text(st.sampled_from("abSTréÉİŁø ß'.,!\n\t 19<|>́  ≠　ǅΣ\x1c\r*"), max_size=40)
@@ -38,6 +39,15 @@ def test_generations_keep_the_ids(monkeypatch):
     assert len(words) <= 4
 
 
+def test_release_frees_the_words():
+    words = word_ids(public_tokenizers.path(FILES["dropped"]), "dropped")
+    words.text("a few words, ended by marks!")
+    held = weakref.ref(words)
+    del words
+    release()
+    assert held() is None and not word_ids.cache_info().currsize
+
+
 PARTS = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "end", "It's", "É", " ", "\n", "\t", ".", "<", "1"])
 
 
