@@ -25,7 +25,7 @@ table gives an empty result; other columns are not read.
 
 import pickle
 import re
-from contextlib import contextmanager
+import weakref
 from functools import lru_cache
 from itertools import chain, compress
 from typing import NamedTuple
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.base import batched, query, rows, table
+from larder.llm.base import batched, query, rows, small_batches, table
 from larder.llm.tokens import BYTE_CHARS
 from larder.session import stage
 
@@ -47,7 +47,8 @@ FAN = 16
 FREQUENT = 1 << 20
 CACHE_WORDS = 60_000
 GROUP_DOCS = 128
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+BATCH_BYTES, READ_ROWS, ROW_GROUP = 4 << 20, 512, 16 << 20
+HELD_PAIRS = 1 << 20
 
 NONE = np.empty(0, np.int64)
 # Characters whose neighbourhood is known: printing ASCII and U+00C0 to U+00FF.
@@ -253,7 +254,7 @@ class Words:
     """Closed fragments of words, by a number per word. Cleared when ``CACHE_WORDS`` are held."""
 
     def __init__(self, tools: Speller):
-        self.tools = tools
+        self.tools = weakref.proxy(tools)  # who holds these words; a cycle would outlive its last use
         self.clear()
 
     def clear(self) -> None:
@@ -349,6 +350,13 @@ def speller(a_path: str, b_path: str) -> Speller:
     return Speller(a_path, b_path)
 
 
+def release() -> None:
+    """Free the tokenizers that this worker process holds; called by passes that encode nothing."""
+    speller.cache_clear()
+    numerals.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def ranges(text: bytes, size: int) -> list[tuple]:
     """(first, end, base, bytes): ranges of about ``size`` bytes with the text around each, from place to place.
 
@@ -393,18 +401,6 @@ def unpacked(raw: bytes) -> Fragment:
     return Fragment(cut, Tokens(*prefix), Closed(*groups), Tokens(*suffix), spelt)
 
 
-@contextmanager
-def small_batches(spark):
-    """While plans are run in here, tasks hand ``BATCH_ROWS`` rows to Python at a time: rows are texts and lists."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def groups(batches, size: int):
     """(doc_id, text) of ``size`` rows at a time; only these become Python values."""
     for batch in batches:
@@ -433,10 +429,11 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str, size: int) -> DataFram
                     for number, cut in enumerate(dealt):
                         yield (doc_id, *(None,) * 6, key, number, len(dealt), *cut)
             tools.words.clear()  # an idle worker holds no words
+            pa.default_memory_pool().release_unused()
         return batched(found(), FINAL, limit=BATCH_BYTES)
 
-    with small_batches(docs.sparkSession):
-        return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows")
+    with small_batches(docs.sparkSession, n_read=READ_ROWS):
+        return stage(docs.select("doc_id", "text").mapInArrow(run, FINAL_DDL), "alignment-rows", ROW_GROUP)
 
 
 def fragments(long: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -491,8 +488,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, size: int = RANGE, fan
         return batched((finished(doc_id, compose(EDGE, unpacked(raw)))[:7] for doc_id, raw in
                         rows(batches, "doc_id", "fragment")), pa.schema(list(FINAL)[:7]))
 
-    with small_batches(docs.sparkSession):
-        return done.unionByName(stage(parts.mapInArrow(run, ", ".join(FINAL_DDL.split(", ")[:7])), "alignment-long"))
+    with small_batches(docs.sparkSession, n_read=READ_ROWS):
+        return done.unionByName(stage(parts.mapInArrow(run, ", ".join(FINAL_DDL.split(", ")[:7])), "alignment-long", ROW_GROUP))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -506,21 +503,22 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             np.add.at(n, at, np.concatenate([t for _, t in held]))
             return pairs, n
 
+        release()
         size = 0
         for pairs, times in rows(batches, "pairs", "times"):
             held.append((np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int32)))
             size += len(held[-1][0])
-            if size >= 1 << 21:
+            if size >= HELD_PAIRS:
                 held = [flushed()]
                 size = len(held[0][0])
-                if size >= 1 << 20:
+                if 2 * size >= HELD_PAIRS:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["pair", "n"])
                     size = 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in flushed()], names=["pair", "n"])
 
     partial = aligned.select("pairs", "times").mapInArrow(run, "pair long, n long")
-    with small_batches(aligned.sparkSession):
+    with small_batches(aligned.sparkSession, n_read=READ_ROWS):
         return stage(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
 
 
@@ -553,6 +551,7 @@ def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
                        ("rest", pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))])
 
     def run(batches):
+        release()
         table_, n, is_best = shared.value
         for batch in batches:
             out = []
@@ -570,8 +569,8 @@ def with_counts(aligned: DataFrame, limit: int = FREQUENT) -> DataFrame:
     kept = [c for c in aligned.columns if c not in ("pairs", "times")]
     new = {"n_links": "long", "n_best": "long", "count_sum": "long", "rest": "array<struct<pair: long, times: long>>"}
     schema = aligned.select(*kept, *[F.lit(None).cast(kind).alias(c) for c, kind in new.items()]).schema
-    with small_batches(aligned.sparkSession):
-        out = stage(aligned.mapInArrow(run, schema), "alignment-counted")
+    with small_batches(aligned.sparkSession, n_read=READ_ROWS):
+        out = stage(aligned.mapInArrow(run, schema), "alignment-counted", ROW_GROUP)
     if least == 1:
         return out.drop("rest")
     place = F.struct("_metadata.file_path", "_metadata.row_index").alias("at")

@@ -61,9 +61,13 @@ def to_batch(records: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, n_rows: int = 1024, n_bytes: int = 4 << 20):
-    """While plans are run in here, tasks hand so many rows or bytes to Python at a time: rows are texts and lists."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": n_rows, "spark.sql.execution.arrow.maxBytesPerBatch": n_bytes}
+def small_batches(spark: SparkSession, n_rows: int = 1024, n_bytes: int = 4 << 20, n_read: int = 4096):
+    """While plans are run in here, tasks hand so many rows or bytes to Python at a time: rows are texts and lists.
+
+    Files are read ``n_read`` rows at a time, 4,096 being what Spark does by itself.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": n_rows, "spark.sql.execution.arrow.maxBytesPerBatch": n_bytes,
+              "spark.sql.parquet.columnarReaderBatchSize": n_read}
     before = {name: spark.conf.get(name, None) for name in limits}
     for name, limit in limits.items():
         spark.conf.set(name, str(limit))

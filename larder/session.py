@@ -68,12 +68,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with its own schema.
 
     Used where several branches read the same aggregate: the source is scanned once, the
-    lineage is cut and a lost executor costs a file read, not a recomputation.
+    lineage is cut and a lost executor costs a file read, not a recomputation. Tasks hold a row group of
+    the files that they write or read: ``row_group`` bytes, by default Parquet's 128 MB.
     """
     path = new_path(df.sparkSession, label)
-    df.write.mode("error").parquet(path)
+    options = {} if row_group is None else {"parquet.block.size": row_group}
+    df.write.mode("error").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -12,8 +13,10 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from larder.llm import alignment as op
+from larder.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
 PATHS = public_tokenizers.path(op.A_FILE), public_tokenizers.path(op.B_FILE)
@@ -202,3 +205,33 @@ def test_groups_and_links_of_neighbouring_words():
     assert [(p >> 32, p & 0xFFFFFFFF) for p in found.links.tolist()] == [(7, 10), (12345, 10), (12345, 0), (3, 99)]
     assert found.link_end.tolist() == [2, 3, 5, 6]
     assert op.closed(tokens).text == b"7,12345|10,0;3|99" and op.closed(op.NO_TOKENS) == op.NO_GROUPS
+
+
+def test_a_worker_frees_its_tokenizers():
+    held = weakref.ref(op.speller(*PATHS))
+    op.release()
+    assert held() is None and not op.speller.cache_info().currsize
+
+
+def test_staged_rows_have_small_row_groups(spark):
+    rows = spark.range(0, 4000, numPartitions=1).selectExpr(
+        "id", "concat_ws('', transform(sequence(1, 30), i -> sha2(concat(id, '-', i), 256))) text")
+    found = stage(rows, "row-groups", 1 << 20)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in found.inputFiles()]
+    assert groups[0] > 3 and found.count() == 4000
+
+
+def test_every_pass_over_rows_takes_little_at_a_time(spark, monkeypatch):
+    seen, names = {}, ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+    def noted(df, label, *row_group):
+        seen[label] = (*(spark.conf.get(name, None) for name in names), *row_group)
+        return stage(df, label, *row_group)
+
+    before = [spark.conf.get(name, None) for name in names]
+    monkeypatch.setattr(op, "stage", noted)
+    docs = spark.createDataFrame([(1, "a b"), (2, "long words " * 9)], "doc_id long, text string")
+    assert op.with_counts(op.alignments(docs, *PATHS, size=20)).count() == 2
+    few = str(op.BATCH_BYTES), str(op.READ_ROWS)
+    assert {seen[k] for k in ("alignment-rows", "alignment-long", "alignment-counted")} == {(*few, op.ROW_GROUP)}
+    assert seen["pair-counts"] == few and [spark.conf.get(name, None) for name in names] == before
