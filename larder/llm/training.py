@@ -44,7 +44,8 @@ def fitted(sample: DataFrame, fit) -> bytes:
 
 
 def scored(docs: DataFrame, model: bytes, load, score, into: str = "score") -> DataFrame:
-    """``docs`` with a column ``into``: ``score(load(model), texts) -> float64 array`` per batch."""
+    """``docs`` with a column ``into``: ``score(load(model), texts) -> float64 array`` per batch. A column of that name is replaced."""
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
