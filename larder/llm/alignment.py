@@ -45,7 +45,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANGE = 1 << 16
 FAN = 16
 FREQUENT = 1 << 20
-CACHE_WORDS = 60_000
+CACHE_WORDS = 240_000
 GROUP_DOCS = 128
 BATCH_BYTES, READ_ROWS, ROW_GROUP = 4 << 20, 512, 16 << 20
 HELD_PAIRS = 1 << 20
