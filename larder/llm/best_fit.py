@@ -12,6 +12,8 @@ entry of the plan, and an entry names the pieces by their rank among pieces of t
 its place in its scan partition and the counts of the partitions before, and looks up its sequence in the
 plan. Neither a length that a third of all pieces have nor a long document meets in one task.
 
+Texts are encoded a batch of a few megabytes at a time, and each different word of a batch is looked up once.
+
 Bounds: a plan has an entry per length and group of sequences that it is added to; there are at most
 ``capacity`` lengths, and each adds at most two groups, so it has fewer than 2 * capacity ** 2 entries, and a few thousand
 in practice. It is broadcast.
@@ -29,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.base import batched, query, rows, table
+from larder.llm.base import batched, query, small_batches, table
 from larder.llm.tokens import word_ids
 from larder.session import stage
 
 CAPACITY = 1024
 END_ID = 2
+BATCH_BYTES = 4 << 20
+ROW_GROUP = 16 << 20  # of the staged pieces
 
 PIECES = "doc_id long, piece int, start long, length long, part int, nth long, ids binary"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -126,14 +130,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, spaces: str = "leading", capac
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
 
         def found():
-            for doc_id, text in rows(batches, "doc_id", "text"):
-                ids = words.text(text or "") + end
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    yield doc_id, piece, start, length, part, seen[length], ids[4 * start:4 * (start + length)]
-                    seen[length] += 1
-        return batched(found(), ARROW)
-
-    return stage(docs.select("doc_id", "text").mapInArrow(run, PIECES), "packing-pieces")
+            for batch in batches:
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.texts(batch["text"])):
+                    ids += end
+                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                        yield doc_id, piece, start, length, part, seen[length], ids[4 * start:4 * (start + length)]
+                        seen[length] += 1
+        return batched(found(), ARROW, limit=BATCH_BYTES)
+
+    with small_batches(docs.sparkSession, n_bytes=BATCH_BYTES):
+        return stage(docs.select("doc_id", "text").mapInArrow(run, PIECES), "packing-pieces", ROW_GROUP)
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library.
 
 Encoding is split at white space, where a token can never span, so that a word is encoded once per
-worker and then looked up. The cut is exact for the two supported pre-tokenizers:
+worker and then looked up, one text at a time (``text``) or a column of texts at once (``texts``). The cut is
+exact for the two supported pre-tokenizers:
 
 * ``spaces="dropped"``: white space separates words and is not encoded (word BPE);
 * ``spaces="leading"``: a single space belongs to the word after it (byte-level BPE). Any other run
@@ -14,9 +15,12 @@ white space, and a piece with one is encoded as it stands.
 import re
 import string
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000  # pieces of each of two generations
@@ -38,6 +42,8 @@ def _byte_chars() -> dict[int, str]:
 
 BYTE_CHARS = _byte_chars()
 SPACE = BYTE_CHARS[0x20]
+# What is shown for Latin letters that are no single byte.
+SHOWN = {n: chr(n).encode().decode("latin-1").translate(BYTE_CHARS) for n in range(0xC0, 0x250)}
 
 
 class Irregular(Exception):
@@ -54,6 +60,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # Whether no added token can be in letters with marks behind them.
+        self.plain = not any(not (stem := token.rstrip(MARKS)) or stem.isalpha() for token in self.added)
         self.leading = spaces == "leading"
         self.older: dict[str, bytes] = {}
         self.newline = self.raw("\n")
@@ -69,14 +77,17 @@ class WordIds(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
+            self.turn()
         out = self.older.get(piece)
         if out is None:
             out = self.encoded(piece)
         self[piece] = out
         return out
 
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
     def encoded(self, piece: str) -> bytes:
         added = any(token in piece for token in self.added)
         stem = piece.rstrip(MARKS)
@@ -118,6 +129,60 @@ class WordIds(dict):
         except Irregular:
             return self.raw(text)
 
+    def regular(self, piece: str) -> bytes | None:
+        try:
+            return self[piece] if piece else None
+        except Irregular:
+            return None
+
+    def looked_up(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of different pieces that a space precedes; None where a text with the piece is encoded whole."""
+        if len(self) >= CACHE_WORDS:
+            self.turn()
+        out, merge, plain = list(map(self.get, pieces)), self.tokenizer.model.tokenize, self.plain
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            piece = pieces[i]
+            ids = self.older.get(piece)
+            if ids is None:
+                stem = piece if piece.isalpha() else piece.rstrip(MARKS)
+                if plain and stem.isascii() and stem.isalpha():
+                    shown = SPACE + stem
+                elif plain and LATIN.fullmatch(stem):
+                    shown = SPACE + stem.translate(SHOWN)
+                else:
+                    out[i] = self.regular(piece)
+                    continue
+                ids = self.get(stem) or self.older.get(stem)
+                if ids is None:
+                    self[stem] = ids = array("I", [token.id for token in merge(shown)]).tobytes()
+                if len(stem) < len(piece):
+                    ids += tail_ids(self, piece[len(stem):])
+            self[piece] = out[i] = ids
+        return out
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """``text`` of each, null being empty; behind leading spaces a piece is looked up once for all texts."""
+        texts = pc.fill_null(texts, "")
+        if not self.leading or not len(texts):
+            yield from map(self.text, texts.to_pylist())
+            return
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        at, pieces = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        index, words = np.array(pieces.indices), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = self.looked_up(words)
+        odd = np.fromiter((ids is None for ids in found), bool, len(found))
+        whole = np.logical_or.reduceat(odd[index], at[:-1]).tolist()
+        firsts = index[at[:-1]].tolist()
+        index[at[:-1]] = len(words)  # no space precedes the first piece, which is encoded by itself
+        joined = pa.array([*found, b""], pa.large_binary()).take(pa.array(index))
+        _, ends, data = joined.buffers()
+        ends, data = np.frombuffer(ends, np.int64)[at].tolist(), memoryview(data or b"")
+        for i, (first, start, end) in enumerate(zip(firsts, ends, ends[1:])):
+            if whole[i]:
+                yield self.raw(texts[i].as_py())
+            else:
+                yield b"".join((self.raw(words[first]), data[start:end]))
+
 
 @lru_cache(maxsize=4096)
 def tail_ids(words: WordIds, marks: str) -> bytes:

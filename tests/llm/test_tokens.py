@@ -5,6 +5,7 @@ from array import array
 from functools import lru_cache
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,49 @@ def test_id_of_the_added_token():
     for spaces, id_ in (("leading", 50256), ("dropped", 49407)):
         ids = word_ids(public_tokenizers.path(FILES[spaces]), spaces).text("end <|endoftext|> of")
         assert id_ in array("I", ids)
+
+
+def ids_of_column(words, texts, kind=pa.string()):
+    return [array("I", bytes(ids)).tolist() for ids in words.texts(pa.array(texts, kind))]
+
+
+@pytest.mark.parametrize("held", [3, 400_000])
+@pytest.mark.parametrize("spaces", sorted(FILES))
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.none() | TEXT | st.lists(PARTS, max_size=8).map("".join), max_size=6))
+@example(texts=["", None, " ", "\n", "a", " a", "a b", "a  b", "a\n\nb", "a\nb", "a\tb c", "a b\tc", "a b\u00a0c"])
+@example(texts=["réé, é. Élan! Größe; ß? łó<|endoftext|> É<|endoftext|>, ab<|endoftext|>. don't! it's", "réé é Élan É"])
+@example(texts=[None, ""])
+def test_columns_as_in_the_untouched_library(spaces, held, texts):
+    from larder.llm import tokens
+    path = public_tokenizers.path(FILES[spaces])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "CACHE_WORDS", held)
+        words = fresh(path, spaces, held)
+        want = [untouched(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids_of_column(words, texts) == want
+        assert ids_of_column(words, texts, pa.large_string()) == want
+
+
+@lru_cache
+def fresh(path, spaces, held):
+    from larder.llm import tokens
+    return tokens.WordIds(path, spaces)
+
+
+def test_added_tokens_of_marks_in_columns(tmp_path):
+    from larder.llm import tokens
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(FILES["leading"]))
+    tokenizer.add_tokens(["!!", "."])
+    tokenizer.save(str(tmp_path / "more.json"))
+    words, texts = tokens.WordIds(str(tmp_path / "more.json"), "leading"), ["to end!! it. So, no", "end!!. it"]
+    assert ids_of_column(words, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_piece_is_looked_up_once_for_a_column(monkeypatch):
+    from larder.llm import tokens
+    words, asked = fresh(public_tokenizers.path(FILES["leading"]), "leading", 400_000), []
+    monkeypatch.setattr(tokens.WordIds, "looked_up", lambda self, pieces, of=tokens.WordIds.looked_up:
+                        asked.extend(pieces) or of(self, pieces))
+    list(words.texts(pa.array(["some words and more words", "two words and more"] * 50)))
+    assert sorted(asked) == ["and", "more", "some", "two", "words"]
