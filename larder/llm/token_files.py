@@ -12,7 +12,8 @@ file of independent blocks, so any block can be read alone. Layout, little-endia
 Files are written under a fresh name by each attempt and only those named in the manifest are read,
 so a lost or repeated task leaves no wrong data. What reaches the driver is bounded by the
 vocabulary (counts) and by the number of files (totals). Texts and ids go to Python and back a few
-megabytes at a time, and the words that a worker holds are freed by the passes behind the encoding.
+megabytes at a time, each different word of such a batch is looked up once, and the words that a worker
+holds are freed by the passes behind the encoding.
 
 Defined results: a null text is empty, an empty text is its end id alone; a null ``doc_id`` comes
 first; rows with equal ids are ordered by a hash of their text; an empty table gives no file and an
@@ -55,8 +56,12 @@ def tokenised(docs: DataFrame, tokenizer: str, spaces: str) -> DataFrame:
     """doc_id, a tie-breaker and the ids as 16-bit integers, staged."""
     def run(batches):
         words, end = word_ids(tokenizer, spaces), END_ID.to_bytes(4, "little")
-        return batched(((doc_id, tie, np.frombuffer(words.text(text or "") + end, "<u4").astype("<u2").tobytes())
-                        for doc_id, tie, text in rows(batches, "doc_id", "tie", "text")), STAGED, limit=BATCH_BYTES)
+
+        def found():
+            for batch in batches:
+                for (doc_id, tie), ids in zip(rows([batch], "doc_id", "tie"), words.texts(batch["text"])):
+                    yield doc_id, tie, np.frombuffer(ids + end, "<u4").astype("<u2").tobytes()
+        return batched(found(), STAGED, limit=BATCH_BYTES)
 
     rows_in = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     with small_batches(docs.sparkSession):

@@ -31,6 +31,8 @@ MARKS = "".join(c for c in string.punctuation if c != "'")
 
 # Letters that no normaliser changes but for their case; a run of them is a single token of the first split.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+# Those among them whose lower case is among them too.
+LOWERED = "".join(c for c in map(chr, range(0x250)) if LATIN.fullmatch(c) and LATIN.fullmatch(c.lower()))
 
 
 def _byte_chars() -> dict[int, str]:
@@ -160,14 +162,50 @@ class WordIds(dict):
             self[piece] = out[i] = ids
         return out
 
+    def merged(self, stems: list[str]) -> list[bytes]:
+        """The ids of different runs of small Latin letters; none for an empty one."""
+        if len(self) >= CACHE_WORDS:
+            self.turn()
+        out, merge = list(map(self.get, stems)), self.tokenizer.model.tokenize
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            stem = stems[i]
+            ids = self.older.get(stem)
+            if ids is None:
+                shown = stem if stem.isascii() else stem.translate(SHOWN)
+                ids = array("I", [token.id for token in merge(shown)]).tobytes()
+            self[stem] = out[i] = ids
+        return out
+
+    def dropped(self, pieces: pa.Array) -> pa.Array:
+        """The ids of different pieces between dropped spaces.
+
+        A piece of Latin letters and marks behind them is looked up as its letters in lower case and its marks, any
+        other as a whole.
+        """
+        rest = pc.utf8_ltrim(pieces, LOWERED if self.plain else "")
+        lettered = pc.and_(pc.less(pc.binary_length(rest), pc.binary_length(pieces)),
+                           pc.equal(pc.utf8_rtrim(rest, MARKS), ""))
+        stems = pc.utf8_lower(pc.utf8_rtrim(pieces, MARKS))
+        stems = pc.if_else(lettered, stems, pa.scalar("", pieces.type)).dictionary_encode()
+        rest = pc.if_else(lettered, rest, pieces).dictionary_encode()
+        first = self.merged(stems.dictionary.to_numpy(zero_copy_only=False).tolist())
+        then = [self[piece] if piece else b"" for piece in rest.dictionary.to_pylist()]
+        return pc.binary_join_element_wise(
+            pa.array(first, pa.large_binary()).take(stems.indices), pa.array(then, pa.large_binary()).take(rest.indices),
+            pa.scalar(b"", pa.large_binary()))
+
     def texts(self, texts: pa.Array) -> Iterator[bytes]:
-        """``text`` of each, null being empty; behind leading spaces a piece is looked up once for all texts."""
+        """``text`` of each, null being empty; a piece (not the first, before leading spaces) is looked up once for all texts."""
         texts = pc.fill_null(texts, "")
-        if not self.leading or not len(texts):
-            yield from map(self.text, texts.to_pylist())
+        if not len(texts):
             return
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.leading else " "), " ")
         at, pieces = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        if not self.leading:
+            _, ends, data = self.dropped(pieces.dictionary).take(pieces.indices).buffers()
+            ends, data = np.frombuffer(ends, np.int64)[at].tolist(), memoryview(data or b"")
+            yield from (bytes(data[start:end]) for start, end in zip(ends, ends[1:]))
+            return
         index, words = np.array(pieces.indices), pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = self.looked_up(words)
         odd = np.fromiter((ids is None for ids in found), bool, len(found))

@@ -118,3 +118,23 @@ def test_a_piece_is_looked_up_once_for_a_column(monkeypatch):
                         asked.extend(pieces) or of(self, pieces))
     list(words.texts(pa.array(["some words and more words", "two words and more"] * 50)))
     assert sorted(asked) == ["and", "more", "some", "two", "words"]
+
+
+def test_letters_and_marks_are_looked_up_once_for_a_column(monkeypatch):
+    from larder.llm import tokens
+    words, asked = tokens.WordIds(public_tokenizers.path(FILES["dropped"]), "dropped"), []
+    for name in ("get", "__getitem__"):
+        monkeypatch.setattr(tokens.WordIds, name, lambda self, piece, of=getattr(dict, name): asked.append(piece) or of(self, piece),
+                            raising=False)
+    list(words.texts(pa.array(["Some words, and  more Words.", "two WORDS! and\nmore 1"] * 50)))
+    assert sorted(asked) == ["", "!", ",", ".", "1", "and", "more", "some", "two", "words"]
+
+
+@pytest.mark.parametrize("spaces", sorted(FILES))
+def test_every_letter_in_columns(spaces):
+    from larder.llm import tokens
+    path = public_tokenizers.path(FILES[spaces])
+    letters = [chr(n) for n in range(0x20, 0x400)] + ["\u1e9e", "\u212a", "\u212b", "\u2c7e"]
+    texts = [t for c in letters for t in (c, f"a{c} {c}, B{c}b{c}!", f"{c}\u0301 {c}<\u0338 {c}'s. .{c}")]
+    assert ids_of_column(fresh(path, spaces, 400_000), texts) == \
+        [untouched(path).encode(t, add_special_tokens=False).ids for t in texts]
