@@ -9,7 +9,7 @@ from catalog.base import query, r, rounded
 from larder import schemas
 from larder.operators import monitor, profile
 from larder.plans import forecasting as plan
-from larder.session import new_path
+from larder.session import freed_shuffles, new_path, stage
 from larder.sources import orders as od
 from larder.sources import sinks, snapshots, tables
 
@@ -186,13 +186,14 @@ def table_profile(spark, sf):
 @query("table_profile_merged", v.sql(f"SELECT *, true AS distinct_near, true AS median_near FROM ({_PROFILE_SQL})"))
 def table_profile_merged(spark, sf):
     """The profile from stored rows per day; its estimates are compared with the exact figures of the table."""
-    sales, path = v.sales(spark, sf), new_path(spark, "profile-days")
-    profile.daily_profile(sales, list(_PROFILED), "qty").write.parquet(path)
-    out = profile.merged_profile(spark.read.parquet(path))
-    exact = sales.agg(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.countDistinct(c).alias("d"), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55))).alias("m")) for c in _PROFILED])
-        .alias("e")).select(F.inline("e"))
-    both = out.join(exact, "column_name").withColumns({
-        "distinct_near": F.abs(F.col("distinct_approx") - F.col("d")) <= 0.06 * F.col("d") + 1,
-        "median_near": F.col("median_approx").between(F.col("m")[0], F.col("m")[1])})
-    return rounded(both.drop("distinct_approx", "median_approx", "d", "m"), 3, "mean", "std", "corr_target")
+    path = new_path(spark, "profile-days")
+    with freed_shuffles(spark):
+        sales = stage(v.sales(spark, sf).select("ds", *_PROFILED), "profiled")
+        profile.daily_profile(sales, list(_PROFILED), "qty").write.parquet(path)
+        out = profile.merged_profile(spark.read.parquet(path))
+        exact = profile.exact_profile(sales, list(_PROFILED), {"low": 0.45, "high": 0.55})
+    d = F.coalesce("distinct", F.lit(0))
+    both = out.join(exact, "column_name", "left").withColumns({
+        "distinct_near": F.abs(F.col("distinct_approx") - d) <= 0.06 * d + 1,
+        "median_near": F.col("median_approx").between(F.col("low"), F.col("high"))})
+    return rounded(both.drop("distinct_approx", "median_approx", "distinct", "low", "high"), 3, "mean", "std", "corr_target")

@@ -49,12 +49,12 @@ def ranked(df: DataFrame, order: list[Column], group: tuple[str, ...] = ()) -> D
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float],
-              group: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+              group: tuple[str, ...] = (), weight: str | None = None, distinct: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, whatever the group's size.
 
     Equal values are counted before the sort, so a heavily repeated value is one row. Use
     ``percentile`` instead where a group is bounded, such as days of one item. ``weight`` names a
-    column of counts, where equal values are already counted.
+    column of counts, where equal values are already counted; ``distinct`` one to add, of the different values.
     """
     number = F.sum(weight) if weight else F.count(F.lit(1))
     counted = (df.where(F.col(value).isNotNull())
@@ -69,8 +69,10 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float],
     for name, p in probs.items():
         pos = (F.col("total_n") - 1) * F.lit(float(p))
         aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}")]
+    if distinct:
+        aggs.append(F.count(F.lit(1)).alias(distinct))
     found = run.groupBy(*group).agg(*aggs)
-    out = []
+    out = [distinct] if distinct else []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
         share = pos - F.floor(pos)

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.operators import ordered
+
 
 def profile(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Count, nulls, distinct estimate, range, moments, median estimate and correlation.
@@ -60,3 +62,13 @@ def merged_profile(days: DataFrame) -> DataFrame:
         mean.alias("mean"), spread.alias("std"),
         F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("quantiles", F.lit(0.5))).alias("median_approx"),
         F.when(scale > 0, centred("pxy", "px", "py") / scale).alias("corr_target"))
+
+
+def exact_profile(df: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
+    """Exact ``distinct`` and quantiles (named by ``probs``), one row for each column that has values.
+
+    Equal values are counted and their counts sorted over all tasks, so no task holds the values of a column.
+    """
+    values = df.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    return ordered.quantiles(values, "value", probs, ("column_name",), distinct="distinct")

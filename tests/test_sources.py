@@ -1,11 +1,29 @@
-"""Scans by a short list and JSON files of lists."""
+"""Scans by a short list, JSON files of lists, and queries over written lines."""
 
+import datetime as dt
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+import catalog
 from larder import schemas
+from larder.operators import profile
 from larder.sources import tables
 
 
+@pytest.fixture
+def lines(spark, tmp_path):
+    """A folder of 600 lines over 7 parts and 30 days; some figures are null, and some lines have no part."""
+    rows = [(i % 97, i % 9, i % 5, i % 7, float(i % 50 + 1), None if i % 11 == 0 else 900 + (i * 37 % 400) / 4, (i % 11) / 100,
+             "ANR"[i % 3], "FO"[i % 2], dt.datetime(2000, 1, 1 + i % 30)) for i in range(600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"KIND{k % 2}", f"Brand#{k + 11}") for k in range(7)],
+                          "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
 def test_scan_by_a_short_list_reaches_the_files(spark, tmp_path):
     path = str(tmp_path / "sales")
     spark.createDataFrame([("A1", 1), ("A1", 2), ("B2", 3), (None, 4), ("C3_x", 5)], "sku string, qty int").write.parquet(path)
@@ -26,3 +44,24 @@ def test_json_files_of_lists(spark, tmp_path):
     assert got.columns == columns
     want = [tuple(rec.get(c) for c in columns) for rec in records]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_exact_profile_counts_and_sorts_over_all_tasks(spark, lines):
+    df = tables.scan(spark, f"{lines}/lineitem.parquet").select("*", F.lit(None).cast("double").alias("none"))
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+    got = {r.column_name: r for r in profile.exact_profile(df, [*columns, "none"], {"low": 0.45, "high": 0.55}).collect()}
+    assert sorted(got) == sorted(columns)
+    for c in columns:
+        want = df.agg(F.countDistinct(c), F.percentile(c, F.array(F.lit(0.45), F.lit(0.55)))).first()
+        assert got[c].distinct == want[0] and [got[c].low, got[c].high] == pytest.approx(want[1])
+    assert profile.exact_profile(df.where("false"), columns, {"low": 0.45}).count() == 0
+
+
+def test_merged_profile_is_compared_without_whole_columns_in_a_task(spark, lines):
+    out = catalog.QUERIES["table_profile_merged"](spark, lines)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "percentile(" not in plan and "count(distinct" not in plan
+    got = {r.column_name: r for r in out.collect()}
+    assert len(got) == 5 and all(r.distinct_near and r.median_near for r in got.values())
+    sold = [i for i in range(600) if i % 9 < 7]  # lines that have a part
+    assert got["list_price"].rows == len(sold) and got["list_price"].nulls == sum(i % 11 == 0 for i in sold) and got["qty"].nulls == 0
