@@ -38,12 +38,17 @@ def src_scan_project(spark, sf):
     "CAST(sum(length(qty)) AS BIGINT) AS qty_chars FROM raw_sales, (VALUES ('csv'), ('json'), ('json_tables')) t(f) "
     "GROUP BY 1, 2"))
 def src_csv_json(spark, sf):
-    """Raw sales written as CSV, JSON lines and JSON objects of lists, then read back typed."""
+    """Raw sales written as CSV, JSON lines and JSON objects of lists, then read back typed.
+
+    Plain text takes many times the room of the stored lines, so it is written by gzip; a file, which one task reads,
+    has a million records at most.
+    """
     raw, path = v.raw_sales(spark, sf), new_path(spark, "import")
-    raw.write.csv(f"{path}/csv", header=True, quote='"', escape='"',
-                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    raw.write.json(f"{path}/json")
-    raw.select(F.array(F.struct(*raw.columns)).alias("sales")).write.json(f"{path}/tables")
+    packed = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
+    raw.write.options(**packed).csv(f"{path}/csv", header=True, quote='"', escape='"',
+                                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw.write.options(**packed).json(f"{path}/json")
+    raw.select(F.array(F.struct(*raw.columns)).alias("sales")).write.options(**packed).json(f"{path}/tables")
     parts = {
         "csv": tables.read_csv(spark, f"{path}/csv", schemas.SALES),
         "json": tables.read_json(spark, f"{path}/json", schemas.SALES),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larder import config
 from larder.functions import cleaning as cl
-from larder.session import stage
+from larder.session import freed_shuffles, stage
 from larder.sources import files, tables
 
 FEEDBACK_SHIFT_DAYS = 8122  # moves the event month so that it ends near the last ship date
@@ -92,12 +92,17 @@ _STORED: dict[tuple, DataFrame] = {}
 def stored(spark, sf, name: str, lines) -> DataFrame:
     """A raw text table, written once per session and input: a raw table exists before any query.
 
-    It is written in as many files as the session has cores; rewritten inputs have other times and are read anew.
+    Lines that are read in fewer parts than the session has cores are dealt to as many files as cores; others are
+    written as they come, without a shuffle of the text. Rewritten inputs have other times and are read anew.
     """
     times = tuple(files.modified(spark, f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
     key = spark.sparkContext.applicationId, sf, name, times
     if key not in _STORED:
-        _STORED[key] = stage(raw(lines(spark, sf)).repartition(spark.sparkContext.defaultParallelism), name)
+        text, cores = raw(lines(spark, sf)), spark.sparkContext.defaultParallelism
+        if table(spark, sf, "lineitem").rdd.getNumPartitions() < cores:
+            text = text.repartition(cores)
+        with freed_shuffles(spark):
+            _STORED[key] = stage(text, name, codec="zstd")
     return _STORED[key]
 
 

@@ -82,14 +82,15 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
-def stage(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, row_group: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with its own schema.
 
     Used where several branches read the same aggregate: the source is scanned once, the
     lineage is cut and a lost executor costs a file read, not a recomputation. Tasks hold a row group of
-    the files that they write or read: ``row_group`` bytes, by default Parquet's 128 MB.
+    the files that they write or read: ``row_group`` bytes, by default Parquet's 128 MB. ``codec`` is Parquet's too.
     """
     path = new_path(df.sparkSession, label)
     options = {} if row_group is None else {"parquet.block.size": row_group}
+    options |= {} if codec is None else {"compression": codec}
     df.write.mode("error").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import catalog
+from catalog import views
 from larder import schemas
 from larder.operators import profile
-from larder.sources import tables
+from larder.session import shared_dir
+from larder.sources import files, tables
 
 
 @pytest.fixture
@@ -65,3 +67,31 @@ def test_merged_profile_is_compared_without_whole_columns_in_a_task(spark, lines
     assert len(got) == 5 and all(r.distinct_near and r.median_near for r in got.values())
     sold = [i for i in range(600) if i % 9 < 7]  # lines that have a part
     assert got["list_price"].rows == len(sold) and got["list_price"].nulls == sum(i % 11 == 0 for i in sold) and got["qty"].nulls == 0
+
+
+def test_imports_are_written_packed_and_read_back_whole(spark, lines):
+    folder = shared_dir(spark)
+    old = files.children(spark, folder)
+    got = {(r.format, r.channel): (r.records, r.skus, r.qty_chars) for r in catalog.QUERIES["src_csv_json"](spark, lines).collect()}
+    raw, want = views.raw(views.sales(spark, lines)).collect(), {}
+    for c in {r.Channel for r in raw}:
+        mine = [r for r in raw if r.Channel == c]
+        want |= {(f, c): (len(mine), sum(r.sku is not None for r in mine), sum(len(r.qty or "") for r in mine))
+                 for f in ("csv", "json", "json_tables")}
+    assert got == want and len(want) == 3 * 7
+    path, = (p for p in files.children(spark, folder) if p not in old and "/import-" in p)
+    for name in ("csv", "json", "tables"):
+        written = files.children(spark, f"{path}/{name}")
+        assert written and all(p.endswith(".gz") for p in written)
+
+
+def test_text_of_lines_in_enough_parts_is_stored_without_a_shuffle(spark, lines, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(views, "stage", lambda df, *a, **b: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    few = tmp_path / "few"
+    for t in ("lineitem", "part"):
+        tables.scan(spark, f"{lines}/{t}.parquet").coalesce(1).write.parquet(f"{few}/{t}.parquet")
+    assert tables.scan(spark, f"{lines}/lineitem.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    wide, narrow = (sorted(map(repr, views.raw_sales(spark, d).collect())) for d in (lines, str(few)))
+    assert wide == narrow
+    assert ["Repartition" in p for p in plans] == [False, True]
